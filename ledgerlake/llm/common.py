@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes of one Arrow batch. A batch never holds more than this besides its last row.
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Bytes of one Arrow batch. A batch never holds more than this besides its last row.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small, so that a Python worker's memory follows the longest text and not the partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import exact_dedup
+from ledgerlake.llm import exact_dedup, media, ngram_join, source_mix, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op5_source_mix": source_mix.op5_source_mix,
+    "op6_media": media.op6_media,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
