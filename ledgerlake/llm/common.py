@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch. A batch never holds more than this besides its last row.
 BATCH_BYTES = 8 << 20
@@ -47,3 +48,31 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Rows of a lookup table up to which it is broadcast whole, and keys that count as hot beyond that.
+BROADCAST_ROWS, HOT_KEYS = 100_000, 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows left-joined to table, whose keys are unique, null-safely, by columns of the same names; weight: how many rows each key has.
+
+    A table of up to BROADCAST_ROWS rows is broadcast. Of a larger one only the keys with over a HOT_KEYS-th of all rows
+    are, which are fewer than HOT_KEYS; the rest shuffle, and none of their keys is large. The result drops weight.
+    """
+    extra = [c for c in table.columns if c not in (*keys, weight)]
+    small = table.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *extra, F.col(weight).alias("__weight"))
+    on = None
+    for i, k in enumerate(keys):
+        on = rows[k].eqNullSafe(small[f"__k{i}"]) if on is None else on & rows[k].eqNullSafe(small[f"__k{i}"])
+    n, total = table.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), on, "left").select(*rows.columns, *extra)
+    heavy = F.col("__weight") > F.lit(total / HOT_KEYS)
+    met = rows.join(F.broadcast(small.where(heavy)), on, "left")
+    hot = met.where(F.col("__weight").isNotNull()).select(*rows.columns, *extra)
+    cold = met.where(F.col("__weight").isNull()).select(*rows.columns)
+    on = None
+    for i, k in enumerate(keys):
+        on = cold[k].eqNullSafe(small[f"__k{i}"]) if on is None else on & cold[k].eqNullSafe(small[f"__k{i}"])
+    return hot.unionByName(cold.join(small.where(~heavy), on, "left").select(*rows.columns, *extra))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import exact_dedup, media, ngram_join, source_mix, warc
+from ledgerlake.llm import exact_dedup, media, ngram_join, quality, source_mix, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op4_quality": quality.op4_quality,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_media": media.op6_media,
-    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 
 ORACLE_SQL = {
