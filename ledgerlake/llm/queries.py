@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import bpe, exact_dedup, media, ngram_join, quality, source_mix, warc
+from ledgerlake.llm import bpe, exact_dedup, media, ngram_join, quality, secrets, source_mix, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
+    "op3_secrets": secrets.op3_secrets,
     "op4_quality": quality.op4_quality,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_media": media.op6_media,
