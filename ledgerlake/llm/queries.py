@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import bpe, exact_dedup, media, ngram_join, quality, secrets, source_mix, warc
+from ledgerlake.llm import bpe, chunking, exact_dedup, media, ngram_join, quality, secrets, source_mix, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_media": media.op6_media,
+    "op7_chunk_dedup": chunking.op7_chunk_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op7_chunk_dedup": chunking.op7_chunk_dedup,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
