@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import bpe, chunking, exact_dedup, media, ngram_join, quality, secrets, source_mix, warc
+from ledgerlake.llm import bpe, chunking, exact_dedup, media, ngram_join, quality, secrets, source_mix, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chunk_dedup": chunking.op7_chunk_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
