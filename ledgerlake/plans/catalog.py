@@ -1,4 +1,9 @@
 """Every query of the treasury engine by name, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from ledgerlake.plans import mapping_queries
+
+_MODULES = (mapping_queries,)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
