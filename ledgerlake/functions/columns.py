@@ -31,8 +31,8 @@ def units_per_eur(currency: Column) -> Column:
 
 
 def safe_div(a: Column, b: Column) -> Column:
-    """Null where b is 0."""
-    return a / F.nullif(b, F.lit(0.0))
+    """Of doubles; null where b is 0."""
+    return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
 def clip(c: Column, lo: Column | float, hi: Column | float) -> Column:
