@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerlake.constants import MIN_HISTORY
 from ledgerlake.functions.columns import median_over, previous
 
-BY = Window.partitionBy("company_id").orderBy("month")
+def by_month() -> WindowSpec:
+    return Window.partitionBy("company_id").orderBy("month")
+
+
 
 
 @dataclass(frozen=True)
@@ -28,8 +31,8 @@ class Event:
 def with_history(panel: DataFrame) -> DataFrame:
     """Months with enough history (earlier ones go before any window), and what the rules look back at."""
     out = panel.where(F.col("hist_months") >= MIN_HISTORY)
-    paid = {f"_usual_{c}": previous(F.sum, (F.col(c) > 0).cast("int"), BY, 6) >= 5 for c in OBLIGATIONS}
-    return out.withColumns(paid | {"_fin_median": previous(median_over, F.col("out_fin_cost"), BY, 6)})
+    paid = {f"_usual_{c}": previous(F.sum, (F.col(c) > 0).cast("int"), by_month(), 6) >= 5 for c in OBLIGATIONS}
+    return out.withColumns(paid | {"_fin_median": previous(median_over, F.col("out_fin_cost"), by_month(), 6)})
 
 
 OBLIGATIONS = ("out_salary", "out_social_security", "out_tax")
@@ -65,7 +68,7 @@ def evaluate(panel: DataFrame, events: Callable[[], list[Event]] = registry) ->
 
 def forward(events: DataFrame, horizon: int, names: tuple[str, ...] = NAMES) -> DataFrame:
     """For each event: whether it happens in one of the next ``horizon`` months; null if any of them is unknown."""
-    ahead = BY.rowsBetween(1, horizon)
+    ahead = by_month().rowsBetween(1, horizon)
     return events.select("company_id", "month", *(F.when(F.count(n).over(ahead) == horizon, F.max(n).over(ahead)).alias(f"{n}_y{horizon}") for n in names))
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import half_up
 from ledgerlake.operators.score import band
 
-BY = Window.partitionBy("company_id").orderBy("month")
-BACK = Window.partitionBy("company_id").orderBy(F.col("month").desc())
+def by_month() -> WindowSpec:
+    return Window.partitionBy("company_id").orderBy("month")
+
+
+def from_latest() -> WindowSpec:
+    return Window.partitionBy("company_id").orderBy(F.col("month").desc())
+
+
 # What counts as an alert, an implausible figure, a surplus worth placing.
 ALERT_DROP, LOW_CONFIDENCE, MAX_CASH, MAX_RUNWAY, MIN_SURPLUS = 10, 0.4, 1e8, 36, 25_000
 # Lines of the cash-flow statement by group.
@@ -24,11 +30,11 @@ LINES = {
 
 def portfolio(panel: DataFrame, scores: DataFrame, static: DataFrame) -> DataFrame:
     """One row per company with a score: its last month, values three rows back, the last twelve months as arrays."""
-    ranked = panel.withColumns({"runway_prev": F.lag("runway_m", 3).over(BY), "dso_prev": F.lag("dso", 3).over(BY), "rn": F.row_number().over(BACK)})
+    ranked = panel.withColumns({"runway_prev": F.lag("runway_m", 3).over(by_month()), "dso_prev": F.lag("dso", 3).over(by_month()), "rn": F.row_number().over(from_latest())})
     flow = F.struct("month", F.coalesce("inflow_op", F.lit(0)).alias("in"), F.abs(F.coalesce("outflow_op", F.lit(0))).alias("out"), F.coalesce("cash_end", F.lit(0)).alias("cash"))
     flows = ranked.where("rn <= 12").groupBy("company_id").agg(F.sort_array(F.collect_list(flow)).alias("flows"))
     now = ranked.where("rn = 1").select("company_id", "cash_end", F.col("runway_m").alias("runway_now"), "runway_prev", F.col("dso").alias("dso_now"), "dso_prev", F.round(F.col("pct_overdue") * 100, 1).alias("overdue_share"), "margin_3m", "debt_service_ratio_3m", "n_tx")
-    health = scores.withColumns({"rn": F.row_number().over(BACK), "delta3": F.col("score") - F.lag("score", 3).over(BY), "n_months": F.count(F.lit(1)).over(Window.partitionBy("company_id"))})
+    health = scores.withColumns({"rn": F.row_number().over(from_latest()), "delta3": F.col("score") - F.lag("score", 3).over(by_month()), "n_months": F.count(F.lit(1)).over(Window.partitionBy("company_id"))})
     history = health.where("rn <= 12").groupBy("company_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("month", "score"))), lambda x: F.round(x["score"], 1)).alias("history"))
     head = health.where("rn = 1").select("company_id", F.col("month").alias("last_month"), F.round("score", 1).alias("score"), band(F.col("score")).alias("band"), F.round("delta3", 1).alias("delta3"), "n_months")
     facts = static.select("company_id", "group_id", F.coalesce("currency", F.lit("EUR")).alias("currency"), F.coalesce("has_erp", F.lit(False)).alias("has_erp"), "debt_outstanding", "debt_util")
@@ -56,7 +62,7 @@ def action(has_break: Column, has_surplus: Column, score_band: Column) -> Column
 
 def board(view: DataFrame, forecast: DataFrame, panel: DataFrame) -> DataFrame:
     """Status, impact, urgency and suggestion of each company; the order of the rules of status matters."""
-    last = panel.withColumn("rn", F.row_number().over(BACK)).where("rn = 1").select("company_id", F.col("net_op").alias("net_op"))
+    last = panel.withColumn("rn", F.row_number().over(from_latest())).where("rn = 1").select("company_id", F.col("net_op").alias("net_op"))
     f = forecast.select("company_id", "low", "low_date", "monthly_spend", F.col("break_from").isNotNull().alias("has_break"), F.col("surplus").isNotNull().alias("has_surplus"))
     rows = view.join(f, "company_id", "left").join(last, "company_id", "left").withColumns({"has_break": F.coalesce("has_break", F.lit(False)), "has_surplus": F.coalesce("has_surplus", F.lit(False)), "runway": plausible_runway(F.col("runway_now").cast("double"))})
     status = F.when(F.col("has_break"), "alert").when(F.col("runway") < 1, "alert").when((F.col("net_op") < 0) & (F.col("runway").isNull() | (F.col("runway") < 3)), "alert").when(F.col("has_surplus") & (F.col("band") == "healthy"), "opportunity").otherwise("watch")
@@ -91,8 +97,8 @@ def statement(breakdown: DataFrame, panel: DataFrame) -> DataFrame:
     rows = breakdown.select("company_id", "month", "amount", F.coalesce(F.split(known, r"\|")[0], F.lit("uncategorised")).alias("line_group"), F.coalesce(F.split(known, r"\|")[1], F.lit("uncategorised")).alias("line"))
     sums = rows.groupingSets([["company_id", "month", "line_group", "line"], ["company_id", "month", "line_group"], ["company_id", "month"]], "company_id", "month", "line_group", "line").agg(F.sum("amount").alias("amount"), F.grouping_id().alias("g"))
     lines = sums.where("g < 3").select("company_id", "month", "line_group", F.coalesce("line", F.lit("subtotal")).alias("line"), "amount")
-    before = F.lag("cash_end").over(BY)
-    cash = panel.select("company_id", "month", "cash_end", F.when(F.row_number().over(BY) > 1, before).otherwise(F.col("cash_end") - F.coalesce("net_bank", F.lit(0))).alias("start"))
+    before = F.lag("cash_end").over(by_month())
+    cash = panel.select("company_id", "month", "cash_end", F.when(F.row_number().over(by_month()) > 1, before).otherwise(F.col("cash_end") - F.coalesce("net_bank", F.lit(0))).alias("start"))
     both = cash.join(sums.where("g = 3").select("company_id", "month", F.col("amount").alias("total")), ["company_id", "month"])
     edge = both.select("company_id", "month", F.explode(F.array(F.struct(F.lit("opening").alias("line"), F.col("start").alias("amount")), F.struct(F.lit("adjustment").alias("line"), (F.col("cash_end") - F.col("start") - F.col("total")).alias("amount")), F.struct(F.lit("closing").alias("line"), F.col("cash_end").alias("amount")))).alias("x"))
     return lines.unionByName(edge.select("company_id", "month", F.lit("balance").alias("line_group"), "x.line", "x.amount"))
