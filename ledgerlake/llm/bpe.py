@@ -75,7 +75,7 @@ def _packed(values: np.ndarray | bytes) -> bytes:
     """Unsigned 32-bit values byte plane by byte plane, which compress well; or bytes as they are."""
     if not isinstance(values, bytes):
         values = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(values)
+    return zstandard.ZstdCompressor(level=6).compress(values)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -83,13 +83,39 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+#: Places below FEW take one byte; others a byte and two more, or four in very large dictionaries.
+FEW, FAR = 224, 31
+
+
+def _packed_places(places: np.ndarray) -> bytes:
+    """Places by frequency, small ones short, each kind of byte by itself."""
+    rest = places - FEW
+    far = np.minimum(rest >> 16, FAR)
+    head = np.where(rest < 0, places, FEW + far).astype(np.uint8)
+    near, raw = rest[(rest >= 0) & (far < FAR)], rest[far == FAR].astype("<u4")
+    parts = [np.int64([len(places), len(near)]).tobytes(), head.tobytes(), (near >> 8 & 255).astype(np.uint8).tobytes(), (near & 255).astype(np.uint8).tobytes(), raw.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpacked_places(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(raw, np.int64, 2)
+    head = np.frombuffer(raw, np.uint8, n, 16).astype(np.int64)
+    high, low = (np.frombuffer(raw, np.uint8, m, 16 + n + k * m).astype(np.int64) for k in (0, 1))
+    near = (head >= FEW) & (head < FEW + FAR)
+    out = head.copy()
+    out[near] = FEW + (head[near] - FEW << 16) + (high << 8) + low
+    out[head == FEW + FAR] = FEW + np.frombuffer(raw, "<u4", offset=16 + n + 2 * m).astype(np.int64)
+    return out
+
+
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), MESSAGE_ARROW, strict=True)], schema=MESSAGE_ARROW)
 
 
 def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) to messages, chunk by chunk: the chunk's distinct words with their places, for each bucket of
-    words, and the chunk's texts as places. Places go by frequency."""
+    """Rows (doc_id, text) to messages, chunk by chunk: the chunk's distinct words, for each bucket of words, and the
+    chunk's texts as places, with the places of the words by bucket. Places go by frequency."""
     findall = regex.compile(pattern).findall
     part, n_chunks = TaskContext.get().partitionId(), 0
     seen, keys, codes, held = Places(), [], [], 0
@@ -105,8 +131,9 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
             raw = word.encode()
             groups.setdefault(zlib.crc32(raw) % buckets, []).append((place[seen[word]], raw))
         for bucket, found in groups.items():
-            yield _messages([(WORDS, name, bucket, _packed(np.array([p for p, _ in found])), _packed(np.array([len(w) for _, w in found])), _packed(b"".join(w for _, w in found)), None)])
-        yield _messages([(TEXTS, name, None, None, _packed(np.array([len(c) // 4 for c in codes])), _packed(place[flat]), keys)])
+            yield _messages([(WORDS, name, bucket, None, _packed(np.array([len(w) for _, w in found])), _packed(b"".join(w for _, w in found)), None)])
+        order = np.array([p for b in sorted(groups) for p, _ in groups[b]], np.int64)
+        yield _messages([(TEXTS, name, None, _packed(order), _packed(np.array([len(c) // 4 for c in codes])), _packed_places(place[flat]), keys)])
 
     for batch in batches:
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -137,23 +164,23 @@ def _merge(batches: Iterator[pa.RecordBatch], rank_file: bytes, pattern: str) ->
                 if got is None:
                     got = known[word] = merge(word)
                 ids.append(got)
-            yield _messages([(WORDS, row["chunk"], row["bucket"], row["places"], _packed(np.array([len(x) for x in ids])), _packed(np.array([i for x in ids for i in x])), None)])
+            yield _messages([(WORDS, row["chunk"], row["bucket"], None, _packed(np.array([len(x) for x in ids])), _packed(np.array([i for x in ids for i in x])), None)])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Messages by chunk, ids before texts: the ids of each text, put together by position."""
+    """Messages by chunk, ids by bucket before texts: the ids of each text, put together by position."""
     now, found = None, []
     for batch in batches:
         for row in batch.to_pylist():
             if row["chunk"] != now:
                 now, found = row["chunk"], []
             if row["kind"] == WORDS:
-                found.append((_unpacked(row["places"]), _unpacked(row["lens"]), _unpacked(row["data"])))
+                found.append((_unpacked(row["lens"]), _unpacked(row["data"])))
                 continue
-            place, lens, ids = (np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in range(3))
-            order = np.argsort(place)
+            lens, ids = (np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in range(2))
+            order = np.argsort(_unpacked(row["places"]))
             starts, lens = (np.cumsum(lens) - lens)[order], lens[order]
-            codes, ends = _unpacked(row["data"]), np.cumsum(_unpacked(row["lens"]))
+            codes, ends = _unpacked_places(row["data"]), np.cumsum(_unpacked(row["lens"]))
             begin = 0
             for a in range(0, len(ends), TEXTS_AT_ONCE):  # some texts at a time
                 b = min(len(ends), a + TEXTS_AT_ONCE)
@@ -181,7 +208,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     sent = staged(rows.mapInArrow(partial(_split, pattern=pattern, buckets=buckets), MESSAGE), "bpe-chunks")
     words = sent.where(F.col("kind") == WORDS).repartition("bucket").sortWithinPartitions("bucket")
     merged = words.mapInArrow(partial(_merge, rank_file=rank_file, pattern=pattern), MESSAGE)
-    both = merged.unionByName(sent.where(F.col("kind") == TEXTS)).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    both = merged.unionByName(sent.where(F.col("kind") == TEXTS)).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
     return both.mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
