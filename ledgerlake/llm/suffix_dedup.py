@@ -24,6 +24,8 @@ from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 
 #: Bytes of a string and of an anchor; surroundings of a bucket that are sorted in one task; bytes that are hashed at once.
 WIDTH, GRAM, BUCKET, BLOCK = 400, 64, 4096, 1 << 20
+#: Offsets before an anchor that a large bucket counts together.
+RANGE = 16
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint64)
@@ -208,26 +210,79 @@ def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     yield from done()
 
 
-def _string_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of surroundings: the bytes before the anchor at which strings of ``width`` bytes start, and their digests."""
+def _range_digests(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of surroundings and each range of RANGE offsets before the anchor: a digest of what all strings that start there
+    share, and one of all their bytes. Where a text's edge cuts the range, nothing else has that second digest."""
     for batch in batches:
-        out: list[list] = [[], [], []]
-        for pos, a, s in zip(*(batch.column(c).to_pylist() for c in ("pos", "a", "around")), strict=True):
-            before = [b for b in range(min(a, width - GRAM) + 1) if a - b + width <= len(s)]
-            digests = [xxhash.xxh3_128_intdigest(s[a - b : a - b + width]) for b in before]
-            out[0].append(before)
-            out[1].append([(d & MASK) - (1 << 63) for d in digests])
-            out[2].append([(d >> 64) - (1 << 63) for d in digests])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "pos")), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.int64())) for x in out[1:])], names=["k1", "k2", "pos", "b", "w1", "w2"])
+        out = []
+        for k1, k2, pos, a, s in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "pos", "a", "around")), strict=True):
+            least, most = max(0, a + width - len(s)), min(a, width - GRAM)
+            for lo in range(least - least % RANGE, most + 1, RANGE):
+                hi = min(lo + RANGE - 1, width - GRAM)
+                core = xxhash.xxh3_64_intdigest(s[a - lo : a - hi + width], seed=lo)
+                whole = s[a - hi : a - lo + width] if least <= lo and hi <= most else f"{k1}:{k2}:{pos}".encode()
+                full = xxhash.xxh3_128_intdigest(whole, seed=lo)
+                out.append((k1, k2, pos, lo, core - (1 << 63), (full & MASK) - (1 << 63), (full >> 64) - (1 << 63)))
+                if len(out) >= 65536:
+                    yield _rows(out, RANGES)
+                    out = []
+        if out:
+            yield _rows(out, RANGES)
+
+
+def _string_digests(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of surroundings and ranges: the digest of each string of ``width`` bytes that starts in them."""
+    for batch in batches:
+        out = []
+        for k1, k2, pos, a, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "pos", "a", "around", "ranges")), strict=True):
+            least, most = max(0, a + width - len(s)), min(a, width - GRAM)
+            for lo in ranges:
+                for b in range(max(lo, least), min(lo + RANGE - 1, most) + 1):
+                    d = xxhash.xxh3_128_intdigest(s[a - b : a - b + width])
+                    out.append((k1, k2, pos, b, (d & MASK) - (1 << 63), (d >> 64) - (1 << 63)))
+            if len(out) >= 65536:
+                yield _rows(out, STRINGS)
+                out = []
+        if out:
+            yield _rows(out, STRINGS)
+
+
+RANGES = {"k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "lo": pa.int32(), "core": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
+STRINGS = {"k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "b": pa.int32(), "w1": pa.int64(), "w2": pa.int64()}
+
+
+def _rows(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], names=list(columns))
+
+
+def _ddl(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in columns.items())
 
 
 def _counted(around: DataFrame, width: int) -> DataFrame:
-    """The same as _buckets for buckets of any size: strings are counted by digest, with partial counts first."""
-    rows = around.dropDuplicates(["h", "c"]).mapInArrow(partial(_string_hashes, width=width), "k1 long, k2 long, pos int, b array<int>, w1 array<long>, w2 array<long>")
-    each = staged(rows.select("k1", "k2", "pos", F.explode(F.arrays_zip("b", "w1", "w2")).alias("x")).select("k1", "k2", "pos", "x.*"), "suffix-strings")
-    twice = each.groupBy("b", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("twice")).where("n > 1")
-    hit = lookup(each, staged(twice, "suffix-twice"), ["b", "w1", "w2"], "n").where("twice")
-    return hit.select("k1", "k2", (F.col("pos") - F.col("b")).cast("long").alias("lo"), (F.col("pos") - F.col("b") + width).cast("long").alias("hi"))
+    """The same as _buckets for buckets of any size: equal bytes are counted by digest, with partial counts first, so no
+    bucket meets in a task.
+
+    Ranges that are equal in two surroundings are repeated as a whole; those that share nothing with others aren't; only
+    the strings of the rest, which hold the edge of what is shared, are counted one by one.
+    """
+    key, digest = ["k1", "k2", "pos"], ["lo", "core", "f1", "f2"]
+    around = around.dropDuplicates(["h", "c"]).select(*key, "a", "around")
+    around = staged(around, "suffix-crowded")
+    each = staged(around.mapInArrow(partial(_range_digests, width=width), _ddl(RANGES)), "suffix-ranges")
+    fulls = staged(each.groupBy(*digest).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key)).alias("one")), "suffix-fulls")
+    whole = staged(fulls.where("n > 1").select(*digest, "n", F.lit(True).alias("whole")), "suffix-whole-ranges")
+    met = lookup(each, whole, digest, "n").where("whole")
+    hi = F.least(F.col("lo") + (RANGE - 1), F.lit(width - GRAM))
+    covered = met.select("k1", "k2", (F.col("pos") - hi).cast("long").alias("lo"), (F.col("pos") - F.col("lo") + width).cast("long").alias("hi"))
+
+    shared = staged(fulls.groupBy("lo", "core").agg(F.count(F.lit(1)).alias("n_fulls")).where("n_fulls > 1"), "suffix-shared")
+    mixed = lookup(fulls.select("lo", "core", "one.*"), shared.withColumn("mixed", F.lit(True)), ["lo", "core"], "n_fulls").where("mixed")
+    wanted = staged(mixed.groupBy(*key).agg(F.collect_set("lo").alias("ranges")), "suffix-wanted-ranges")
+    strings = staged(around.join(wanted, key).mapInArrow(partial(_string_digests, width=width), _ddl(STRINGS)), "suffix-strings")
+    twice = strings.groupBy("b", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("twice")).where("n > 1")
+    hit = lookup(strings, staged(twice, "suffix-twice"), ["b", "w1", "w2"], "n").where("twice")
+    return covered.unionByName(hit.select("k1", "k2", (F.col("pos") - F.col("b")).cast("long").alias("lo"), (F.col("pos") - F.col("b") + width).cast("long").alias("hi")))
 
 
 SPANS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
