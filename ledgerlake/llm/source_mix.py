@@ -101,7 +101,8 @@ def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     pieces = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(last / BLOCK))))
     met = pieces.join(slots.select("sid", "block", "words"), ["sid", "block"], "left")
     at = F.col("block") * BLOCK
-    part = F.greatest(F.lit(0), F.least(F.col("first") + F.col("size"), at + F.col("words")) - F.greatest(F.col("first"), at))
+    # Blocks that no slot takes have no words; least() alone would skip the null.
+    part = F.greatest(F.lit(0), F.least(F.col("first") + F.col("size"), at + F.coalesce("words", F.lit(0))) - F.greatest(F.col("first"), at))
     per = met.groupBy("sid", "bucket", "ord", "doc_id", "h", "size", F.col("S").alias("source_size"), "target").agg(F.sum(F.coalesce(part, F.lit(0))).cast("long").alias("taken"))
     return per.select("doc_id", "h", "size", "source_size", "target", "taken")
 
