@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by signature trees (operator 9).
 
 Documents are sets of hashed word shingles. Equal sets are one node from the start. A forest of signature trees holds
-the rest: every pair over the threshold has to agree on the whole content of some part of the hash space (it differs in
-fewer shingles than there are parts), so nodes that agree on a part share a tree. Trees that share nodes become one.
-In a tree, nodes lie in bands of size, then in blocks, then in a hierarchy; each level holds the OR of the token
+the rest: with all shingles in one order, rare ones first, every pair over the threshold shares one of the first few of
+either set, so nodes that share such a shingle share a tree. Trees that share nodes become one. Shingles of passages
+that many documents hold come last in the order and join nothing. In a tree, nodes lie in bands of size, then in blocks, then in a hierarchy; each level holds the OR of the token
 bitmaps and the range of sizes below it. Two trees, or a tree and itself, are traversed together, and a pair of nodes
 is dropped when its largest possible overlap can't reach the threshold. What is left at the leaves is compared exactly;
 pairs that are connected already aren't compared, so a large group costs about one comparison for each member.
@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from ledgerlake.llm.components import connected_components
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words whose hashes a worker remembers; nodes of a block; children of a tree node; bits of a bitmap.
 MEMO, BLOCK, FAN, BITS = 400_000, 256, 8, 2048
+#: Counters of how common shingles are, and those of a block.
+COUNTERS, CELLS = 1 << 24, 1 << 15
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -60,51 +63,71 @@ def shingles(text: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-@lru_cache(None)
-def size_class(c: int, num: int, den: int) -> tuple[int, int, int, int]:
-    """Of size class c: its least size, the next class's, the number of parts, and the empty parts that may go unkeyed.
+def _common(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """How many of a task's rows have a shingle, up to 255, by COUNTERS hashed counters: (block, counts), blocks of CELLS."""
+    memo, counts, held, size = WordHashes(), np.zeros(COUNTERS, np.uint8), [], 0
 
-    A pair within the class differs in at most d shingles, so of d + 1 + z parts at least z + 1 agree. A set with at most
-    z empty parts has a part among them that isn't empty; a set with more keys its empty parts too. z makes that rare.
-    """
-    ratio = max(1.25, den / num)
-    least, following = math.ceil(ratio**c), math.ceil(ratio ** (c + 1))
-    d = 2 * (following - 1) * (den - num) // (den + num)
-    best = (2.0, 0)
-    for z in range(1, d + 10):
-        mean = (d + 1 + z) * math.exp(-least / (d + 1 + z))
-        tail = math.exp(z + 1 - mean + (z + 1) * math.log(mean / (z + 1))) if 0 < mean < z + 1 else 1.0
-        best = min(best, (max(tail, 1e-7), z))
-    return least, following, d + 1 + best[1] if d else 1, best[1]
-
-
-def classes_of(n: int, num: int, den: int) -> list[int]:
-    """The size classes in which a set of n shingles may meet a similar one: its own, and the next if that's in reach."""
-    c = max(0, int(math.log(n) / math.log(max(1.25, den / num))) - 1)
-    while size_class(c, num, den)[1] <= n:
-        c += 1
-    return [c, c + 1] if n * den >= num * size_class(c, num, den)[1] else [c]
-
-
-def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A hash of each part's content, by size class; parts are equal ranges of the hash space."""
-    out = []
-    for c in classes_of(len(s), num, den) if len(s) else []:
-        _, _, parts, spare = size_class(c, num, den)
-        if parts == 1:
-            continue  # only equal sets can be similar, and those are one node
-        width = np.uint64((1 << 64) // parts + 1)
-        edges = np.searchsorted(s, np.arange(parts, dtype=np.uint64) * width)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ M1), dtype=np.uint64)])
-        ends = np.append(edges[1:], len(s))
-        count = (ends - edges).astype(np.uint64)
-        label = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
-        keys = mixed(mixed(label * M1 + count) + total[ends] - total[edges])
-        out.append(keys if np.count_nonzero(count == 0) > spare else keys[count > 0])
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-
-
-def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    def add() -> None:
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        counts[at] = np.minimum(counts[at] + n, 255)
+
+    for batch in batches:
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            held.append(counter(shingles(text, width, memo)))
+            size += len(held[-1])
+            if size >= 1 << 20:
+                add()
+                held, size = [], 0
+    if held:
+        add()
+    blocks, pack = counts.reshape(-1, CELLS), zstandard.ZstdCompressor(level=1).compress
+    some = np.flatnonzero(blocks.any(axis=1))
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(blocks[i].tobytes()) for i in some], pa.binary())], names=["block", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _common in order of block to (block, levels): the bit length of each counter's sum."""
+    now, total, unpack = None, np.zeros(CELLS, np.int64), zstandard.ZstdDecompressor().decompress
+
+    def done() -> pa.RecordBatch:
+        levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["block", "levels"])
+
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if block != now:
+                if now is not None:
+                    yield done()
+                now, total = block, np.zeros(CELLS, np.int64)
+            total += np.frombuffer(unpack(counts), np.uint8)
+    if now is not None:
+        yield done()
+
+
+def counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(17) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def shingle_levels(rows: DataFrame, width: int) -> np.ndarray:
+    """Of each counter, about how common its shingles are in all rows. COUNTERS bytes, whatever the input's size."""
+    parts = rows.select("text").mapInArrow(partial(_common, width=width), "block int, counts binary")
+    levels = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, levels binary").collect()
+    out = np.zeros((COUNTERS // CELLS, CELLS), np.uint8)
+    for r in levels:
+        out[r["block"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
+
+
+def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The set's first shingles in the order of all shingles, rare ones first: so many that two sets over the threshold
+    have one of them in common, as they share num / den of either."""
+    keep = len(s) - (num * len(s) + den - 1) // den + 1
+    order = np.lexsort((s, levels[counter(s)]))
+    return s[order[:keep]].view(np.int64)
+
+
+def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     memo = WordHashes()
     for batch in batches:
         n, nodes, keys = [], [], []
@@ -112,7 +135,7 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
             s = shingles(text, width, memo)
             n.append(len(s))
             nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-            keys.append(part_keys(s, num, den))
+            keys.append(prefix_keys(s, levels, num, den) if len(s) else np.empty(0, np.int64))
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "rk", "n", "node", "keys"])
@@ -140,7 +163,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     memo = WordHashes()
     for batch in batches:
         sets = [shingles(t, width, memo) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "n", "s"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "band", "block", "node")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "band", "block", "node", "s"])
 
 
 class SignatureTree:
@@ -295,27 +318,26 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
-    per = staged(rows.mapInArrow(partial(_profile, width=width, num=num, den=den), "doc_id long, rk long, n long, node long, keys array<long>"), "join-profiles")
-    nodes = staged(per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.any_value("keys").alias("keys")), "join-nodes")
+    levels = shingle_levels(rows, width)
+    per = staged(rows.mapInArrow(partial(_profile, width=width, num=num, den=den, levels=levels), "doc_id long, rk long, n long, node long, keys array<long>"), "join-profiles")
+    nodes = staged(per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "join-nodes")
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     edges = keyed.mapInArrow(_stars, "a long, b long")
     trees = connected_components(edges).select("node", F.col("root").alias("cluster"))
 
-    # The sets of the nodes that are in a tree, from their texts; only those texts shuffle.
-    wanted = staged(nodes.select("node", "rk").join(trees, "node"), "join-wanted")
-    blocks = bloom.blocks_for(wanted.count())
-    near = bloom.probe(rows, "rk", staged(bloom.member_filter(wanted, "rk", blocks), "join-bloom"), blocks, "maybe").where("maybe")
-    texts = near.select("rk", "text").join(wanted, "rk").dropDuplicates(["node"]).select("cluster", "node", "text")
-    sets = staged(texts.mapInArrow(partial(_sets, width=width), "cluster long, node long, n long, s binary"), "join-sets")
-
     # Cluster, band of sizes, block: bands of a ratio of den / num, so similar sets are in one band or in neighbours.
     band = F.floor(F.log("n") / math.log(den / num)).cast("long") if den > num else F.col("n")
-    placed = sets.withColumn("band", band)
-    count = placed.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("n_blocks"))
-    placed = placed.join(count, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), "n_blocks"))
-    placed = placed.withColumn("block", F.concat_ws(":", "cluster", "band", "part"))
-    placed = staged(placed.select("cluster", "band", "block", "node", "s"), "join-blocks")
+    wanted = nodes.select("node", "rk", "n").join(trees, "node").withColumn("band", band)
+    count = wanted.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("n_blocks"))
+    block = F.concat_ws(":", "cluster", "band", F.pmod(F.xxhash64("node"), "n_blocks"))
+    wanted = staged(wanted.join(count, ["cluster", "band"]).select("rk", "node", "cluster", "band", block.alias("block")), "join-wanted")
+
+    # The sets of the nodes that are in a tree, from their texts; only those texts shuffle. A repeated row's set comes twice.
+    blocks = bloom.blocks_for(wanted.count())
+    near = bloom.probe(rows, "rk", staged(bloom.member_filter(wanted, "rk", blocks), "join-bloom"), blocks, "maybe").where("maybe")
+    texts = near.select("rk", "text").join(wanted, "rk").select("cluster", "band", "block", "node", "text")
+    placed = staged(texts.mapInArrow(partial(_sets, width=width), "cluster long, band long, block string, node long, s binary"), "join-sets")
     roots = placed.select("block", "s").repartition("block").sortWithinPartitions("block").mapInArrow(_block_bits, "block string, lo long, hi long, ones long, over long, bits binary")
     roots = staged(roots.withColumn("cluster", F.split("block", ":")[0].cast("long")).withColumn("band", F.split("block", ":")[1].cast("long")), "join-roots")
     side = lambda k: roots.select("cluster", *(F.col(c).alias(f"{c}_{k}") for c in ("band", "block", "lo", "hi", "ones", "over", "bits")))
