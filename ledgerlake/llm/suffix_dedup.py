@@ -23,9 +23,9 @@ from ledgerlake.llm import bloom
 from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 
 #: Bytes of a string and of an anchor; surroundings of a bucket that are sorted in one task; bytes that are hashed at once.
-WIDTH, GRAM, BUCKET, BLOCK = 400, 64, 4096, 1 << 20
-#: Offsets before an anchor that a large bucket counts together.
-RANGE = 16
+WIDTH, GRAM, BUCKET, BLOCK = 400, 64, 1 << 15, 1 << 20
+#: Offsets before an anchor that a larger bucket counts together; those that a task looks at together.
+RANGE, COLUMNS = 16, 48
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint64)
@@ -120,7 +120,9 @@ def prefix_hashes(strings: list[bytes]) -> np.ndarray:
 
 def suffix_sort(strings: list[bytes]) -> tuple[list[int], np.ndarray]:
     """Their order, and how far each in this order agrees with the one before (0 for the first)."""
-    hashes = prefix_hashes(strings).tolist()
+    hashes = prefix_hashes(strings)
+    if len(strings) <= 1024:
+        hashes = hashes.tolist()  # quicker to look up, but larger
 
     def common(i: int, j: int) -> int:
         x, y = hashes[i], hashes[j]
@@ -150,10 +152,10 @@ def suffix_sort(strings: list[bytes]) -> tuple[list[int], np.ndarray]:
     return order, np.array(agree)
 
 
-def _classes(strings: list[bytes], depths: np.ndarray) -> np.ndarray:
+def _classes(strings: list[bytes], sort: tuple[list[int], np.ndarray], depths: np.ndarray) -> np.ndarray:
     """String by depth: equal numbers for strings that agree on so many bytes; -1 for shorter ones."""
-    order, agree = suffix_sort(strings)
-    rank = np.arange(len(order))[:, None]
+    order, agree = sort
+    rank = np.arange(len(order), dtype=np.int64)[:, None]
     ids = np.empty((len(order), len(depths)), np.int64)
     ids[order] = np.maximum.accumulate(np.where(agree[:, None] < depths[None, :], rank, 0), axis=0)
     ids[np.array([len(s) for s in strings])[:, None] < depths[None, :]] = -1
@@ -161,20 +163,23 @@ def _classes(strings: list[bytes], depths: np.ndarray) -> np.ndarray:
 
 
 def repeated_strings(around: list[tuple[int, bytes]], width: int = WIDTH) -> np.ndarray:
-    """Surroundings by bytes before the anchor: whether the string of ``width`` bytes that starts there occurs in two."""
-    before = np.arange(width - GRAM + 1)
-    back = _classes([s[:a][::-1] for a, s in around], before)
-    ahead = _classes([s[a:] for a, s in around], width - before)
-    n = len(around)
-    both = np.where((back >= 0) & (ahead >= 0), back * n + ahead, -1 - np.arange(n)[:, None])
-    order = np.argsort(both, axis=0, kind="stable")
-    ranked = np.take_along_axis(both, order, axis=0)
-    same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(both.shape, bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    out = np.empty(both.shape, bool)
-    np.put_along_axis(out, order, twice, axis=0)
+    """Surroundings by bytes before the anchor: whether the string of ``width`` bytes that starts there occurs in two.
+    Some columns at a time, so that memory is that of the surroundings."""
+    back, ahead = [s[:a][::-1] for a, s in around], [s[a:] for a, s in around]
+    back_sort, ahead_sort = suffix_sort(back), suffix_sort(ahead)
+    n, all_before = len(around), np.arange(width - GRAM + 1)
+    out = np.zeros((n, len(all_before)), bool)
+    for k in range(0, len(all_before), COLUMNS):
+        before = all_before[k : k + COLUMNS]
+        b, f = _classes(back, back_sort, before), _classes(ahead, ahead_sort, width - before)
+        both = np.where((b >= 0) & (f >= 0), b * n + f, -1 - np.arange(n)[:, None])
+        order = np.argsort(both, axis=0, kind="stable")
+        ranked = np.take_along_axis(both, order, axis=0)
+        same = ranked[1:] == ranked[:-1]
+        twice = np.zeros(both.shape, bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        np.put_along_axis(out[:, k : k + COLUMNS], order, twice, axis=0)
     return out
 
 
