@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by signature trees (operator 9).
 
 Documents are sets of hashed word shingles. Equal sets are one node from the start. A forest of signature trees holds
-the rest: with all shingles in one order, rare ones first, every pair over the threshold shares one of the first few of
-either set, so nodes that share such a shingle share a tree. Trees that share nodes become one. Shingles of passages
-that many documents hold come last in the order and join nothing. In a tree, nodes lie in bands of size, then in blocks, then in a hierarchy; each level holds the OR of the token
+the rest, dealt by what every pair over the threshold shares: the whole content of some part of the hash space (it
+differs in fewer shingles than there are parts); or, with all shingles in one order, rare ones first, one of the first
+few of either set, so that passages which many documents hold join nothing. Trees that share nodes become one.
+In a tree, nodes lie in bands of size, then in blocks, then in a hierarchy; each level holds the OR of the token
 bitmaps and the range of sizes below it. Two trees, or a tree and itself, are traversed together, and a pair of nodes
 is dropped when its largest possible overlap can't reach the threshold. What is left at the leaves is compared exactly;
 pairs that are connected already aren't compared, so a large group costs about one comparison for each member.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,50 @@ def shingle_levels(rows: DataFrame, width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+@lru_cache(None)
+def size_class(c: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """Of size class c: its least size, the next class's, the number of parts, and the empty parts that may go unkeyed.
+
+    A pair within the class differs in at most d shingles, so of d + 1 + z parts at least z + 1 agree. A set with at most
+    z empty parts has a part among them that isn't empty; a set with more keys its empty parts too. z makes that rare.
+    """
+    ratio = max(1.25, den / num)
+    least, following = math.ceil(ratio**c), math.ceil(ratio ** (c + 1))
+    d = 2 * (following - 1) * (den - num) // (den + num)
+    best = (2.0, 0)
+    for z in range(1, d + 10):
+        mean = (d + 1 + z) * math.exp(-least / (d + 1 + z))
+        tail = math.exp(z + 1 - mean + (z + 1) * math.log(mean / (z + 1))) if 0 < mean < z + 1 else 1.0
+        best = min(best, (max(tail, 1e-7), z))
+    return least, following, d + 1 + best[1] if d else 1, best[1]
+
+
+def classes_of(n: int, num: int, den: int) -> list[int]:
+    """The size classes in which a set of n shingles may meet a similar one: its own, and the next if that's in reach."""
+    c = max(0, int(math.log(n) / math.log(max(1.25, den / num))) - 1)
+    while size_class(c, num, den)[1] <= n:
+        c += 1
+    return [c, c + 1] if n * den >= num * size_class(c, num, den)[1] else [c]
+
+
+def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A hash of each part's content, by size class; parts are equal ranges of the hash space."""
+    out = []
+    for c in classes_of(len(s), num, den) if len(s) else []:
+        _, _, parts, spare = size_class(c, num, den)
+        if parts == 1:
+            continue  # only equal sets can be similar, and those are one node
+        width = np.uint64((1 << 64) // parts + 1)
+        edges = np.searchsorted(s, np.arange(parts, dtype=np.uint64) * width)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ M1), dtype=np.uint64)])
+        ends = np.append(edges[1:], len(s))
+        count = (ends - edges).astype(np.uint64)
+        label = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
+        keys = mixed(mixed(label * M1 + count) + total[ends] - total[edges])
+        out.append(keys if np.count_nonzero(count == 0) > spare else keys[count > 0])
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+
+
 def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
     """The set's first shingles in the order of all shingles, rare ones first: so many that two sets over the threshold
     have one of them in common, as they share num / den of either."""
@@ -127,7 +172,7 @@ def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.nda
     return s[order[:keep]].view(np.int64)
 
 
-def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     memo = WordHashes()
     for batch in batches:
         n, nodes, keys = [], [], []
@@ -135,7 +180,7 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int,
             s = shingles(text, width, memo)
             n.append(len(s))
             nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-            keys.append(prefix_keys(s, levels, num, den) if len(s) else np.empty(0, np.int64))
+            keys.append(part_keys(s, num, den) if levels is None else prefix_keys(s, levels, num, den) if len(s) else np.empty(0, np.int64))
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "rk", "n", "node", "keys"])
@@ -307,18 +352,19 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rare_first: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, rk (hash of id and text), n_shingles, component_id.
 
     Two documents link when den * intersection >= num * union of their shingle sets. component_id is the smallest id
     reachable by links, itself included. A text that is null or has no words has an empty set, links with nothing and
-    is its own component, as is its id null. Null ids are never the smallest unless all are null; repeated rows are
+    is its own component, as is its id null. rare_first says how nodes are dealt to trees, which changes no result: by
+    rare shingles, better for long shingles and low thresholds; else by parts, better where few shingles may differ. Null ids are never the smallest unless all are null; repeated rows are
     equal sets and so linked; no rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
-    levels = shingle_levels(rows, width)
+    levels = shingle_levels(rows, width) if rare_first else None
     per = staged(rows.mapInArrow(partial(_profile, width=width, num=num, den=den, levels=levels), "doc_id long, rk long, n long, node long, keys array<long>"), "join-profiles")
     nodes = staged(per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "join-nodes")
 
@@ -358,7 +404,7 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
 def one_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest id stays, with all columns;
     rows that repeat its id and text count as one. Documents without words stay."""
-    per = components(docs, width, num, den, id_col, text_col)
+    per = components(docs, width, num, den, id_col, text_col, rare_first=True)
     gone = per.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("rk").alias("gone_rk")).distinct()
     rk = fresh(docs, "__rk")
     gone = staged(gone, "join-gone")

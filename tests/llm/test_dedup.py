@@ -59,8 +59,8 @@ def shingle_set(t, width):
     return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
-def test_near(docs, nothing, width, num):
+@pytest.mark.parametrize(("width", "num", "rare_first"), [(3, 90, False), (3, 90, True), (5, 80, True)])
+def test_near(docs, nothing, width, num, rare_first):
     sets = [shingle_set(t, width) for _, t in ROWS]
     top = list(range(len(ROWS)))
 
@@ -78,7 +78,7 @@ def test_near(docs, nothing, width, num):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
     want = sorted((str(i), len(sets[k]), str(least.get(find(k)))) for k, (i, _) in enumerate(ROWS))
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.components(docs, width, num, 100).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.components(docs, width, num, 100, rare_first=rare_first).collect())
     assert got == want
     if width == 5:
         kept = ngram_join.one_each(docs)
