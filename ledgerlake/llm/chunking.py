@@ -2,8 +2,7 @@
 
 A gear hash rolls over the bytes of a text; where it meets a mask a chunk ends, so boundaries follow the content and an
 insertion moves none but those next to it. Chunks are known by digest. Of equal chunks the first by document and
-position stays. A chunk counts as repeated only within a run of neighbouring repeated chunks of RUN_BYTES or more, so
-short phrases that any two texts share stay.
+position stays. Each repeated chunk counts by its own digest, whatever its neighbours are.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 
 #: Least and largest bytes of a chunk, and bits of the boundary mask: chunks of MIN + 2**BITS bytes on average.
 MIN_BYTES, MAX_BYTES, BITS = 16, 256, 5
-#: Bytes that a boundary depends on; least bytes of a run of repeated chunks.
-WINDOW, RUN_BYTES = 16, 80
+#: Bytes that a boundary depends on.
+WINDOW = 16
 #: Bytes that are hashed at once.
 BLOCK = 4 << 20
 GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) for b in range(256)], np.uint64)
@@ -83,14 +82,9 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def removed(ends: np.ndarray, repeated: np.ndarray, later: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
-    """Bytes in runs of repeated chunks of RUN_BYTES and more, and the byte spans of the chunks there that aren't first."""
+    """Bytes in repeated chunks, and the byte spans of the chunks among them that aren't first."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    inside, n = np.zeros(len(ends), bool), 0
-    for a, b in _runs(repeated):
-        if ends[b - 1] - starts[a] >= RUN_BYTES:
-            inside[a:b] = True
-            n += int(ends[b - 1] - starts[a])
-    return n, [(int(starts[a]), int(ends[b - 1])) for a, b in _runs(inside & later)]
+    return int((ends - starts)[repeated].sum()), [(int(starts[a]), int(ends[b - 1])) for a, b in _runs(repeated & later)]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +108,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_chunks, n_repeated (bytes in runs of repeated chunks), spans (removed
+    """One row per row of docs: doc_id, n_bytes, n_chunks, n_repeated (bytes in repeated chunks), spans (removed
     bytes, maximal) and kept (the other bytes).
 
     Texts are UTF-8 bytes, null is empty. Of equal chunks that with the smallest id, then the smallest place stays, a

@@ -139,3 +139,18 @@ def test_chunk_dedup(docs, nothing):
     assert lost[7] == 0 and min(lost[8], lost[9], lost[17]) > 0.8 * len(PASSAGE) and lost[16] == 0 and lost[11] > 18000
     assert got[7].n_repeated > 0.8 * len(PASSAGE) and chunking.deduplicate(nothing).count() == 0
     assert isinstance(got[7], T.Row)
+
+
+def test_short_passages_count(spark):
+    """A passage of which one whole chunk of under 80 bytes is equal in both texts."""
+    r = random.Random(8)
+    noise = lambda n: bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    while len(texts) < 60:  # pairs
+        shared = noise(100)
+        pair = [noise(300) + shared + noise(300) for _ in range(2)]
+        a, b = (set(chunking.chunks(x)[1]) for x in pair)
+        if len(a & b) == 1:
+            texts += pair
+    got = chunking.deduplicate(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(got) == 60 and all(x.n_repeated > 0 and (len(x.spans) > 0) == (x.doc_id % 2 == 1) for x in got)
