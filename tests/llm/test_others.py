@@ -57,6 +57,19 @@ def test_secrets(spark, docs, nothing):
     assert got.pop(5) == [("hex", 0, 5000, True)] and not any(got.values())
 
 
+def test_secrets_background_holds_all_tokens(spark):
+    """A format of 4 among 40,004 ordinary tokens is in the background; long strings are counted to their end."""
+    word = lambda i: "".join(chr(103 + b % 20) for b in hashlib.sha256(str(i).encode()).digest()[:24])
+    code = lambda i: f"X{int(hashlib.sha1(str(i).encode()).hexdigest(), 16) % 10**23:023d}"
+    rare = [code(-i) for i in range(1, 5)]
+    texts = [" ".join(word(i) for i in range(k, k + 100)) for k in range(0, 40000, 100)] + [f"see {x} there" for x in rare] + [f"key token={code(i)} x" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = [s for r in secrets.scan(df, secrets.infer(df)).collect() for s in r.spans]
+    assert sum(s.base for s in spans) == 300 and all(s.base for s in spans)
+    counts = secrets.Automaton(["a" * 300, "b" * 200]).counts
+    assert sum(map(sum, counts)) == 502 and sum(x[secrets.END] for x in counts) == 2
+
+
 def test_quality(spark, docs, nothing):
     d = "/root/testdata/sf0.01"
     out = quality.op4_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
