@@ -3,7 +3,7 @@
 Fixed patterns find credentials of three kinds. The distinct credentials are labelled examples: of each kind's a bounded
 sample makes a prefix tree, whose statistically compatible states are merged into a probabilistic automaton. All ordinary
 tokens, as often as they occur, make a background automaton in the same way. The trees are counted in Spark; once states
-are merged, all whole strings are counted again on their way through them. Then every token of every text that no pattern covers is scored by
+are merged, all whole strings are counted again on their way through them. Then every token of every text that no base span covers whole is scored by
 its likelihood under each format against the background, and what is far more likely a credential is added.
 """
 
@@ -30,17 +30,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Every whole run over the credential alphabet from the least length of any kind.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_LEAST)
 #: Examples of each kind that automata are inferred from: those of least hash.
 EXAMPLES = 1500
 #: Significance of the test that keeps states apart; longest prefix that has a state of its own in the tree.
 ALPHA, DEPTH = 0.01, 128
 #: Visits below which the test can't tell a prefix from any other, so that it needs no state in the tree.
 SEEN = math.floor(0.5 * math.log(2 / ALPHA)) + 1
-#: Distinct strings that a task counts before it hands them on.
-TALLY = 200_000
+#: Distinct strings that a task counts before it hands them on; tokens whose kind a task remembers.
+TALLY, MEMO = 200_000, 200_000
 #: A candidate is added when its likelihood is MARGIN nats above the background's and its mean per character at least
-#: that of all but SLACK of the kind's examples. Such formats mix digits with letters, so tokens without both don't count.
+#: that of all but SLACK of the kind's examples.
 MARGIN, SLACK = 25.0, 0.01
 #: Character classes, which are the automata's symbols; END closes a string.
 SYMBOLS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
@@ -209,8 +210,6 @@ class Formats:
 
     def kind_of(self, token: str) -> str | None:
         """The most likely format of a candidate, None if it may be ordinary."""
-        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            return None
         s = [SYMBOL[c] for c in token]
         plain = log_likelihood(self.background, s)
         best = max(((log_likelihood(states, s), name, least) for name, (states, least) in self.kinds.items()), default=None)
@@ -307,17 +306,28 @@ SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:bo
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
+class Kinds(dict):
+    def __init__(self, formats: Formats):
+        self.formats = formats
+
+    def __missing__(self, token: str) -> str | None:
+        if len(self) >= MEMO:
+            self.clear()
+        kind = self[token] = self.formats.kind_of(token)
+        return kind
+
+
 def _scan(batches: Iterator[pa.RecordBatch], formats: Formats) -> Iterator[pa.RecordBatch]:
+    kinds = Kinds(formats)
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             rows = [(s, k, {"kind": KINDS[k], "start": s, "end": e, "base": True}) for s, k, e, _ in spans]
             for m in CANDIDATE.finditer(text or ""):
-                if not any(s < m.end() and m.start() < e for s, _, e, _ in spans):
-                    kind = formats.kind_of(m[0])
-                    if kind:
-                        rows.append((m.start(), KINDS.index(kind), {"kind": kind, "start": m.start(), "end": m.end(), "base": False}))
+                kind = kinds[m[0]]
+                if kind and not any(s <= m.start() and m.end() <= e for s, _, e, _ in spans):
+                    rows.append((m.start(), KINDS.index(kind), {"kind": kind, "start": m.start(), "end": m.end(), "base": False}))
             out.append([r for *_, r in sorted(rows, key=lambda x: x[:2])])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, SPAN_TYPE)], names=["doc_id", "spans"])
 
