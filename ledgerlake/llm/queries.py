@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
-    "op7_chunk_dedup": chunking.op7_chunk_dedup,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

@@ -154,3 +154,39 @@ def test_short_passages_count(spark):
             texts += pair
     got = chunking.deduplicate(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert len(got) == 60 and all(x.n_repeated > 0 and (len(x.spans) > 0) == (x.doc_id % 2 == 1) for x in got)
+
+
+def brute_chunks(raw):
+    """Byte by byte: the hash of the last 16 bytes, a boundary where its bits 10 to 14 are 0."""
+    gear = chunking.GEAR.tolist()
+    out, last = [], 0
+    for at in range(1, len(raw) + 1):
+        h = sum(gear[b] << k for k, b in enumerate(reversed(raw[max(0, at - 16) : at]))) % (1 << 64)
+        met = at >= 16 and h >> 10 & 31 == 0 and at - last >= 16
+        if met or at - last == 256 or at == len(raw):
+            out.append((last, at))
+            last = at
+    return out
+
+
+def test_chunk_query(spark, tmp_path):
+    """Every row and column of op7_chunk_dedup against brute force; no oracle is the query itself."""
+    from ledgerlake.llm import queries
+
+    assert all(isinstance(x, str) for x in queries.ORACLE_SQL.values())
+    rows = [(i, t) for i, t in dict(ROWS).items() if i is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    raw = {i: (t or "").encode() for i, t in sorted(rows)}
+    places = {}
+    for i, b in raw.items():
+        for s, e in brute_chunks(b):
+            places.setdefault(b[s:e], []).append((i, s, e))
+    want = []
+    for i, b in raw.items():
+        own = brute_chunks(b)
+        again = [(s, e) for s, e in own if len(places[b[s:e]]) > 1]
+        gone = [(s, e) for s, e in again if places[b[s:e]][0][:2] != (i, s)]
+        kept = b"".join(b[s:e] for s, e in own if (s, e) not in gone)
+        n_spans = sum(s not in {e for _, e in gone} for s, _ in gone)
+        want.append((i, len(b), len(own), sum(e - s for s, e in again), len(b) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
+    assert sorted(tuple(r) for r in chunking.op7_chunk_dedup(spark, str(tmp_path)).collect()) == want
