@@ -1,17 +1,21 @@
 """Suffix-array deduplication (operator 10): removes every byte of a WIDTH-byte string that also starts elsewhere.
 
-Equal WIDTH-byte strings have the same least hash of GRAM bytes at the same offset, so both meet at that anchor. Anchors
-whose whole surroundings are equal are settled by counting. The others of an anchor form a bucket, in which what follows
-the anchor is sorted, and so is what precedes it, backwards: a merge sort whose comparisons find the common extension by
-binary search over prefix polynomial hashes, so a comparison is logarithmic. Neighbours in the order are verified byte
-by byte. Strings around the anchor are equal when both their halves are. A bucket of more than BUCKET surroundings
-never meets in a task: its strings are counted by hash instead, which is as exact.
+Equal strings of SPAN bytes have the same least hash of GRAM bytes at the same offset, so both meet at that anchor. Anchors
+whose whole surroundings are equal, by a cryptographic digest, are settled by counting. The others of an anchor form a
+bucket, in which what follows the anchor is sorted, and so is what precedes it, backwards: a merge sort whose comparisons
+find the common extension by binary search over prefix polynomial hashes, so a comparison is logarithmic. Neighbours in
+the order are verified byte by byte. Strings around the anchor are equal when both their halves are.
+
+No bucket is sorted with more than BUCKET surroundings. A larger one is split by offset before the anchor: surroundings
+meet again, a range of offsets at a time, only where all strings that start in the range have a common core. What still
+is too large is split on, down to single strings, which are equal when their digests are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import cmp_to_key, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +26,12 @@ from pyspark.sql import functions as F
 from ledgerlake.llm import bloom
 from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 
-#: Bytes of a string and of an anchor; surroundings of a bucket that are sorted in one task; bytes that are hashed at once.
-WIDTH, GRAM, BUCKET, BLOCK = 400, 64, 1 << 15, 1 << 20
-#: Offsets before an anchor that a larger bucket counts together; those that a task looks at together.
-RANGE, COLUMNS = 16, 48
+#: Bytes of a string that is removed, and of a passage that is reported; window and bytes of an anchor.
+WIDTH, PASSAGE, SPAN, GRAM = 400, 240, 320, 64
+#: Surroundings that are sorted together at most, parts into which a range of offsets is split.
+BUCKET, WAYS = 1024, 19
+#: Bytes that are hashed at once; surroundings that a task sorts in one go; offsets that it looks at together.
+BLOCK, ROWS, COLUMNS = 1 << 20, 3072, 48
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint64)
@@ -55,10 +61,13 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(after[:n], before[width - 1 : width - 1 + n])
 
 
-def anchors(raw: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of each GRAM that has the least hash of some ``width`` bytes around it."""
-    span, found, hashes = width - GRAM + 1, [], []
-    for k in range(0, len(raw) - width + 1, BLOCK):
+def anchors(raw: bytes, width: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of each GRAM that has the least hash of some ``width`` bytes around it; of a shorter text, of
+    that with the least hash of all."""
+    found, hashes = [], []
+    width = min(width, len(raw))
+    span = width - GRAM + 1
+    for k in range(0, len(raw) - width + 1 if span > 0 else 0, BLOCK):
         seg = np.frombuffer(raw, np.uint8)[k : k + BLOCK + width - 1]
         total = np.zeros(len(seg) + 1, np.uint64)
         np.cumsum(BYTES[seg] * POWERS[: len(seg)], out=total[1:])
@@ -83,293 +92,373 @@ def surroundings(raw: bytes | memoryview, pos: int, width: int = WIDTH) -> tuple
     return pos - start, bytes(raw[start : pos + width])
 
 
+def digest(offset: int, raw: bytes) -> bytes:
+    """16 bytes that tell strings at an offset apart: half of a cryptographic digest."""
+    return hashlib.sha256(b"%d:%b" % (offset, raw)).digest()[:16]
+
+
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))
+
+
+PROFILE = "k1 long, k2 long, rk long, n long, pos array<int>, h array<long>, c1 array<long>, c2 array<long>"
+
+
 def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, pos, hashes, contexts = [], [], [], []
         for raw in batch.column("text").cast(pa.binary()).to_pylist():
-            at, h = anchors(raw, width)
+            at, h = anchors(raw)
             n.append(len(at))
             pos.append(at.astype(np.int32))
             hashes.append(h.view(np.int64))
-            for p in at.tolist():
-                a, around = surroundings(raw, p, width)
-                contexts.append(xxhash.xxh3_64_intdigest(around, seed=a))
+            contexts += [digest(*surroundings(raw, p, width)) for p in at.tolist()]
         edges = pa.array(np.cumsum([0, *n]), pa.int32())
-        lists = [np.concatenate([np.empty(0, np.int32), *pos]), np.concatenate([np.empty(0, np.int64), *hashes]), np.array(contexts, np.uint64).view(np.int64)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "rk", "n")), *(pa.ListArray.from_arrays(edges, pa.array(x)) for x in lists)], names=["k1", "k2", "rk", "n", "pos", "h", "c"])
+        lists = [pa.array(np.concatenate([np.empty(0, np.int32), *pos])), pa.array(np.concatenate([np.empty(0, np.int64), *hashes])), *_halves(contexts)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "rk", "n")), *(pa.ListArray.from_arrays(edges, x) for x in lists)], names=["k1", "k2", "rk", "n", "pos", "h", "c1", "c2"])
+
+
+AROUND = "k1 long, k2 long, pos int, h long, c1 long, many boolean, a int, around binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows (k1, k2, text, wanted) to the surroundings of the wanted anchors."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
     for batch in batches:
         for k1, k2, raw, wanted in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             for k in range(0, len(wanted), 4096):
-                rows = [(k1, k2, w["pos"], w["h"], w["c"], w["many"], *surroundings(raw, w["pos"], width)) for w in wanted[k : k + 4096]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names=["k1", "k2", "pos", "h", "c", "many", "a", "around"])
-
-
-def prefix_hashes(strings: list[bytes]) -> np.ndarray:
-    """String by length: the polynomial hash of each prefix."""
-    longest = max(map(len, strings))
-    grid = np.zeros((len(strings), longest + 1), np.uint64)
-    for i, s in enumerate(strings):
-        grid[i, 1 : len(s) + 1] = BYTES[np.frombuffer(s, np.uint8)]
-    grid[:, 1:] *= POWERS[:longest]
-    return np.cumsum(grid, axis=1, dtype=np.uint64)
-
-
-def suffix_sort(strings: list[bytes]) -> tuple[list[int], np.ndarray]:
-    """Their order, and how far each in this order agrees with the one before (0 for the first)."""
-    hashes = prefix_hashes(strings)
-    if len(strings) <= 1024:
-        hashes = hashes.tolist()  # quicker to look up, but larger
-
-    def common(i: int, j: int) -> int:
-        x, y = hashes[i], hashes[j]
-        lo, hi = 0, min(len(strings[i]), len(strings[j]))
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if x[mid] == y[mid]:
-                lo = mid
-            else:
-                hi = mid - 1
-        return lo
-
-    def compare(i: int, j: int) -> int:
-        n, s, t = common(i, j), strings[i], strings[j]
-        return s[n] - t[n] if n < min(len(s), len(t)) else len(s) - len(t)
-
-    order = sorted(range(len(strings)), key=cmp_to_key(compare))
-    agree = [0] + [common(i, j) for i, j in zip(order, order[1:])]  # noqa: B905
-    if all(strings[i][:n] == strings[j][:n] and strings[i] <= strings[j] for i, j, n in zip(order, order[1:], agree[1:])):  # noqa: B905
-        return order, np.array(agree)
-    order = sorted(range(len(strings)), key=strings.__getitem__)  # two prefixes share a hash: compare bytes instead
-    agree = [0]
-    for i, j in zip(order, order[1:]):  # noqa: B905
-        s, t = (np.frombuffer(strings[x][: min(len(strings[i]), len(strings[j]))], np.uint8) for x in (i, j))
-        differ = np.flatnonzero(s != t)
-        agree.append(int(differ[0]) if len(differ) else len(s))
-    return order, np.array(agree)
-
-
-def _classes(strings: list[bytes], sort: tuple[list[int], np.ndarray], depths: np.ndarray) -> np.ndarray:
-    """String by depth: equal numbers for strings that agree on so many bytes; -1 for shorter ones."""
-    order, agree = sort
+                rows = [(k1, k2, w["pos"], w["h"], w["c1"], w["many"], *surroundings(raw, w["pos"], width)) for w in wanted[k : k + 4096]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "pos", "h", "c1", "many", "a", "around"])
+
+
+class Suffixes:
+    """Strings in groups (equal neighbours of ``group``), sorted within their group.
+
+    order: the strings in order. agree: how many bytes each in this order shares with the one before, -1 for the first of
+    a group.
+    """
+
+    def __init__(self, strings: list[bytes], group: np.ndarray):
+        n = len(strings)
+        self.lens = np.fromiter(map(len, strings), np.int64, n)
+        self.wide = int(self.lens.max(initial=0)) + 1
+        flat = np.frombuffer(b"".join(s.ljust(self.wide, b"\0") for s in strings), np.uint8)
+        self.bytes = flat.reshape(n, self.wide)
+        hashes = np.zeros((n, self.wide + 1), np.uint64)
+        np.cumsum(BYTES[self.bytes] * POWERS[: self.wide], axis=1, out=hashes[:, 1:])
+        self.hashes = hashes.reshape(-1)
+        first = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.empty(0, bool)
+        self.start = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.empty(0, np.int64)
+        self.size = np.bincount(self.start, minlength=n)[self.start] if n else np.empty(0, np.int64)
+        self.first = first
+        self.order = self._merge_sort()
+        self.agree = np.full(n, -1, np.int64)
+        inner = np.flatnonzero(~first)
+        self.agree[inner] = self._common(self.order[inner - 1], self.order[inner])
+        self._verify(strings, inner)
+
+    def _common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The length of the common prefix, by binary search for the longest prefixes with equal hashes."""
+        lo, hi = np.zeros(len(i), np.int64), np.minimum(self.lens[i], self.lens[j])
+        at_i, at_j = i * (self.wide + 1), j * (self.wide + 1)
+        for _ in range(int(hi.max(initial=0)).bit_length()):
+            mid = (lo + hi + 1) >> 1
+            same = self.hashes[at_i + mid] == self.hashes[at_j + mid]
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        return np.minimum(lo, hi)
+
+    def _after(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The byte at place n, -1 at the end."""
+        return np.where(n < self.lens[i], self.bytes[i, np.minimum(n, self.wide - 1)].astype(np.int64), -1)
+
+    def _merge_sort(self) -> np.ndarray:
+        """Runs of 1, 2, 4, ... are merged two by two, in all groups at once: each string's place is its rank in its own
+        run and in the other one, found by binary search."""
+        order, width = np.arange(len(self.lens)), 1
+        at = order - self.start
+        while len(on := np.flatnonzero(self.size > width)):
+            x, begin, size, r = order[on], self.start[on], self.size[on], at[on]
+            run = r // width
+            lo = np.minimum((run ^ 1) * width, size)
+            other, hi = lo.copy(), np.minimum(lo + width, size)
+            for _ in range(width.bit_length()):
+                open_ = np.flatnonzero(lo < hi)
+                mid = (lo[open_] + hi[open_]) >> 1
+                y, own = order[begin[open_] + mid], x[open_]
+                n = self._common(y, own)
+                a, b = self._after(y, n), self._after(own, n)
+                before = (a < b) | ((a == b) & (run[open_] % 2 == 1))
+                lo[open_], hi[open_] = np.where(before, mid + 1, lo[open_]), np.where(before, hi[open_], mid)
+            merged = order.copy()
+            merged[begin + (run & ~1) * width + r % width + lo - other] = x
+            order, width = merged, width * 2
+        return order
+
+    def _verify(self, strings: list[bytes], inner: np.ndarray) -> None:
+        """Compares neighbours byte by byte. Groups in which prefixes with equal hashes differ are sorted by bytes."""
+        wrong: set[int] = set()
+        for k in range(0, len(inner), 1024):
+            some = inner[k : k + 1024]
+            i, j = self.order[some - 1], self.order[some]
+            differ = self.bytes[i] != self.bytes[j]
+            true = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), self.wide), np.minimum(self.lens[i], self.lens[j]))
+            bad = (true != self.agree[some]) | (self._after(i, true) > self._after(j, true))
+            wrong.update(self.start[some[bad]].tolist())
+        for s in wrong:
+            e = s + int(self.size[s])
+            own = sorted(range(s, e), key=strings.__getitem__)
+            self.order[s:e] = own
+            for k in range(s + 1, e):
+                a, b = strings[own[k - s - 1]], strings[own[k - s]]
+                n = min(len(a), len(b))
+                self.agree[k] = next((x for x in range(n) if a[x] != b[x]), n)
+
+    def longest(self) -> np.ndarray:
+        """Of each string, the most bytes that it shares with another one of its group."""
+        out = np.empty(len(self.agree), np.int64)
+        out[self.order] = np.maximum(self.agree, np.append(self.agree[1:], -1))
+        return np.maximum(out, 0)
+
+    def only(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, agree, lens) of some strings, one at least, numbered as in ``some``."""
+        number = np.full(len(self.order), -1, np.int64)
+        number[some] = np.arange(len(some))
+        kept = np.flatnonzero(number[self.order] >= 0)
+        agree = np.minimum.reduceat(self.agree[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
+        return number[self.order[kept]], agree, self.lens[some]
+
+
+def classes(order: np.ndarray, agree: np.ndarray, lens: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """String by depth: equal numbers for strings of a group that share so many bytes; -1 for shorter strings."""
     rank = np.arange(len(order), dtype=np.int64)[:, None]
     ids = np.empty((len(order), len(depths)), np.int64)
     ids[order] = np.maximum.accumulate(np.where(agree[:, None] < depths[None, :], rank, 0), axis=0)
-    ids[np.array([len(s) for s in strings])[:, None] < depths[None, :]] = -1
+    ids[lens[:, None] < depths[None, :]] = -1
     return ids
 
 
-def repeated_strings(around: list[tuple[int, bytes]], width: int = WIDTH) -> np.ndarray:
-    """Surroundings by bytes before the anchor: whether the string of ``width`` bytes that starts there occurs in two.
-    Some columns at a time, so that memory is that of the surroundings."""
-    back, ahead = [s[:a][::-1] for a, s in around], [s[a:] for a, s in around]
-    back_sort, ahead_sort = suffix_sort(back), suffix_sort(ahead)
-    n, all_before = len(around), np.arange(width - GRAM + 1)
-    out = np.zeros((n, len(all_before)), bool)
-    for k in range(0, len(all_before), COLUMNS):
-        before = all_before[k : k + COLUMNS]
-        b, f = _classes(back, back_sort, before), _classes(ahead, ahead_sort, width - before)
-        both = np.where((b >= 0) & (f >= 0), b * n + f, -1 - np.arange(n)[:, None])
+def repeated_strings(back: Suffixes, ahead: Suffixes, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (surroundings, from, to) of bytes before the anchor at which strings of ``width`` bytes start that occur in
+    two of a group; from lo to hi. Some columns at a time, so that memory is that of the surroundings."""
+    before_most, ahead_most = back.longest(), ahead.longest()
+    some = np.flatnonzero(before_most + ahead_most >= width)
+    if not len(some):
+        return some, some, some
+    first = max(0, width - int(ahead_most[some].max()), int(lo[some].min()))
+    last = min(width - GRAM, int(before_most[some].max()), int(hi[some].max()))
+    n, parts = len(some), [back.only(some), ahead.only(some)]
+    out = np.zeros((n, max(0, last - first + 1) + 2), np.int8)  # an empty column at both ends
+    for k in range(first, last + 1, COLUMNS):
+        before = np.arange(k, min(k + COLUMNS, last + 1))
+        b, f = classes(*parts[0], before), classes(*parts[1], width - before)
+        inside = (b >= 0) & (f >= 0) & (before >= lo[some, None]) & (before <= hi[some, None])
+        both = np.where(inside, b * n + f, -1 - np.arange(n)[:, None])
         order = np.argsort(both, axis=0, kind="stable")
         ranked = np.take_along_axis(both, order, axis=0)
         same = ranked[1:] == ranked[:-1]
         twice = np.zeros(both.shape, bool)
         twice[1:] |= same
         twice[:-1] |= same
-        np.put_along_axis(out[:, k : k + COLUMNS], order, twice, axis=0)
-    return out
-
+        np.put_along_axis(out[:, 1 + k - first : 1 + k - first + len(before)], order, twice.view(np.int8), axis=0)
+    edge = np.diff(out, axis=1)
+    (i, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return some[i], begin + first, end + first - 1
 
-def _spans(pos: int, hit: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Bytes that the strings which start ``hit`` bytes before pos cover."""
-    if not len(hit):
-        return []
-    parts = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
-    return [(pos - int(p[-1]), pos - int(p[0]) + width) for p in parts]
 
+#: width: that of the strings which cover the bytes, the largest one wanted or a smaller one.
+COVER = {"k1": pa.int64(), "k2": pa.int64(), "width": pa.int32(), "lo": pa.int64(), "hi": pa.int64()}
+DIGESTS = {"h": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "core": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
 
-SPAN = "k1 long, k2 long, lo long, hi long"
 
+def _rows(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], names=list(columns))
 
-def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Surroundings in order of anchor and digest: the bytes that repeated strings cover."""
-    held: list[tuple] = []
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            twice = repeated_strings([(a, s) for *_, a, s in held], width)
-            rows = [(k1, k2, lo, hi) for (k1, k2, pos, *_), hit in zip(held, twice, strict=True) for lo, hi in _spans(pos, np.flatnonzero(hit), width)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["k1", "k2", "lo", "hi"])
+def _ddl(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in columns.items())
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "pos", "h", "c", "a", "around")), strict=True):
-            if held and row[3] != held[-1][3]:
-                yield from done()
-                held = []
-            if not held or row[4] != held[-1][4]:  # a text that several rows have comes several times
-                held.append(row)
-    yield from done()
 
+def _buckets(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Surroundings in order of group and digest, with the offsets that count (lo to hi): the bytes that repeated strings
+    cover, by width. Whole groups are sorted together, ROWS and one group at most."""
+    held: list[tuple] = []
+    begins = 0
+
+    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        group = np.array([r[0] for r in rows], np.int64)
+        back = Suffixes([r[7][: r[6]][::-1] for r in rows], group)
+        ahead = Suffixes([r[7][r[6] :] for r in rows], group)
+        lo, hi = (np.array([r[k] for r in rows], np.int64) for k in (4, 5))
+        k1, k2, pos = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        for width in widths:
+            i, begin, end = repeated_strings(back, ahead, width, lo, hi)
+            if len(i):
+                columns = (k1[i], k2[i], np.full(len(i), width, np.int32), pos[i] - end, pos[i] - begin + width)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, COVER.values(), strict=True)], names=list(COVER))
 
-def _range_digests(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of surroundings and each range of RANGE offsets before the anchor: a digest of what all strings that start there
-    share, and one of all their bytes. Where a text's edge cuts the range, nothing else has that second digest."""
     for batch in batches:
-        out = []
-        for k1, k2, pos, a, s in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "pos", "a", "around")), strict=True):
-            least, most = max(0, a + width - len(s)), min(a, width - GRAM)
-            for lo in range(least - least % RANGE, most + 1, RANGE):
-                hi = min(lo + RANGE - 1, width - GRAM)
-                core = xxhash.xxh3_64_intdigest(s[a - lo : a - hi + width], seed=lo)
-                whole = s[a - hi : a - lo + width] if least <= lo and hi <= most else f"{k1}:{k2}:{pos}".encode()
-                full = xxhash.xxh3_128_intdigest(whole, seed=lo)
-                out.append((k1, k2, pos, lo, core - (1 << 63), (full & MASK) - (1 << 63), (full >> 64) - (1 << 63)))
-                if len(out) >= 65536:
-                    yield _rows(out, RANGES)
-                    out = []
-        if out:
-            yield _rows(out, RANGES)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "pos", "lo", "hi", "a", "around")), strict=True):
+            if held and row[0] != held[-1][0]:
+                if begins == len(held) - 1:
+                    held.pop()  # alone in its group
+                if len(held) >= ROWS:
+                    yield from done(held)
+                    held = []
+                begins = len(held)
+            if len(held) == begins or row[1:4] != held[-1][1:4]:  # a text that several rows have comes several times
+                held.append(row)
+    if len(held) > 1:
+        yield from done(held)
 
 
-def _string_digests(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of surroundings and ranges: the digest of each string of ``width`` bytes that starts in them."""
+def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of surroundings and each part of their ranges of offsets before the anchor: a digest of what all strings that
+    start there share, and one of all their bytes. Where a text's edge cuts a range, nothing else has the second one."""
     for batch in batches:
         out = []
-        for k1, k2, pos, a, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "pos", "a", "around", "ranges")), strict=True):
+        for h, k1, k2, pos, a, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("h", "k1", "k2", "pos", "a", "around", "ranges")), strict=True):
             least, most = max(0, a + width - len(s)), min(a, width - GRAM)
-            for lo in ranges:
-                for b in range(max(lo, least), min(lo + RANGE - 1, most) + 1):
-                    d = xxhash.xxh3_128_intdigest(s[a - b : a - b + width])
-                    out.append((k1, k2, pos, b, (d & MASK) - (1 << 63), (d >> 64) - (1 << 63)))
+            for begin, end in ((r["lo"], r["hi"]) for r in ranges):
+                step = -(-(end - begin + 1) // WAYS)
+                for lo in range(begin, end + 1, step):
+                    hi = min(lo + step - 1, end)
+                    if hi < least or lo > most:
+                        continue
+                    core = xxhash.xxh3_64_intdigest(s[max(0, a - lo) : a - hi + width], seed=lo) - (1 << 63)
+                    whole = s[a - hi : a - lo + width] if least <= lo and hi <= most else f"{k1}:{k2}:{pos}".encode()
+                    full = digest(lo, whole)
+                    out.append((h, k1, k2, pos, lo, hi, core, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True)))
             if len(out) >= 65536:
-                yield _rows(out, STRINGS)
+                yield _rows(out, DIGESTS)
                 out = []
         if out:
-            yield _rows(out, STRINGS)
-
-
-RANGES = {"k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "lo": pa.int32(), "core": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
-STRINGS = {"k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "b": pa.int32(), "w1": pa.int64(), "w2": pa.int64()}
-
-
-def _rows(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], names=list(columns))
-
-
-def _ddl(columns: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in columns.items())
+            yield _rows(out, DIGESTS)
 
 
-def _counted(around: DataFrame, width: int) -> DataFrame:
-    """The same as _buckets for buckets of any size: equal bytes are counted by digest, with partial counts first, so no
-    bucket meets in a task.
+def _split_large(around: DataFrame, width: int, bucket: int) -> DataFrame:
+    """What _buckets finds for strings of one width, for buckets of any size.
 
-    Ranges that are equal in two surroundings are repeated as a whole; those that share nothing with others aren't; only
-    the strings of the rest, which hold the edge of what is shared, are counted one by one.
+    Ranges of offsets whose bytes are equal in two surroundings are repeated as a whole. Of the different ones that share
+    a range's core, up to ``bucket`` are sorted; more are split on. Counts combine before they meet, so no bucket does.
     """
-    key, digest = ["k1", "k2", "pos"], ["lo", "core", "f1", "f2"]
-    around = around.dropDuplicates(["h", "c"]).select(*key, "a", "around")
-    around = staged(around, "suffix-crowded")
-    each = staged(around.mapInArrow(partial(_range_digests, width=width), _ddl(RANGES)), "suffix-ranges")
-    fulls = staged(each.groupBy(*digest).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key)).alias("one")), "suffix-fulls")
-    whole = staged(fulls.where("n > 1").select(*digest, "n", F.lit(True).alias("whole")), "suffix-whole-ranges")
-    met = lookup(each, whole, digest, "n").where("whole")
-    hi = F.least(F.col("lo") + (RANGE - 1), F.lit(width - GRAM))
-    covered = met.select("k1", "k2", (F.col("pos") - hi).cast("long").alias("lo"), (F.col("pos") - F.col("lo") + width).cast("long").alias("hi"))
-
-    shared = staged(fulls.groupBy("lo", "core").agg(F.count(F.lit(1)).alias("n_fulls")).where("n_fulls > 1"), "suffix-shared")
-    mixed = lookup(fulls.select("lo", "core", "one.*"), shared.withColumn("mixed", F.lit(True)), ["lo", "core"], "n_fulls").where("mixed")
-    wanted = staged(mixed.groupBy(*key).agg(F.collect_set("lo").alias("ranges")), "suffix-wanted-ranges")
-    strings = staged(around.join(wanted, key).mapInArrow(partial(_string_digests, width=width), _ddl(STRINGS)), "suffix-strings")
-    twice = strings.groupBy("b", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("twice")).where("n > 1")
-    hit = lookup(strings, staged(twice, "suffix-twice"), ["b", "w1", "w2"], "n").where("twice")
-    return covered.unionByName(hit.select("k1", "k2", (F.col("pos") - F.col("b")).cast("long").alias("lo"), (F.col("pos") - F.col("b") + width).cast("long").alias("hi")))
-
-
-SPANS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    key, part, full = ["k1", "k2", "pos"], ["h", "lo", "hi", "core"], ["f1", "f2"]
+    ranges = F.array(F.struct(F.lit(0).alias("lo"), F.lit(width - GRAM).alias("hi")))
+    around = staged(around.dropDuplicates(["h", "c1"]).select("h", *key, "a", "around"), "suffix-crowded")
+    todo, found = around.withColumn("ranges", ranges), None
+    while True:
+        each = staged(todo.mapInArrow(partial(_split, width=width), _ddl(DIGESTS)), "suffix-ranges")
+        fulls = staged(each.groupBy(*part, *full).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key)).alias("one")), "suffix-fulls")
+        whole = staged(fulls.where("n > 1").select(*part, *full, "n", F.lit(True).alias("whole")), "suffix-whole-ranges")
+        met = lookup(each, whole, [*part, *full], "n").where("whole")
+        sure = met.select("k1", "k2", F.lit(width).alias("width"), (F.col("pos") - F.col("hi")).cast("long").alias("lo"), (F.col("pos") - F.col("lo") + width).cast("long").alias("hi"))
+        shared = staged(fulls.groupBy(*part).agg(F.count(F.lit(1)).alias("n_fulls")).where("n_fulls > 1").withColumn("size", F.col("n_fulls")), "suffix-shared")
+        open_ = staged(lookup(fulls.select(*part, "one.*"), shared, part, "n_fulls").where("size is not null"), "suffix-open")
+        few = open_.where(F.col("size") <= bucket).select(F.xxhash64(*part).alias("g"), *key, "lo", "hi")
+        leaves = few.join(around.select(*key, "a", "around"), key).repartition("g").sortWithinPartitions("g", *key)
+        sure = sure.unionByName(leaves.mapInArrow(partial(_buckets, widths=(width,)), _ddl(COVER)))
+        found = sure if found is None else found.unionByName(sure)
+        more = open_.where((F.col("size") > bucket) & (F.col("hi") > F.col("lo")))
+        if more.isEmpty():
+            return found
+        more = more.groupBy("h", *key).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+        todo = around.join(more, ["h", *key])
+
+
+SPANS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, passages array<struct<start:long,end:long>>, kept binary"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merged(found: list[dict]) -> list[dict]:
+    merged: list[dict] = []
+    for x in sorted(found, key=lambda x: x["start"]):
+        if merged and x["start"] <= merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], x["end"])
+        else:
+            merged.append(dict(x))
+    return merged
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        spans, kept = [], []
-        for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            merged, at, left = [], 0, []
-            for x in sorted(found, key=lambda x: x["start"]):
-                if merged and x["start"] <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(merged[-1]["end"], x["end"])
-                else:
-                    merged.append(dict(x))
+        spans, passages, kept = [], [], []
+        for raw, gone, seen in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("passages").to_pylist(), strict=True):
+            merged, at, left = _merged(gone), 0, []
             for x in merged:
                 left.append(raw[at : x["start"]])
                 at = x["end"]
             spans.append(merged)
+            passages.append(_merged([*seen, *merged]))
             kept.append(b"".join([*left, raw[at:]]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(spans, SPAN_TYPE), pa.array(passages, SPAN_TYPE), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "passages", "kept"])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, spans (removed bytes, maximal) and kept (the other bytes).
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket: int = BUCKET, passage: int = PASSAGE) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, spans (removed bytes, maximal), passages, kept (the bytes outside spans).
 
+    passages: bytes of strings of ``passage`` bytes that two texts, or two places, have around a common anchor; all such
+    strings of SPAN bytes and more have one, shorter ones mostly. They are reported, not removed, unless in spans.
     Texts are UTF-8 bytes, null is empty; matches never cross documents. Texts shorter than ``width`` lose nothing, equal
     texts of that length and more lose everything, as do repeated rows. Other columns don't matter; no rows give no
-    rows. Texts without a repeated string aren't shuffled. ``width`` is over twice GRAM.
+    rows. Texts without a repeated string aren't shuffled. GRAM < passage <= SPAN <= width; ``bucket`` changes no result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.xxhash64(F.col(id_col), text).alias("rk"))
-    long_rows = rows.where(F.col("n") >= width)
-    per = staged(long_rows.mapInArrow(partial(_profile, width=width), "k1 long, k2 long, rk long, n long, pos array<int>, h array<long>, c array<long>"), "suffix-profiles")
-    counts = staged(per.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("rk").alias("rk")), "suffix-texts")
-    several = counts.where("copies > 1").select("k1", "k2", "copies", F.lit(True).alias("several"))
-    per = lookup(per, staged(counts.where("copies > 1").select("k1", "k2", "copies", F.col("rk").alias("first")), "suffix-copies"), ["k1", "k2"], "copies").where("first is null or rk = first")
-    at = per.select("k1", "k2", "rk", "n", "first", F.explode(F.arrays_zip("pos", "h", "c")).alias("x")).select("k1", "k2", "rk", F.col("n").alias("n_bytes"), "x.*", F.col("first").isNotNull().alias("copied"))
+    long_rows = rows.where(F.col("n") >= passage)
+    per = staged(long_rows.mapInArrow(partial(_profile, width=width), PROFILE), "suffix-profiles")
+    counts = per.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("rk").alias("first")).where("copies > 1")
+    several = staged(counts, "suffix-copies")
+    per = lookup(per, several, ["k1", "k2"], "copies").where("first is null or rk = first")
+    at = per.select("k1", "k2", "rk", F.col("n").alias("n_bytes"), F.col("first").isNotNull().alias("copied"), F.explode(F.arrays_zip("pos", "h", "c1", "c2")).alias("x")).select("k1", "k2", "rk", "n_bytes", "x.*", "copied")
 
     # Equal surroundings, by anchor; anchors with several kinds of surroundings.
-    kinds = at.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("copied"), F.min(F.struct("k1", "k2", "pos", "rk")).alias("one"))
-    kinds = staged(kinds, "suffix-kinds")
+    kind = ["h", "c1", "c2"]
+    kinds = staged(at.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos", "k1", "k2")).alias("one")), "suffix-kinds")
     mixed = staged(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n_kinds")).where("n_kinds > 1"), "suffix-mixed")
-    whole = staged(kinds.where("n > 1").select("h", "c", "n", F.lit(True).alias("whole")), "suffix-whole")
+    whole = staged(kinds.where("n > 1").select(*kind, "n", F.lit(True).alias("whole")), "suffix-whole")
     blocks = bloom.blocks_for(whole.count())
-    near = bloom.probe(at.where("not copied"), "c", staged(bloom.member_filter(whole, "c", blocks), "suffix-bloom"), blocks, "maybe").where("maybe").drop("maybe")
-    covered = lookup(near, whole, ["h", "c"], "n").where("whole")
+    near = bloom.probe(at.where("not copied"), "c1", staged(bloom.member_filter(whole, "c1", blocks), "suffix-bloom"), blocks, "maybe").where("maybe").drop("maybe")
+    covered = lookup(near, whole, kind, "n").where("whole")
     covered = covered.select("k1", "k2", F.greatest(F.col("pos") - (width - GRAM), F.lit(0)).cast("long").alias("lo"), F.least(F.col("pos") + width, F.col("n_bytes")).cast("long").alias("hi"))
+    covered = covered.withColumn("width", F.when(F.col("hi") - F.col("lo") >= width, width).otherwise(passage)).where(F.col("hi") - F.col("lo") >= passage)
 
     # One of each kind of surroundings of a mixed anchor, with its bytes.
     blocks = bloom.blocks_for(mixed.count())
     near = bloom.probe(kinds, "h", staged(bloom.member_filter(mixed, "h", blocks), "suffix-mixed-bloom"), blocks, "maybe").where("maybe")
-    near = lookup(near.select("h", "c", "one"), mixed.withColumn("size", F.col("n_kinds")), ["h"], "n_kinds").where("size is not null")
-    wanted = near.select("one.k1", "one.k2", "one.rk", F.struct("one.pos", "h", "c", (F.col("size") > bucket).alias("many")).alias("w"))
+    near = lookup(near.select("h", "c1", "one"), mixed.withColumn("size", F.col("n_kinds")), ["h"], "n_kinds").where("size is not null")
+    wanted = near.select("one.k1", "one.k2", "one.rk", F.struct("one.pos", "h", "c1", (F.col("size") > bucket).alias("many")).alias("w"))
     wanted = staged(wanted.groupBy("k1", "k2", "rk").agg(F.collect_list("w").alias("wanted")), "suffix-wanted")
     blocks = bloom.blocks_for(wanted.count())
     asked = bloom.probe(long_rows, "rk", staged(bloom.member_filter(wanted, "rk", blocks), "suffix-wanted-bloom"), blocks, "maybe").where("maybe").select("k1", "k2", "rk", "text")
-    around = asked.join(wanted, ["k1", "k2", "rk"]).mapInArrow(partial(_contexts, width=width), "k1 long, k2 long, pos int, h long, c long, many boolean, a int, around binary")
-    around = staged(around, "suffix-around")
-    sorted_in = around.where("not many").repartition("h").sortWithinPartitions("h", "c")
-    edges = sorted_in.mapInArrow(partial(_buckets, width=width), SPAN)
+    around = staged(asked.join(wanted, ["k1", "k2", "rk"]).mapInArrow(partial(_contexts, width=width), AROUND), "suffix-around")
+    few = around.where("not many").select(F.col("h").alias("g"), "k1", "k2", "pos", F.lit(0).alias("lo"), F.lit(width).alias("hi"), "a", "around")
+    edges = few.repartition("g").sortWithinPartitions("g", "k1", "k2", "pos").mapInArrow(partial(_buckets, widths=(width, passage)), _ddl(COVER))
     many = around.where("many")
     if not many.isEmpty():
-        edges = edges.unionByName(_counted(many, width))
+        for w in (width, passage):
+            edges = edges.unionByName(_split_large(many, w, bucket))
 
-    marks = covered.unionByName(edges).groupBy("k1", "k2").agg(F.collect_set(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"))).alias("spans"))
+    span = F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"))
+    wide = F.col("width") >= width
+    marks = covered.select(*COVER).unionByName(edges).groupBy("k1", "k2").agg(F.collect_set(F.when(wide, span)).alias("spans"), F.collect_set(F.when(~wide, span)).alias("passages"))
     marks = staged(marks.join(several.select("k1", "k2"), ["k1", "k2"], "left_anti"), "suffix-marks")
     known = staged(several.select("k1").unionByName(marks.select("k1")), "suffix-known")
     blocks = bloom.blocks_for(known.count())
     asked = bloom.probe(rows, "k1", staged(bloom.member_filter(known, "k1", blocks), "suffix-known-bloom"), blocks, "maybe")
-    none, whole_text = F.array().cast("array<struct<start:long,end:long>>"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
-    clean = asked.where("not maybe").select("doc_id", F.col("n").alias("n_bytes"), none.alias("spans"), F.col("text").cast("binary").alias("kept"))
-    met = lookup(asked.where("maybe").drop("maybe", "rk"), staged(several, "suffix-several"), ["k1", "k2"], "copies")
-    gone = met.where("several").select("doc_id", F.col("n").alias("n_bytes"), whole_text.alias("spans"), F.lit(b"").alias("kept"))
-    rest = met.where("several is null").drop("several").join(marks, ["k1", "k2"], "left").withColumn("spans", F.coalesce("spans", none))
-    return clean.unionByName(gone).unionByName(rest.select("doc_id", "n", "text", "spans").mapInArrow(_cut, SPANS))
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
+    clean = asked.where("not maybe").select("doc_id", F.col("n").alias("n_bytes"), none.alias("spans"), none.alias("passages"), F.col("text").cast("binary").alias("kept"))
+    met = lookup(asked.where("maybe").drop("maybe", "rk"), several, ["k1", "k2"], "copies")
+    long_enough = F.col("n") >= width
+    copies = met.where("first is not null").select("doc_id", F.col("n").alias("n_bytes"), F.when(long_enough, all_of).otherwise(none).alias("spans"), all_of.alias("passages"), F.when(long_enough, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"))
+    rest = met.where("first is null").drop("first").join(marks, ["k1", "k2"], "left").withColumns({"spans": F.coalesce("spans", none), "passages": F.coalesce("passages", none)})
+    return clean.unionByName(copies).unionByName(rest.select("doc_id", "n", "text", "spans", "passages").mapInArrow(_cut, SPANS))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_repeated, beside the contract's columns: bytes in passages, as deduplicate() reports them."""
     out = deduplicate(table(spark, sf_dir, "documents"))
-    n_removed = F.aggregate(F.transform("spans", lambda x: x["end"] - x["start"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed")
-    return out.select("doc_id", "n_bytes", n_removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    length = lambda c: F.aggregate(F.transform(c, lambda x: x["end"] - x["start"]), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "n_bytes", length("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), length("passages").alias("n_repeated"))

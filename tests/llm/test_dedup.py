@@ -87,7 +87,7 @@ def test_near(docs, nothing, width, num, rare_first):
         assert ngram_join.components(nothing).count() == 0
 
 
-def brute_suffix(width):
+def brute_masks(width):
     raw = [(t or "").encode() for _, t in ROWS]
     seen = {}
     for k, b in enumerate(raw):
@@ -98,25 +98,59 @@ def brute_suffix(width):
         if len(places) > 1:
             for k, s in places:
                 masks[k][s : s + width] = True
-    return sorted((str(i), len(b), int(m.sum()), bytes(np.frombuffer(b, np.uint8)[~m])) for (i, _), b, m in zip(ROWS, raw, masks, strict=True))
+    return raw, masks
 
 
-@pytest.mark.parametrize("bucket", [1 << 15, 1])
+@pytest.mark.parametrize("bucket", [1024, 2])
 def test_suffix(docs, nothing, bucket):
+    """Removed bytes at any size of a bucket; passages have all strings of SPAN bytes and none shorter than asked."""
     got = suffix_dedup.deduplicate(docs, bucket=bucket).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, sum(x.end - x.start for x in r.spans), bytes(r.kept)) for r in got) == brute_suffix(400)
-    if bucket == 1:
+    raw, masks = brute_masks(400)
+    want = sorted((str(i), len(b), int(m.sum()), bytes(np.frombuffer(b, np.uint8)[~m])) for (i, _), b, m in zip(ROWS, raw, masks, strict=True))
+    assert sorted((str(r.doc_id), r.n_bytes, sum(x.end - x.start for x in r.spans), bytes(r.kept)) for r in got) == want
+    _, least = brute_masks(suffix_dedup.SPAN)
+    _, most = brute_masks(suffix_dedup.PASSAGE)
+    by_text = {(str(r.doc_id), r.n_bytes): r for r in got}
+    for (i, _), b, lo, hi in zip(ROWS, raw, least, most, strict=True):
+        found = np.zeros(len(b), bool)
+        for x in by_text[str(i), len(b)].passages:
+            found[x.start : x.end] = True
+        assert not (lo & ~found).any() and not (found & ~hi).any()
+    if bucket == 2:
         assert suffix_dedup.deduplicate(nothing).count() == 0
 
 
+def test_crowded_bucket(spark):
+    """200 texts share a passage of 450 bytes, each with an ending of its own, so that buckets split down to strings."""
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = noise(450)
+    texts = [noise(300) + shared + noise(300) for _ in range(200)] + [noise(900) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bucket in (1024, 8):
+        got = {x.doc_id: x for x in suffix_dedup.deduplicate(df, bucket=bucket).collect()}
+        spans = [[(x.start, x.end) for x in got[i].spans] for i in range(220)]
+        assert all(len(x) == 1 and x[0][0] <= 300 and 750 <= x[0][1] <= 755 for x in spans[:200]) and not any(spans[200:])
+
+
 def test_suffix_sort():
+    """Groups are sorted apart, in one go; agree is how far neighbours agree, also where hashes of prefixes collide."""
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(200)]
-    order, agree = suffix_dedup.suffix_sort(strings)
-    assert [strings[i] for i in order] == sorted(strings)
-    for k in range(1, len(order)):
-        a, b = strings[order[k - 1]], strings[order[k]]
-        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        assert agree[k] == n
+    group = np.repeat([5, 3, 9, 4], [1, 120, 2, 77])
+    for collide in (False, True):
+        if collide:
+            table, suffix_dedup.BYTES = suffix_dedup.BYTES, np.zeros(256, np.uint64)
+        try:
+            got = suffix_dedup.Suffixes(strings, group)
+        finally:
+            if collide:
+                suffix_dedup.BYTES = table
+        for begin, end in ((0, 1), (1, 121), (121, 123), (123, 200)):
+            own = [strings[i] for i in got.order[begin:end]]
+            assert own == sorted(strings[begin:end]) and got.agree[begin] == -1
+            for k in range(begin + 1, end):
+                a, b = own[k - begin - 1], own[k - begin]
+                assert got.agree[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def test_chunks_resist_shifts():
