@@ -29,9 +29,9 @@ from ledgerlake.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words whose hashes a worker remembers; nodes of a block; children of a tree node; bits of a bitmap.
-MEMO, BLOCK, FAN, BITS = 400_000, 256, 8, 2048
-#: Counters of how common shingles are, and those of a block.
-COUNTERS, CELLS = 1 << 24, 1 << 15
+MEMO, BLOCK, FAN, BITS = 50_000, 256, 8, 2048
+#: Counters of how common shingles are, those of a block, and shingles that are counted at once.
+COUNTERS, CELLS, HELD = 1 << 23, 1 << 15, 1 << 18
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -76,15 +76,14 @@ def _common(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             held.append(counter(shingles(text, width, memo)))
             size += len(held[-1])
-            if size >= 1 << 20:
+            if size >= HELD:
                 add()
                 held, size = [], 0
     if held:
         add()
     blocks, pack = counts.reshape(-1, CELLS), zstandard.ZstdCompressor(level=1).compress
-    some = np.flatnonzero(blocks.any(axis=1))
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(blocks[i].tobytes()) for i in some], pa.binary())], names=["block", "counts"])
+    for i in np.flatnonzero(blocks.any(axis=1)).tolist():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(blocks[i].tobytes())], pa.binary())], names=["block", "counts"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +385,9 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     placed = staged(texts.mapInArrow(partial(_sets, width=width), "cluster long, band long, block string, node long, s binary"), "join-sets")
     roots = placed.select("block", "s").repartition("block").sortWithinPartitions("block").mapInArrow(_block_bits, "block string, lo long, hi long, ones long, over long, bits binary")
     roots = staged(roots.withColumn("cluster", F.split("block", ":")[0].cast("long")).withColumn("band", F.split("block", ":")[1].cast("long")), "join-roots")
-    side = lambda k: roots.select("cluster", *(F.col(c).alias(f"{c}_{k}") for c in ("band", "block", "lo", "hi", "ones", "over", "bits")))
-    met = side("a").join(side("b"), "cluster").where("abs(band_a - band_b) <= 1 and block_a <= block_b")
+    side = lambda k: roots.select("cluster", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi", "ones", "over", "bits")))
+    higher = side("b").withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("step"))
+    met = side("a").join(higher, ["cluster", "band"]).where("step = 1 or block_a <= block_b")
     met = met.mapInArrow(partial(_prune, num=num, den=den), "block_a string, block_b string")
     met = staged(met.withColumn("pair", F.xxhash64("block_a", "block_b")), "join-pairs")
     ends = met.select("pair", F.col("block_a").alias("block"), F.lit(0).alias("side")).unionByName(met.where("block_a <> block_b").select("pair", F.col("block_b").alias("block"), F.lit(1).alias("side")))
@@ -405,13 +405,13 @@ def one_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_
     """The rows of docs without near-duplicates: of each component the row with the smallest id stays, with all columns;
     rows that repeat its id and text count as one. Documents without words stay."""
     per = components(docs, width, num, den, id_col, text_col, rare_first=True)
-    gone = per.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("rk").alias("gone_rk")).distinct()
-    rk = fresh(docs, "__rk")
+    rk, maybe = fresh(docs, "__rk"), fresh(docs, "__maybe")
+    gone = per.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("rk").alias(rk)).distinct()
     gone = staged(gone, "join-gone")
     blocks = bloom.blocks_for(gone.count())
-    rows = bloom.probe(docs.withColumn(rk, row_key(id_col, text_col)), rk, staged(bloom.member_filter(gone, "gone_rk", blocks), "join-gone-bloom"), blocks, "__maybe")
-    sure = rows.where("not __maybe")
-    asked = rows.where("__maybe").join(gone, F.col(rk) == F.col("gone_rk"), "left_anti")
+    rows = bloom.probe(docs.withColumn(rk, row_key(id_col, text_col)), rk, staged(bloom.member_filter(gone, rk, blocks), "join-gone-bloom"), blocks, maybe)
+    sure = rows.where(~F.col(maybe)).drop(maybe)
+    asked = rows.where(F.col(maybe)).drop(maybe).join(gone, rk, "left_anti")
     return sure.unionByName(asked).select(*docs.columns)
 
 
