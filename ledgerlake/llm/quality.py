@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_batches, fresh, lookup, table
+from ledgerlake.llm.common import bounded_batches, fresh, lookup, staged, table
 
 #: Labelled rows that the document classifier is fitted on: those with the least hash.
 TRAIN_ROWS = 8000
@@ -150,7 +150,7 @@ def posterior(docs: DataFrame, model: DocumentModel, host: str, path: str, text_
     names = [fresh(docs, c) for c in ("evidence", "host_rate", "path_rate", "posterior")]
     ev = fresh(docs, "__ev")
     scored = docs.withColumn(ev, evidence(model, F.col(text_col)))
-    site, base, k_path = sites(scored.select(host, path, ev), host, path, ev)
+    site, base, k_path = sites(staged(scored.select(host, path, ev), "quality-evidence"), host, path, ev)
     site = site.select(host, path, "n_path", F.col("host_rate").alias(names[1]), F.col("s_path").alias(f"{ev}_s"), F.col("n_path").alias(f"{ev}_n"))
     met = lookup(scored, site, [host, path], "n_path")
     p = F.col(ev) / F.lit(float(UNIT))
@@ -166,7 +166,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     count as their rounded mean; labels without a document don't count."""
     kept = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.round(F.avg(label_col)).alias("y"))
     kept = kept.orderBy(F.xxhash64("k"), "k").limit(rows)
-    return docs.join(F.broadcast(kept), F.col(id_col) == F.col("k")).select(F.col(text_col).alias("text"), "y")
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(kept), "k").select("text", "y")
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
