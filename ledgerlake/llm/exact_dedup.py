@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import bloom
-from ledgerlake.llm.common import fresh, staged, table
+from ledgerlake.llm.common import fresh, lookup, staged, table
 
 #: [\x20\x09-\x0D], the characters that don't count.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -38,10 +38,12 @@ def _split(df: DataFrame, sha: str, keys: DataFrame) -> tuple[DataFrame, DataFra
     return probed.where(F.col(maybe)).drop(h, maybe), probed.where(~F.col(maybe)).drop(h, maybe)
 
 
-def _winners(maybe: DataFrame, sha: str, size: str, id_col: str) -> DataFrame:
-    """(k_sha, k_size, k_neg, k_rows) of each digest: the longest text, of those the smallest id (~id reverses order)."""
-    best = F.max(F.struct(F.col(size).alias("k_size"), F.bitwise_not(F.col(id_col)).alias("k_neg"))).alias("k")
-    return maybe.groupBy(F.col(sha).alias("k_sha")).agg(best, F.count(F.lit(1)).alias("k_rows")).select("k_sha", "k.*", "k_rows")
+def _winners(maybe: DataFrame, sha: str, size: str, id_col: str, names: tuple[str, str, str]) -> DataFrame:
+    """Of each digest: sha, its rows as n_rows, and as ``names`` the longest text's size, of those the smallest id
+    (negated, as ~id reverses order) and the rows again."""
+    best = F.max(F.struct(F.col(size).alias("size"), F.bitwise_not(F.col(id_col)).alias("neg"))).alias("best")
+    best = maybe.groupBy(F.col(sha).alias("s")).agg(best, F.count(F.lit(1)).alias("n"))
+    return staged(best.select(F.col("s").alias(sha), F.col("n").alias("n_rows"), *(F.col(c).alias(x) for c, x in zip(("best.size", "best.neg", "n"), names, strict=True))), "dedup-winners")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,8 +60,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     keys = staged(keys, "dedup-keys")
     maybe, alone = _split(keys, "text_sha256", keys)
-    best = _winners(maybe, "text_sha256", "n", "doc_id")
-    met = maybe.join(best, F.col("text_sha256") == F.col("k_sha"))
+    met = lookup(maybe, _winners(maybe, "text_sha256", "n", "doc_id", ("k_size", "k_neg", "k_rows")), ["text_sha256"], "n_rows")
     kept = (F.col("n") == F.col("k_size")) & F.bitwise_not("doc_id").eqNullSafe(F.col("k_neg"))
     met = met.select("doc_id", F.bitwise_not("k_neg").alias("keep_id"), F.col("k_rows").alias("group_size"), kept.alias("kept"), "text_sha256")
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -74,9 +75,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = staged(rows.select(F.col(sha).alias("s")), "dedup-keys")
     hashes_of = keys.select(F.col("s").alias(sha))
     maybe, alone = _split(rows, sha, hashes_of)
-    best = _winners(maybe, sha, size, id_col)
-    stays = (F.col(size) == F.col("k_size")) & F.bitwise_not(F.col(id_col)).eqNullSafe(F.col("k_neg"))
-    met = maybe.join(best, (F.col(sha) == F.col("k_sha")) & stays, "left_semi").dropDuplicates([sha])
+    names = tuple(fresh(rows, c) for c in ("__best_size", "__best_neg", "__best_rows"))
+    met = lookup(maybe, _winners(maybe, sha, size, id_col, names), [sha], "n_rows")
+    stays = (F.col(size) == F.col(names[0])) & F.bitwise_not(F.col(id_col)).eqNullSafe(F.col(names[1]))
+    met = met.where(stays).dropDuplicates([sha]).select(*rows.columns)
     return met.unionByName(alone).select(*docs.columns)
 
 
