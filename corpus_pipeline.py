@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.llm import bpe, exact_dedup, ngram_join, quality, source_mix
-from ledgerlake.llm.common import staged, table
+from ledgerlake.llm.common import n_written, release, staged, table
 
 #: Shingles of five words; 100 * intersection >= 80 * union.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What a stage wrote is removed as soon as its result, and with it the former one's, isn't read any more."""
+    docs, since = table(spark, sf_dir, "documents"), n_written()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import fresh
+
 BITS, PROBES, BITS_PER_ROW = 32768, 3, 12
 #: 64 MiB of bitmaps.
 MAX_BLOCKS = 16384
@@ -46,7 +48,7 @@ def member_filter(hashes: DataFrame, col: str, blocks: int) -> DataFrame:
 
 def probe(df: DataFrame, col: str, bitmaps: DataFrame, blocks: int, out: str) -> DataFrame:
     """Second pass: adds the boolean ``out``, true if all positions of the hash are set. False is certain."""
-    h, block, bits = F.col(col), "__bloom_block", "__bloom_bits"
+    h, block, bits = F.col(col), fresh(df, "__bloom_block"), fresh(df, "__bloom_bits")
     small = F.broadcast(bitmaps.select(F.col("block").alias(block), F.col("bits").alias(bits)))
 
     def bit(p: Column) -> Column:

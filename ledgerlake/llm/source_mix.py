@@ -110,11 +110,11 @@ def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of docs as the mix takes them, with all their columns: whole documents, each round(taken / size) times,
     0, 1 or MOST. Documents without words go. Rows that repeat id and text share their words evenly."""
-    h, copies = fresh(docs, "__h"), fresh(docs, "__copies")
+    h, copies, key = (fresh(docs, c) for c in ("__h", "__copies", "__key"))
     share = F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))
-    plan = taken(docs, id_col, source_col, text_col).groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.floor(share + 0.5).cast("int").alias(copies)).where(F.col(copies) > 0)
-    rows = docs.withColumn(h, F.xxhash64(F.col(id_col), F.col(text_col)))
-    met = rows.join(plan, (F.col(h) == F.col("k_h")) & F.col(id_col).cast("long").eqNullSafe(F.col("k_id")))
+    plan = taken(docs, id_col, source_col, text_col).groupBy(F.col("doc_id").alias(key), F.col("h").alias(h)).agg(F.floor(share + 0.5).cast("int").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.withColumns({h: F.xxhash64(F.col(id_col), F.col(text_col)), key: F.col(id_col).cast("long")})
+    met = rows.join(plan, rows[h].eqNullSafe(plan[h]) & rows[key].eqNullSafe(plan[key])).select(*(rows[c] for c in docs.columns), copies)
     return met.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
