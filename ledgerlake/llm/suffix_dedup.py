@@ -27,9 +27,9 @@ from ledgerlake.llm import bloom
 from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 
 #: Bytes of a string that is removed, and of a passage that is reported; window and bytes of an anchor.
-WIDTH, PASSAGE, SPAN, GRAM = 400, 240, 320, 64
+WIDTH, PASSAGE, SPAN, GRAM = 400, 240, 352, 64
 #: Surroundings that are sorted together at most, parts into which a range of offsets is split.
-BUCKET, WAYS = 1024, 19
+BUCKET, WAYS = 4096, 4
 #: Bytes that are hashed at once; surroundings that a task sorts in one go; offsets that it looks at together.
 BLOCK, ROWS, COLUMNS = 1 << 20, 3072, 48
 MASK = (1 << 64) - 1
@@ -268,7 +268,7 @@ def repeated_strings(back: Suffixes, ahead: Suffixes, width: int, lo: np.ndarray
 
 #: width: that of the strings which cover the bytes, the largest one wanted or a smaller one.
 COVER = {"k1": pa.int64(), "k2": pa.int64(), "width": pa.int32(), "lo": pa.int64(), "hi": pa.int64()}
-DIGESTS = {"h": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "core": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
+DIGESTS = {"h": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "width": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "core": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
 
 
 def _rows(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -280,8 +280,8 @@ def _ddl(columns: dict[str, pa.DataType]) -> str:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Surroundings in order of group and digest, with the offsets that count (lo to hi): the bytes that repeated strings
-    cover, by width. Whole groups are sorted together, ROWS and one group at most."""
+    """Surroundings in order of group, with the offsets (lo to hi) and the width (0: all of ``widths``) that count: the
+    bytes that repeated strings cover. Whole groups are sorted together, ROWS and one group at most."""
     held: list[tuple] = []
     begins = 0
 
@@ -290,15 +290,16 @@ def _buckets(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iter
         back = Suffixes([r[7][: r[6]][::-1] for r in rows], group)
         ahead = Suffixes([r[7][r[6] :] for r in rows], group)
         lo, hi = (np.array([r[k] for r in rows], np.int64) for k in (4, 5))
+        own = np.array([r[8] for r in rows], np.int64)
         k1, k2, pos = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
         for width in widths:
-            i, begin, end = repeated_strings(back, ahead, width, lo, hi)
+            i, begin, end = repeated_strings(back, ahead, width, lo, np.where((own == 0) | (own == width), hi, -1))
             if len(i):
                 columns = (k1[i], k2[i], np.full(len(i), width, np.int32), pos[i] - end, pos[i] - begin + width)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, COVER.values(), strict=True)], names=list(COVER))
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "pos", "lo", "hi", "a", "around")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "pos", "lo", "hi", "a", "around", "width")), strict=True):
             if held and row[0] != held[-1][0]:
                 if begins == len(held) - 1:
                     held.pop()  # alone in its group
@@ -312,14 +313,14 @@ def _buckets(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iter
         yield from done(held)
 
 
-def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of surroundings and each part of their ranges of offsets before the anchor: a digest of what all strings that
     start there share, and one of all their bytes. Where a text's edge cuts a range, nothing else has the second one."""
     for batch in batches:
         out = []
         for h, k1, k2, pos, a, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("h", "k1", "k2", "pos", "a", "around", "ranges")), strict=True):
-            least, most = max(0, a + width - len(s)), min(a, width - GRAM)
-            for begin, end in ((r["lo"], r["hi"]) for r in ranges):
+            for width, begin, end in ((r["width"], r["lo"], r["hi"]) for r in ranges):
+                least, most = max(0, a + width - len(s)), min(a, width - GRAM)
                 step = -(-(end - begin + 1) // WAYS)
                 for lo in range(begin, end + 1, step):
                     hi = min(lo + step - 1, end)
@@ -328,7 +329,7 @@ def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                     core = xxhash.xxh3_64_intdigest(s[max(0, a - lo) : a - hi + width], seed=lo) - (1 << 63)
                     whole = s[a - hi : a - lo + width] if least <= lo and hi <= most else f"{k1}:{k2}:{pos}".encode()
                     full = digest(lo, whole)
-                    out.append((h, k1, k2, pos, lo, hi, core, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True)))
+                    out.append((h, k1, k2, pos, width, lo, hi, core, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True)))
             if len(out) >= 65536:
                 yield _rows(out, DIGESTS)
                 out = []
@@ -336,32 +337,32 @@ def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             yield _rows(out, DIGESTS)
 
 
-def _split_large(around: DataFrame, width: int, bucket: int) -> DataFrame:
-    """What _buckets finds for strings of one width, for buckets of any size.
+def _split_large(around: DataFrame, widths: tuple[int, ...], bucket: int) -> DataFrame:
+    """What _buckets finds, for buckets of any size.
 
     Ranges of offsets whose bytes are equal in two surroundings are repeated as a whole. Of the different ones that share
     a range's core, up to ``bucket`` are sorted; more are split on. Counts combine before they meet, so no bucket does.
     """
-    key, part, full = ["k1", "k2", "pos"], ["h", "lo", "hi", "core"], ["f1", "f2"]
-    ranges = F.array(F.struct(F.lit(0).alias("lo"), F.lit(width - GRAM).alias("hi")))
+    key, part, full = ["k1", "k2", "pos"], ["h", "width", "lo", "hi", "core"], ["f1", "f2"]
+    ranges = F.array(*(F.struct(F.lit(w).alias("width"), F.lit(0).alias("lo"), F.lit(w - GRAM).alias("hi")) for w in widths))
     around = staged(around.dropDuplicates(["h", "c1"]).select("h", *key, "a", "around"), "suffix-crowded")
     todo, found = around.withColumn("ranges", ranges), None
     while True:
-        each = staged(todo.mapInArrow(partial(_split, width=width), _ddl(DIGESTS)), "suffix-ranges")
+        each = staged(todo.mapInArrow(_split, _ddl(DIGESTS)), "suffix-ranges")
         fulls = staged(each.groupBy(*part, *full).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key)).alias("one")), "suffix-fulls")
         whole = staged(fulls.where("n > 1").select(*part, *full, "n", F.lit(True).alias("whole")), "suffix-whole-ranges")
         met = lookup(each, whole, [*part, *full], "n").where("whole")
-        sure = met.select("k1", "k2", F.lit(width).alias("width"), (F.col("pos") - F.col("hi")).cast("long").alias("lo"), (F.col("pos") - F.col("lo") + width).cast("long").alias("hi"))
+        sure = met.select("k1", "k2", "width", (F.col("pos") - F.col("hi")).cast("long").alias("lo"), (F.col("pos") - F.col("lo") + F.col("width")).cast("long").alias("hi"))
         shared = staged(fulls.groupBy(*part).agg(F.count(F.lit(1)).alias("n_fulls")).where("n_fulls > 1").withColumn("size", F.col("n_fulls")), "suffix-shared")
         open_ = staged(lookup(fulls.select(*part, "one.*"), shared, part, "n_fulls").where("size is not null"), "suffix-open")
-        few = open_.where(F.col("size") <= bucket).select(F.xxhash64(*part).alias("g"), *key, "lo", "hi")
+        few = open_.where(F.col("size") <= bucket).select(F.xxhash64(*part).alias("g"), *key, "width", "lo", "hi")
         leaves = few.join(around.select(*key, "a", "around"), key).repartition("g").sortWithinPartitions("g", *key)
-        sure = sure.unionByName(leaves.mapInArrow(partial(_buckets, widths=(width,)), _ddl(COVER)))
+        sure = sure.unionByName(leaves.mapInArrow(partial(_buckets, widths=widths), _ddl(COVER)))
         found = sure if found is None else found.unionByName(sure)
         more = open_.where((F.col("size") > bucket) & (F.col("hi") > F.col("lo")))
         if more.isEmpty():
             return found
-        more = more.groupBy("h", *key).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+        more = more.groupBy("h", *key).agg(F.collect_set(F.struct("width", "lo", "hi")).alias("ranges"))
         todo = around.join(more, ["h", *key])
 
 
@@ -415,7 +416,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Equal surroundings, by anchor; anchors with several kinds of surroundings.
     kind = ["h", "c1", "c2"]
-    kinds = staged(at.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos", "k1", "k2")).alias("one")), "suffix-kinds")
+    kinds = staged(at.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos")).alias("one")), "suffix-kinds")
     mixed = staged(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n_kinds")).where("n_kinds > 1"), "suffix-mixed")
     whole = staged(kinds.where("n > 1").select(*kind, "n", F.lit(True).alias("whole")), "suffix-whole")
     blocks = bloom.blocks_for(whole.count())
@@ -428,17 +429,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = bloom.blocks_for(mixed.count())
     near = bloom.probe(kinds, "h", staged(bloom.member_filter(mixed, "h", blocks), "suffix-mixed-bloom"), blocks, "maybe").where("maybe")
     near = lookup(near.select("h", "c1", "one"), mixed.withColumn("size", F.col("n_kinds")), ["h"], "n_kinds").where("size is not null")
-    wanted = near.select("one.k1", "one.k2", "one.rk", F.struct("one.pos", "h", "c1", (F.col("size") > bucket).alias("many")).alias("w"))
-    wanted = staged(wanted.groupBy("k1", "k2", "rk").agg(F.collect_list("w").alias("wanted")), "suffix-wanted")
+    wanted = near.select("one.rk", F.struct("one.pos", "h", "c1", (F.col("size") > bucket).alias("many")).alias("w"))
+    wanted = staged(wanted.groupBy("rk").agg(F.collect_list("w").alias("wanted")), "suffix-wanted")
     blocks = bloom.blocks_for(wanted.count())
     asked = bloom.probe(long_rows, "rk", staged(bloom.member_filter(wanted, "rk", blocks), "suffix-wanted-bloom"), blocks, "maybe").where("maybe").select("k1", "k2", "rk", "text")
-    around = staged(asked.join(wanted, ["k1", "k2", "rk"]).mapInArrow(partial(_contexts, width=width), AROUND), "suffix-around")
-    few = around.where("not many").select(F.col("h").alias("g"), "k1", "k2", "pos", F.lit(0).alias("lo"), F.lit(width).alias("hi"), "a", "around")
+    around = staged(asked.join(wanted, "rk").mapInArrow(partial(_contexts, width=width), AROUND), "suffix-around")
+    few = around.where("not many").select(F.col("h").alias("g"), "k1", "k2", "pos", F.lit(0).alias("width"), F.lit(0).alias("lo"), F.lit(width).alias("hi"), "a", "around")
     edges = few.repartition("g").sortWithinPartitions("g", "k1", "k2", "pos").mapInArrow(partial(_buckets, widths=(width, passage)), _ddl(COVER))
     many = around.where("many")
     if not many.isEmpty():
-        for w in (width, passage):
-            edges = edges.unionByName(_split_large(many, w, bucket))
+        edges = edges.unionByName(_split_large(many, (width, passage), bucket))
 
     span = F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"))
     wide = F.col("width") >= width

@@ -101,7 +101,7 @@ def brute_masks(width):
     return raw, masks
 
 
-@pytest.mark.parametrize("bucket", [1024, 2])
+@pytest.mark.parametrize("bucket", [4096, 2])
 def test_suffix(docs, nothing, bucket):
     """Removed bytes at any size of a bucket; passages have all strings of SPAN bytes and none shorter than asked."""
     got = suffix_dedup.deduplicate(docs, bucket=bucket).collect()
@@ -127,7 +127,7 @@ def test_crowded_bucket(spark):
     shared = noise(450)
     texts = [noise(300) + shared + noise(300) for _ in range(200)] + [noise(900) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for bucket in (1024, 8):
+    for bucket in (4096, 8):
         got = {x.doc_id: x for x in suffix_dedup.deduplicate(df, bucket=bucket).collect()}
         spans = [[(x.start, x.end) for x in got[i].spans] for i in range(220)]
         assert all(len(x) == 1 and x[0][0] <= 300 and 750 <= x[0][1] <= 755 for x in spans[:200]) and not any(spans[200:])
