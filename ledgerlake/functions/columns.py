@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -81,12 +83,56 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def quantile_bounds(df: DataFrame, c: str, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
-    """One row (lo, hi) of exact quantiles with linear interpolation, from counts of the distinct values."""
-    return df.agg(F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+#: Ranges into which a pass over the values splits an interval, and rows of an interval that are sorted in one place.
+RANGES, FEW = 1 << 14, 1 << 14
+
+
+def exact_quantiles(df: DataFrame, c: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Quantiles of c over all rows, exact, with linear interpolation; null and NaN don't count; None without values.
+
+    Each pass counts the values in RANGES parts of the intervals that hold the wanted ranks, so an interval shrinks until
+    it has one value or FEW rows. Counts combine before they meet: no task or driver ever holds the values of all rows.
+    Parts are equal on a logarithmic scale of both signs, since money has a long tail.
+    """
+    x = F.col(c).cast("double")
+    rows = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    scale = F.signum("x") * F.log1p(F.abs("x"))
+    n, lo, hi, lo_at, hi_at = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min(scale), F.max(scale)).first()
+    if not n:
+        return [None for _ in shares]
+    places = [(n - 1) * p for p in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    found: dict[int, float] = {}
+    open_ = {(0, n, lo, hi, lo_at, hi_at): ranks}  # interval: values before it, in it, their least and largest, and scaled
+    while open_:
+        following: dict[tuple, list[int]] = {}
+        for (before, size, lo, hi, lo_at, hi_at), wanted in open_.items():
+            inside = rows.where((F.col("x") >= lo) & (F.col("x") <= hi))
+            if lo == hi:
+                found |= {r: lo for r in wanted}
+            elif size <= FEW or lo_at == hi_at:
+                counts = inside.groupBy("x").count().collect()
+                at = before
+                for value, k in sorted(counts):
+                    found |= {r: value for r in wanted if at <= r < at + k}
+                    at += k
+            else:
+                part = F.least(F.floor((scale - lo_at) / F.lit((hi_at - lo_at) / RANGES)).cast("int"), F.lit(RANGES - 1))
+                parts = inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min(scale), F.max(scale)).collect()
+                at = before
+                for _, k, *edges in sorted(parts):
+                    if mine := [r for r in wanted if at <= r < at + k]:
+                        following[(at, k, *edges)] = mine
+                    at += k
+        open_ = following
+    out = []
+    for p in places:
+        a, b = math.floor(p), math.ceil(p)
+        out.append(found[a] if a == b or found[a] == found[b] else (b - p) * found[a] + (p - a) * found[b])
+    return out
 
 
 def winsorised(df: DataFrame, c: str, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
-    """df with c clipped to its own quantiles over all rows; the bounds are one row, which is broadcast."""
-    q = F.broadcast(quantile_bounds(df, c, lo, hi))
-    return df.join(q, F.lit(True)).withColumn(c, clip(F.col(c), F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    """df with c clipped to its own quantiles over all rows, which are found first; df is read several times for that."""
+    low, high = exact_quantiles(df, c, (lo, hi))
+    return df if low is None else df.withColumn(c, clip(F.col(c), low, high))

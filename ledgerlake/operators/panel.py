@@ -18,7 +18,7 @@ MONEY = ("net_bank", "inflow_op", "outflow_op", "debt_service", "transfer_net",
 
 
 #: Money that is summed: exact, so that sums don't depend on their order.
-EXACT = "decimal(20,4)"
+EXACT, SUMMED = "decimal(20,4)", "decimal(28,4)"
 
 
 def exact(c: Column | str) -> Column:
@@ -36,17 +36,28 @@ def currencies(df: DataFrame, banking: DataFrame, companies: DataFrame) -> DataF
     return df.join(product, "product_id").join(companies.select("company_id", F.col("currency").alias("ccur")), "company_id", "left")
 
 
-def bank_transactions(tx: DataFrame, banking: DataFrame, companies: DataFrame) -> DataFrame:
-    """Transactions of banking products: amount in the company's currency and winsorised, day, month, whether operating."""
+def bank_entries(tx: DataFrame, banking: DataFrame, companies: DataFrame) -> DataFrame:
+    """Transactions of banking products, one row each: amount in the company's currency, day, month, whether operating."""
     rows = currencies(tx.select("company_id", "product_id", "date", "amount", "exchange_rate", "category"), banking, companies)
-    rows = winsorised(rows.withColumn("amount", converted("amount", "exchange_rate")), "amount")
     operating = F.coalesce(~F.col("category").isin(*K.NON_OPERATING), F.lit(True))
-    return rows.withColumns({"amount": exact("amount"), "day": F.to_date("date"), "month": month_of("date"), "op": operating})
+    return rows.select("company_id", F.to_date("date").alias("day"), month_of("date").alias("month"), converted("amount", "exchange_rate").alias("amount"), "exchange_rate", "category", operating.alias("op"), "pcur", "ccur")
 
 
-def pair_rates(rows: DataFrame) -> DataFrame:
-    """Median rate of each pair of different currencies."""
-    return rows.where("pcur <> ccur and exchange_rate > 0").groupBy("pcur", "ccur").agg(F.median("exchange_rate").alias("rate"))
+def bank_ledger(entries: DataFrame) -> DataFrame:
+    """Entries winsorised and summed by company, day, category, sign and whether currencies differ: amount, n_tx.
+
+    It is what all tables of the panel read, and as small as days and categories are, however many transactions there are.
+    """
+    rows = winsorised(entries, "amount").withColumn("amount", exact("amount"))
+    foreign = F.coalesce(F.col("pcur") != F.col("ccur"), F.lit(False))
+    keys = ("company_id", "day", "month", "category", "op", foreign.alias("foreign"), F.signum("amount").alias("sign"))
+    return rows.groupBy(*keys).agg(F.sum("amount").cast(SUMMED).alias("amount"), F.count(F.lit(1)).alias("n_tx")).drop("sign")
+
+
+def pair_rates(entries: DataFrame) -> DataFrame:
+    """Median rate of each pair of different currencies; equal rates are counted before they meet."""
+    counts = entries.where("pcur <> ccur and exchange_rate > 0").groupBy("pcur", "ccur", "exchange_rate").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("pcur", "ccur").agg(F.percentile("exchange_rate", F.lit(0.5), F.col("n")).alias("rate"))
 
 
 def anchors(balances: DataFrame, banking: DataFrame, companies: DataFrame, rates: DataFrame) -> DataFrame:
@@ -89,7 +100,7 @@ def monthly_flows(rows: DataFrame, horizon: K.Horizon) -> DataFrame:
         F.sum("amount").alias("net_bank"), when((amount > 0) & F.col("op")).alias("inflow_op"), when((amount < 0) & F.col("op"), -1).alias("outflow_op"),
         when(category == "debt_repayment", -1).alias("debt_service"), when(category == "transfer").alias("transfer_net"), when(category == "salary", -1).alias("out_salary"),
         when(category == "social_security", -1).alias("out_social_security"), when(category == "tax", -1).alias("out_tax"), when(category.isin("interest_charge", "fee"), -1).alias("out_fin_cost"),
-        F.count(F.lit(1)).alias("n_tx"),
+        F.sum("n_tx").alias("n_tx"),
     )
     grid = month_grid(flows.groupBy("company_id").agg(F.min("month").alias("first")), horizon.last)
     return grid.join(flows, ["company_id", "month"], "left").fillna(0, [*MONEY, "n_tx"]).withColumn("net_op", F.col("inflow_op") - F.col("outflow_op"))
@@ -108,10 +119,14 @@ def monthly_panel(flows: DataFrame, cash: DataFrame) -> DataFrame:
     return out.withColumn("short_history", F.col("hist_months") < K.MIN_HISTORY)
 
 
-def issued_invoices(invoices: DataFrame) -> DataFrame:
-    """Invoices that count: not cancelled, amounts in the company's currency and winsorised, whether paid."""
+def invoice_amounts(invoices: DataFrame) -> DataFrame:
+    """Invoices that count: not cancelled, amounts in the company's currency, whether paid."""
     rows = invoices.where((F.col("status") != "cancelled") & F.col("document_type").isin(*K.INVOICE_TYPES))
-    rows = rows.select("company_id", F.to_date("issuance_date").alias("issued"), F.to_date("due_date").alias("due"), F.to_date("payment_date").alias("paid_on"), converted("amount", "exchange_rate").alias("amount"), (F.col("status") == "paid").alias("paid"))
+    return rows.select("company_id", F.to_date("issuance_date").alias("issued"), F.to_date("due_date").alias("due"), F.to_date("payment_date").alias("paid_on"), converted("amount", "exchange_rate").alias("amount"), (F.col("status") == "paid").alias("paid"))
+
+
+def issued_invoices(rows: DataFrame) -> DataFrame:
+    """Rows of invoice_amounts(), winsorised over all of them."""
     return winsorised(rows, "amount").withColumn("amount", exact("amount"))
 
 
@@ -124,11 +139,11 @@ def receivables(invoices: DataFrame, horizon: K.Horizon) -> DataFrame:
     first = F.lit(horizon.first)
     clamped = lambda m: F.when(m >= first, m).otherwise(first)
     sales = invoices.where("amount > 0").withColumns({"due_m": month_of("due"), "iss_m": month_of("issued"), "pay_m": F.when(F.col("paid"), month_of("paid_on"))})
-    change = lambda month, rows, sign, name: rows.groupBy("company_id", month.alias("month")).agg((sign * F.sum("amount")).alias("x")).withColumn("kind", F.lit(name))
     left = F.when(F.col("pay_m") >= F.col("due_m"), F.col("pay_m")).otherwise(F.col("due_m"))
-    moves = change(clamped(F.col("due_m")), sales, 1, "due").unionByName(change(clamped(left), sales.where("paid"), -1, "paid")).unionByName(change(F.col("iss_m"), sales, 1, "issued"))
-    stock = F.when(F.col("kind") != "issued", F.col("x"))
-    by_month = moves.groupBy("company_id", "month").agg(F.coalesce(F.sum(stock), F.lit(0)).alias("moved"), F.coalesce(F.sum(F.when(F.col("kind") == "issued", F.col("x"))), F.lit(0)).alias("sold"))
+    none = F.lit(None).cast(EXACT)
+    move = lambda month, moved, sold: F.struct(month.alias("month"), moved.alias("moved"), sold.alias("sold"))
+    moves = F.array(move(clamped(F.col("due_m")), F.col("amount"), none), F.when(F.col("paid"), move(clamped(left), -F.col("amount"), none)), move(F.col("iss_m"), none, F.col("amount")))
+    by_month = sales.select("company_id", F.explode(moves).alias("m")).where("m is not null").groupBy("company_id", "m.month").agg(*(F.coalesce(F.sum(f"m.{c}"), F.lit(0)).alias(c) for c in ("moved", "sold")))
     days = clip(F.datediff("paid_on", "issued").cast("double"), 0, 365)
     dso = sales.where("paid").groupBy("company_id", F.col("pay_m").alias("month")).agg(F.avg(days).alias("dso_m"))
     grid = month_grid(sales.select("company_id").distinct().withColumn("first", first), horizon.last)
@@ -148,9 +163,11 @@ def payables(invoices: DataFrame, horizon: K.Horizon) -> DataFrame:
     bills = invoices.where("amount < 0 and due is not null and not (paid and paid_on is null)").withColumn("amount", -F.col("amount"))
     enter, paid, old = month_of(F.date_add("due", 90)), F.when(F.col("paid"), month_of("paid_on")), month_of(F.date_add("due", 180))
     bills = bills.withColumns({"s": F.greatest(enter, F.lit(horizon.first)), "e": paid, "r": F.least(paid, old)})
-    change = lambda m, keep, sign, name: bills.where(keep).groupBy("company_id", F.col(m).alias("month")).agg((sign * F.sum("amount")).alias("x")).withColumn("kind", F.lit(name))
-    moves = change("s", F.expr("e is null or e > s"), 1, "all").unionByName(change("e", F.expr("e > s"), -1, "all")).unionByName(change("s", F.expr("r > s"), 1, "recent")).unionByName(change("r", F.expr("r > s"), -1, "recent"))
-    by = moves.where(F.col("month") <= F.lit(horizon.last)).groupBy("company_id", "month").agg(*(F.sum(F.when(F.col("kind") == k, F.col("x")).otherwise(0)).alias(k) for k in ("all", "recent")))
+    none = F.lit(None).cast(EXACT)
+    move = lambda keep, month, every, recent: F.when(F.expr(keep), F.struct(F.col(month).alias("month"), every.alias("all"), recent.alias("recent")))
+    amount = F.col("amount")
+    moves = F.array(move("e is null or e > s", "s", amount, none), move("e > s", "e", -amount, none), move("r > s", "s", none, amount), move("r > s", "r", none, -amount))
+    by = bills.select("company_id", F.explode(moves).alias("m")).where(F.col("m").isNotNull() & (F.col("m.month") <= F.lit(horizon.last))).groupBy("company_id", "m.month").agg(*(F.coalesce(F.sum(f"m.{k}"), F.lit(0)).alias(k) for k in ("all", "recent")))
     grid = month_grid(by.groupBy("company_id").agg(F.min("month").alias("first")), horizon.last)
     upto = Window.partitionBy("company_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(upto)
@@ -171,7 +188,7 @@ def company_static(companies: DataFrame, debt: DataFrame, invoices: DataFrame, r
     loans = debt.where(granted > 0).groupBy("company_id").agg(F.count(F.lit(1)).alias("n_debt_products"), F.sum(granted).alias("debt_granted"), F.sum(owed).alias("debt_outstanding"))
     loans = loans.withColumn("debt_util", clip(F.col("debt_outstanding") / F.col("debt_granted"), 0, 1))
     flags = {
-        "has_invoices": invoices, "pays_bank_debt": rows.where("category = 'debt_repayment'"), "has_balance": anchor, "mixed_currency": rows.where("pcur <> ccur"),
+        "has_invoices": invoices, "pays_bank_debt": rows.where("category = 'debt_repayment'"), "has_balance": anchor, "mixed_currency": rows.where("foreign"),
     }
     out = companies.select("company_id", "group_id", "country", "currency", "erp").join(loans, "company_id", "left")
     for name, df in flags.items():

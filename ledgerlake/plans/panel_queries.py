@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ledgerlake.functions.columns import winsorised
 from ledgerlake.operators import panel as P
 from ledgerlake.plans.bindings import HORIZON, raw
 from ledgerlake.plans.mapping_queries import mapped, mapped_ctes
+from ledgerlake.sources.staging import staged
 
 END = HORIZON.snapshot - timedelta(days=1)
 
@@ -22,24 +23,65 @@ def rounded(df: DataFrame, places: int = 2) -> DataFrame:
 
 
 class Domain:
-    """The panel's tables over the test data, each built from the ones before it."""
+    """The panel's tables over the test data, each built from the ones before it when it is first asked for.
+
+    Transactions and invoices are each read once: what all others start from is staged, as is what several of them read.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.banking, self.debt = raw(spark, sf_dir, "raw_banking_products"), raw(spark, sf_dir, "raw_debt_products")
-        self.companies = raw(spark, sf_dir, "raw_companies")
-        self.rows = P.bank_transactions(mapped(spark, sf_dir, "transactions"), self.banking, self.companies)
-        self.rates = P.pair_rates(self.rows)
-        self.anchors = P.anchors(raw(spark, sf_dir, "raw_balances"), self.banking, self.companies, self.rates)
-        self.levels = P.daily_levels(self.rows, self.anchors, END)
-        self.cash = P.month_cash(self.levels)
-        self.flows = P.monthly_flows(self.rows, HORIZON)
-        self.panel = P.monthly_panel(self.flows, self.cash)
-        self.invoices = P.issued_invoices(mapped(spark, sf_dir, "invoices"))
-        self.receivables = P.receivables(self.invoices, HORIZON)
-        self.payables = P.payables(self.invoices, HORIZON)
+        self.spark, self.sf_dir = spark, sf_dir
+        self.banking, self.debt, self.companies = (raw(spark, sf_dir, f"raw_{x}") for x in ("banking_products", "debt_products", "companies"))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return staged(P.bank_entries(mapped(self.spark, self.sf_dir, "transactions"), self.banking, self.companies), "bank-entries")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return staged(P.bank_ledger(self.entries), "bank-ledger")
+
+    @cached_property
+    def rates(self) -> DataFrame:
+        return P.pair_rates(self.entries)
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        return P.anchors(raw(self.spark, self.sf_dir, "raw_balances"), self.banking, self.companies, self.rates)
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return P.daily_levels(self.rows, self.anchors, END)
+
+    @cached_property
+    def cash(self) -> DataFrame:
+        return P.month_cash(self.levels)
+
+    @cached_property
+    def flows(self) -> DataFrame:
+        return P.monthly_flows(self.rows, HORIZON)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return staged(P.monthly_panel(self.flows, self.cash), "month-panel")
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return P.issued_invoices(staged(P.invoice_amounts(mapped(self.spark, self.sf_dir, "invoices")), "invoice-amounts"))
+
+    @cached_property
+    def receivables(self) -> DataFrame:
+        return P.receivables(self.invoices, HORIZON)
+
+    @cached_property
+    def payables(self) -> DataFrame:
+        return P.payables(self.invoices, HORIZON)
+
+    @cached_property
+    def full_panel(self) -> DataFrame:
+        return staged(P.full_panel(self.panel, self.invoices, self.receivables, self.payables), "full-panel")
 
     def full(self) -> DataFrame:
-        return P.full_panel(self.panel, self.invoices, self.receivables, self.payables)
+        return self.full_panel
 
 
 def pn01_winsorised(spark: SparkSession, sf_dir: str) -> DataFrame:
