@@ -28,10 +28,11 @@ from ledgerlake.llm.common import bounded_batches, fresh, staged, table
 from ledgerlake.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Words whose hashes a worker remembers; nodes of a block; children of a tree node; bits of a bitmap.
-MEMO, BLOCK, FAN, BITS = 50_000, 256, 8, 2048
+#: Words whose hashes a worker remembers; nodes of a block; children of a tree node; bits of a bitmap; sets whose keys a
+#: task knows to have sent.
+MEMO, BLOCK, FAN, BITS, SENT = 50_000, 256, 8, 2048, 200_000
 #: Counters of how common shingles are, those of a block, and shingles that are counted at once.
-COUNTERS, CELLS, HELD = 1 << 23, 1 << 15, 1 << 18
+COUNTERS, CELLS, HELD = 1 << 24, 1 << 15, 1 << 18
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -172,14 +173,21 @@ def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.nda
 
 
 def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
+    """Rows to the size and number of their sets, with keys: a task sends the keys of equal sets once, or again after
+    SENT others, so that a large group of copies sends about as many as there are tasks."""
+    memo, sent, none = WordHashes(), set(), np.empty(0, np.int64)
     for batch in batches:
         n, nodes, keys = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             s = shingles(text, width, memo)
             n.append(len(s))
-            nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-            keys.append(part_keys(s, num, den) if levels is None else prefix_keys(s, levels, num, den) if len(s) else np.empty(0, np.int64))
+            node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+            nodes.append(node)
+            known = node is None or node in sent
+            keys.append(none if known else part_keys(s, num, den) if levels is None else prefix_keys(s, levels, num, den))
+            if len(sent) >= SENT:
+                sent.clear()
+            sent.add(node)
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "rk", "n", "node", "keys"])
@@ -313,6 +321,19 @@ def _traverse(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield done()
 
 
+def _traverse_texts(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, node, text) in order of block, to the links within each block. Sets are made here, where a text is
+    smaller than its set."""
+    memo = WordHashes()
+
+    def with_sets() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, width, memo).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("node"), pa.array(sets, pa.binary())], names=["pair", "side", "node", "s"])
+
+    return _traverse(with_sets(), num, den)
+
+
 def _block_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, s) in order of block: the root of each block's tree."""
     names = ["block", "lo", "hi", "ones", "over", "bits"]
@@ -365,24 +386,31 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
     levels = shingle_levels(rows, width) if rare_first else None
     per = staged(rows.mapInArrow(partial(_profile, width=width, num=num, den=den, levels=levels), "doc_id long, rk long, n long, node long, keys array<long>"), "join-profiles")
-    nodes = staged(per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "join-nodes")
+    nodes = staged(per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.any_value("n").alias("n")), "join-nodes")
 
-    keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    keyed = per.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     edges = keyed.mapInArrow(_stars, "a long, b long")
     trees = connected_components(edges).select("node", F.col("root").alias("cluster"))
+    wanted = nodes.select("node", "rk", "n").join(trees, "node")
+    wanted = staged(wanted.join(trees.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster"), "join-wanted")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """The texts of some nodes; only those texts shuffle. A repeated row's set comes twice."""
+        blocks = bloom.blocks_for(some.count())
+        near = bloom.probe(rows, "rk", staged(bloom.member_filter(some, "rk", blocks), "join-bloom"), blocks, "maybe").where("maybe")
+        return near.select("rk", "text").join(some, "rk").drop("rk")
+
+    # A cluster of up to BLOCK nodes is one block.
+    alone = wanted.where(F.col("size") <= BLOCK).select("rk", "node", F.col("cluster").alias("block"))
+    inner = texts_of(alone).repartition("block").sortWithinPartitions("block").mapInArrow(partial(_traverse_texts, width=width, num=num, den=den), "a long, b long")
 
     # Cluster, band of sizes, block: bands of a ratio of den / num, so similar sets are in one band or in neighbours.
     band = F.floor(F.log("n") / math.log(den / num)).cast("long") if den > num else F.col("n")
-    wanted = nodes.select("node", "rk", "n").join(trees, "node").withColumn("band", band)
-    count = wanted.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("n_blocks"))
+    large = wanted.where(F.col("size") > BLOCK).withColumn("band", band)
+    count = large.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("n_blocks"))
     block = F.concat_ws(":", "cluster", "band", F.pmod(F.xxhash64("node"), "n_blocks"))
-    wanted = staged(wanted.join(count, ["cluster", "band"]).select("rk", "node", "cluster", "band", block.alias("block")), "join-wanted")
-
-    # The sets of the nodes that are in a tree, from their texts; only those texts shuffle. A repeated row's set comes twice.
-    blocks = bloom.blocks_for(wanted.count())
-    near = bloom.probe(rows, "rk", staged(bloom.member_filter(wanted, "rk", blocks), "join-bloom"), blocks, "maybe").where("maybe")
-    texts = near.select("rk", "text").join(wanted, "rk").select("cluster", "band", "block", "node", "text")
-    placed = staged(texts.mapInArrow(partial(_sets, width=width), "cluster long, band long, block string, node long, s binary"), "join-sets")
+    large = staged(large.join(count, ["cluster", "band"]).select("rk", "node", "cluster", "band", block.alias("block")), "join-large")
+    placed = staged(texts_of(large).mapInArrow(partial(_sets, width=width), "cluster long, band long, block string, node long, s binary"), "join-sets")
     roots = placed.select("block", "s").repartition("block").sortWithinPartitions("block").mapInArrow(_block_bits, "block string, lo long, hi long, ones long, over long, bits binary")
     roots = staged(roots.withColumn("cluster", F.split("block", ":")[0].cast("long")).withColumn("band", F.split("block", ":")[1].cast("long")), "join-roots")
     side = lambda k: roots.select("cluster", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi", "ones", "over", "bits")))
@@ -392,7 +420,7 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     met = staged(met.withColumn("pair", F.xxhash64("block_a", "block_b")), "join-pairs")
     ends = met.select("pair", F.col("block_a").alias("block"), F.lit(0).alias("side")).unionByName(met.where("block_a <> block_b").select("pair", F.col("block_b").alias("block"), F.lit(1).alias("side")))
     found = ends.join(placed.select("block", "node", "s"), "block").select("pair", "side", "node", "s").repartition("pair").sortWithinPartitions("pair", "side")
-    linked = connected_components(found.mapInArrow(partial(_traverse, num=num, den=den), "a long, b long"))
+    linked = connected_components(inner.unionByName(found.mapInArrow(partial(_traverse, num=num, den=den), "a long, b long")))
 
     named = nodes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -59,8 +59,10 @@ def shingle_set(t, width):
     return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize(("width", "num", "rare_first"), [(3, 90, False), (3, 90, True), (5, 80, True)])
-def test_near(docs, nothing, width, num, rare_first):
+@pytest.mark.parametrize(("width", "num", "rare_first", "block"), [(3, 90, False, 256), (3, 90, True, 2), (5, 80, True, 256), (5, 80, True, 2)])
+def test_near(monkeypatch, docs, nothing, width, num, rare_first, block):
+    """Clusters above and below the size of a block."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     sets = [shingle_set(t, width) for _, t in ROWS]
     top = list(range(len(ROWS)))
 
