@@ -59,7 +59,7 @@ def book(facts: DataFrame, peak: DataFrame) -> DataFrame:
 
 
 def stepped(v: Column) -> Column:
-    """Down to a figure that is easily said, one step at least; 0 for what isn't positive."""
+    """v rounded down to a multiple of a step that grows with it, and at least one step; 0 unless v is positive."""
     step = F.when(v < 5_000, 500).when(v < 50_000, 1000).when(v < 500_000, 5000).otherwise(25_000)
     return F.when(v > 0, F.greatest(F.floor(v / step) * step, step)).otherwise(0).cast("double")
 

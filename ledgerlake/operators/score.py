@@ -139,3 +139,67 @@ def client_features(invoices: DataFrame, grid: DataFrame) -> DataFrame:
     clients = lambda n: seen(n).select("company_id", "month", "client").distinct().groupBy("company_id", "month").agg(F.count(F.lit(1)).alias(f"c{n}"))
     out = grid.select("company_id", "month").join(hhi, ["company_id", "month"], "left").join(clients(3), ["company_id", "month"], "left").join(clients(12), ["company_id", "month"], "left")
     return out.select("company_id", "month", "hhi_ar_6m", F.log((F.coalesce("c3", F.lit(0)) + 1) / (F.coalesce("c12", F.lit(0)) + 1)).alias("cust_trend"))
+
+
+def payroll_cv(panel: DataFrame) -> DataFrame:
+    """(company_id, month, payroll_cv): how far payrolls of six months fall below their mean, in proportion to it; null
+    without payroll. Payrolls above the mean don't count."""
+    w = Window.partitionBy("company_id").orderBy("month").rowsBetween(-5, 0)
+    rows = panel.select("company_id", "month", F.col("out_salary").cast("double").alias("x")).withColumns({"xs": F.collect_list("x").over(w), "m": F.avg("x").over(w), "n": F.count("x").over(w)})
+    below = F.aggregate(F.transform("xs", lambda x: F.pow(F.least(x - F.col("m"), F.lit(0.0)), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("company_id", "month", F.when((F.col("n") == 6) & (F.col("m") > 0), F.sqrt(below / 6) / F.col("m")).alias("payroll_cv"))
+
+
+def credit_use(debt: DataFrame) -> DataFrame:
+    """(company_id, lc_util): what is drawn of the limit of credit lines; none without a limit."""
+    lines = debt.where("type = 'lineofcredit'").groupBy("company_id").agg(F.sum(F.abs("outstanding")).alias("drawn"), F.sum(F.abs("granted")).alias("granted"))
+    return lines.where("granted > 0").select("company_id", safe_div(F.col("drawn"), F.col("granted")).alias("lc_util"))
+
+
+#: Days by which an invoice has to be late.
+LATE_DAYS = 15
+
+
+def invoice_features(invoices: DataFrame, panel: DataFrame) -> DataFrame:
+    """Late shares and overdue ratios of invoices(company_id, due, paid_on, paid, amount) by company and month of panel.
+
+    A late share counts, of the invoices that fell due in three months and over LATE_DAYS before the month's end, those
+    unpaid or paid over LATE_DAYS late. Overdue amounts are of the last twelve months' due dates and unpaid at the
+    month's end; receivables only those due before the month before. An invoice is given to the months in whose window
+    it is, twelve at most, instead of joining invoices with months.
+    """
+    due_m = F.trunc("due", "month")
+    spread = F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(k.alias("age"), F.add_months(due_m, k.cast("int")).alias("month")))).alias("s")
+    rows = invoices.where("due is not null").select("company_id", "due", F.when(F.col("paid"), F.col("paid_on")).alias("paid_on"), "paid", "amount", spread).select("*", "s.*")
+    end = F.last_day("month")
+    counted = (F.col("age") <= 2) & (F.datediff(end, "due") > LATE_DAYS)
+    late = F.col("paid_on").isNull() | (F.datediff("paid_on", "due") > LATE_DAYS)
+    unpaid = F.when(~F.col("paid") | (F.col("paid_on") > end), F.col("amount"))
+    ours = F.col("amount") > 0
+    share = lambda side: safe_div(F.count_if(counted & late & side), F.count_if(counted & side))
+    sums = rows.where("amount <> 0").groupBy("company_id", "month").agg(
+        share(~ours).alias("ap_late_share"), share(ours).alias("ar_late_share"), F.coalesce(-F.sum(F.when(~ours & (F.col("due") <= end), unpaid)), F.lit(0)).alias("ap"), F.coalesce(F.sum(F.when(ours & (F.col("age") >= 2), unpaid)), F.lit(0)).alias("ar")
+    )
+    w = Window.partitionBy("company_id").orderBy("month")
+    flows = panel.select("company_id", "month", *(rolling(F.avg, c, w, 3).alias(f"{c}_mean") for c in ("outflow_op", "inflow_op")))
+    out = flows.join(sums, ["company_id", "month"], "left")
+    ratio = lambda c, of: safe_div(F.coalesce(c, F.lit(0)), F.col(of))
+    return out.select("company_id", "month", "ap_late_share", "ar_late_share", ratio("ap", "outflow_op_mean").alias("ap_overdue_ratio"), ratio("ar", "inflow_op_mean").alias("ar_overdue_90_ratio"))
+
+
+def refund_rate(ledger: DataFrame, panel: DataFrame, refunds: tuple[str, ...] = ("collection_refund",)) -> DataFrame:
+    """(company_id, month, refund_rate): refunds of three months over operating inflow."""
+    back = ledger.where(F.col("category").isin(*refunds)).groupBy("company_id", "month").agg((-F.sum("amount")).alias("back"))
+    w = Window.partitionBy("company_id").orderBy("month")
+    rows = panel.select("company_id", "month", "inflow_op").join(back, ["company_id", "month"], "left").withColumn("back", F.coalesce("back", F.lit(0)))
+    return rows.select("company_id", "month", safe_div(rolling(F.sum, "back", w, 3), rolling(F.sum, "inflow_op", w, 3)).alias("refund_rate"))
+
+
+def lost_share(sales: DataFrame, grid: DataFrame, least: int = 3) -> DataFrame:
+    """(company_id, month, lost_share): of the sales 3 to 11 months ago, the share of clients without sales in the last
+    three; null with fewer than ``least`` such clients. sales(company_id, client, month, amount)."""
+    sums = sales.groupBy("company_id", "client", "month").agg(F.sum("amount").alias("amount"))
+    ages = F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(k.alias("age"), F.add_months("month", k.cast("int")).alias("at")))).alias("s")
+    by = sums.select("company_id", "client", "amount", ages).groupBy("company_id", "client", F.col("s.at").alias("month")).agg(F.sum(F.when(F.col("s.age") >= 3, F.col("amount"))).cast("double").alias("prior"), F.count_if(F.col("s.age") < 3).alias("recent"))
+    per = by.where("prior is not null").groupBy("company_id", "month").agg(F.count(F.lit(1)).alias("n"), safe_div(F.coalesce(F.sum(F.when(F.col("recent") == 0, F.col("prior"))), F.lit(0.0)), F.sum("prior")).alias("x"))
+    return grid.select("company_id", "month").join(per.where(F.col("n") >= least).select("company_id", "month", F.col("x").alias("lost_share")), ["company_id", "month"], "left")

@@ -1,4 +1,4 @@
-"""Views ready to serve: portfolio, alerts, board, searches, statements, sections of a conversation, blocks of a text."""
+"""Views ready to serve: portfolio, alerts, board, searches, statements, sections of a conversation."""
 
 from __future__ import annotations
 
@@ -118,26 +118,12 @@ def last_per_slot(charts: DataFrame) -> DataFrame:
     return last.withColumn("t", F.bool_or(F.col("kind") == "table").over(Window.partitionBy("message"))).where("not t or kind = 'table'").drop("t")
 
 
-def blocks(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, kind, depth, body) of each line that isn't blank: heading, quote, list, ordered list, rule, paragraph."""
-    rows = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
-    rows = rows.withColumn("raw", F.regexp_replace("raw", r"\s+$", "")).withColumn("bare", F.regexp_replace("raw", r"^\s+", "")).where("bare <> ''")
-    indent = F.length(F.replace(F.regexp_extract("raw", r"^[ \t]*", 0), F.lit("\t"), F.lit("  ")))
-    patterns = {"rule": r"^([-*_])\1{2,}$", "heading": r"^(#{1,4})\s+(.*)$", "quote": r"^>\s?(.*)$", "ordered": r"^(\d+)[.)]\s+(.*)$", "item": r"^[-*•]\s+(.*)$"}
-    kind = F.lit("paragraph")
-    for name in reversed(patterns):
-        kind = F.when(F.col("bare").rlike(patterns[name]), name).otherwise(kind)
-    rows = rows.withColumn("kind", kind)
-    depth = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("bare", patterns["heading"], 1)) - 1).when(F.col("kind").isin("ordered", "item"), F.least(F.floor(indent / 2).cast("int"), F.lit(3)))
-    body = F.when(F.col("kind") == "rule", "").when(F.col("kind") == "heading", F.regexp_extract("bare", patterns["heading"], 2)).when(F.col("kind") == "quote", F.regexp_extract("bare", patterns["quote"], 1)).when(F.col("kind") == "ordered", F.regexp_extract("bare", patterns["ordered"], 2)).when(F.col("kind") == "item", F.regexp_extract("bare", patterns["item"], 1)).otherwise(F.col("bare"))
-    return rows.select("id", F.col("line").cast("long").alias("line"), "kind", depth.cast("long").alias("depth"), body.alias("body"))
-
-
 def assign(leads: DataFrame, team: DataFrame) -> DataFrame:
     """(employee_id, open_leads, is_next): open leads of each member of the team, 0 included; the next lead goes to the
     member with the fewest, the least id of equal ones."""
     load = team.join(leads.where("status <> 'closed'").groupBy(F.col("assigned_to").alias("employee_id")).agg(F.count(F.lit(1)).alias("open_leads")), "employee_id", "left").withColumn("open_leads", F.coalesce("open_leads", F.lit(0)))
-    return load.withColumn("is_next", F.row_number().over(Window.orderBy("open_leads", "employee_id")) == 1)
+    first = load.agg(F.min(F.struct("open_leads", "employee_id")).alias("m")).select(F.col("m.employee_id").alias("first"))
+    return load.join(F.broadcast(first), F.lit(True)).withColumn("is_next", F.col("employee_id") == F.col("first")).drop("first")
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

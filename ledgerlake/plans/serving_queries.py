@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import score as S
 from ledgerlake.operators import serving as V
+from ledgerlake.operators import text as X
 from ledgerlake.operators.panel import company_static
 from ledgerlake.plans.bindings import HORIZON
 from ledgerlake.plans.mapping_queries import mapped, mapped_ctes
@@ -83,7 +84,7 @@ QUERIES = {
     "vw13_sector_stats": _D(lambda d: rounded(S.sector_stats(series(d), sectors(d)), 4)), "ap02_alerts": _D(lambda d: _portfolio(d).select("company_id", V.alert(F.col("band"), F.col("delta3"), F.col("n_months") / 200.0).alias("alert"))),
     "ap12_board": lambda s, d: rounded(_board(s, d)), "ap16_status_counts": lambda s, d: V.counts_of(_board(s, d), "status", ("alert", "opportunity", "watch", "paused")),
     "ag05_search": _D(lambda d: V.search(_portfolio(d), d.companies.where("currency = 'EUR'"), "fall", 8)), "ag07_table_stats": _D(lambda d: V.table_stats(_portfolio(d))),
-    "ag09_last_charts": lambda s, d: V.last_per_slot(_charts(s, d)), "ag10_sections": lambda s, d: V.sections(s.read.parquet(f"{d}/conversations.parquet")), "tx01_blocks": lambda s, d: V.blocks(s.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"),
+    "ag09_last_charts": lambda s, d: V.last_per_slot(_charts(s, d)), "ag10_sections": lambda s, d: V.sections(s.read.parquet(f"{d}/conversations.parquet")), "tx01_blocks": lambda s, d: X.blocks(s.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"),
     "ui01_statement": lambda s, d: rounded(V.statement(_categories(s, d), Domain(s, d).panel)), "snk03_upsert": _upsert, "cr02_uuid5": _uuid5, "cr04_assignment": _leads,
     "ch04_coverage": _D(lambda d: d.cash.groupBy("month").agg(F.count(F.lit(1)).alias("companies"), F.round(F.median("cash_end")).alias("median_cash"), F.count_if(F.col("cash_end") < 0).alias("negative"))),
 }
@@ -103,6 +104,21 @@ ranked AS (SELECT *, lag(runway_m, 3) OVER (PARTITION BY company_id ORDER BY mon
 health AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS rn, score - lag(score, 3) OVER (PARTITION BY company_id ORDER BY month) AS delta3, count(*) OVER (PARTITION BY company_id) AS n_months FROM scores),
 view AS (SELECT h.company_id, h.month AS last_month, round(score, 1) AS score, {_BAND} AS band, round(delta3, 1) AS delta3, n_months, group_id, coalesce(currency, 'EUR') AS currency, erp IS NOT NULL AS has_erp, debt_outstanding, debt_util, cash_end, runway_m AS runway_now, runway_prev, dso AS dso_now, dso_prev, round(pct_overdue * 100, 1) AS overdue_share, margin_3m, debt_service_ratio_3m, coalesce(n_tx, 0) AS n_tx
   FROM health h LEFT JOIN static s ON s.company_id = h.company_id LEFT JOIN ranked p ON p.company_id = h.company_id AND p.rn = 1 WHERE h.rn = 1)"""
+def _REPAIRED(source: str) -> str:  # noqa: N802
+    """Common table expressions up to repaired(id, text) from source(id, x0)."""
+    out = f"WITH r0 AS ({source})"
+    marks = [*X.PAIRED, *X.SINGLE]
+    for k, m in enumerate(marks):
+        x, n = f"x{k}", len(m)
+        at = f"(length({x}) - instr(reverse({x}), '{m}') - {n - 2})"
+        before, after = f"substr({x}, 1, {at} - 1)", f"substr({x}, {at} + {n})"
+        counted = x if n == 2 or m == "`" else f"replace({x}, '{m * 2}', '')"
+        odd = f"((length({counted}) - length(replace({counted}, '{m}', ''))) // {n}) % 2 = 1 AND NOT contains({after}, chr(10))"
+        alone = "" if m in X.PAIRED else f" AND NOT ends_with({before}, '{m}') AND NOT starts_with({after}, '{m}')"
+        out += f", r{k + 1} AS (SELECT id, CASE WHEN {odd}{alone} THEN {before} || {after} ELSE {x} END AS x{k + 1} FROM r{k})"
+    return out + f", repaired AS (SELECT id, x{len(marks)} AS text FROM r{len(marks)})"
+
+
 _TWO = lambda cols: ", ".join(f"CAST(round({c}, 2) AS DOUBLE) + 0.0 AS {c}" for c in cols)
 _BOARD = f"""{panel_ctes("panel", "invoices", "fullpanel", "anchors")}{_FC[len(panel_ctes("panel", "invoices")) :]}{_VIEW[len(panel_ctes("fullpanel", "anchors")) :]},
 last AS (SELECT company_id, net_op FROM (SELECT company_id, net_op, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS rn FROM panel) p WHERE rn = 1),
@@ -142,7 +158,7 @@ SELECT f.company_id, f.month, round(h, 4) AS hhi_ar_6m, round(ln(CAST(coalesce(c
     "ag07_table_stats": f"{_VIEW} SELECT count(*) AS companies, round(avg(score), 1) AS mean_score, CAST(count(*) FILTER (WHERE band = 'risk') AS VARCHAR) || ' (' || CAST(CAST(floor(100.0 * count(*) FILTER (WHERE band = 'risk') / count(*) + 0.5) AS BIGINT) AS VARCHAR) || '%)' AS in_risk, CAST(count(*) FILTER (WHERE delta3 < 0) AS VARCHAR) || ' (' || CAST(CAST(floor(100.0 * count(*) FILTER (WHERE delta3 < 0) / count(*) + 0.5) AS BIGINT) AS VARCHAR) || '%)' AS falling FROM view",
     "ap12_board": f"{_BOARD} SELECT * FROM boarded",
     "ap16_status_counts": f"{_BOARD} SELECT s.status, count(b.company_id) AS n FROM (SELECT 'alert' AS status UNION ALL SELECT 'opportunity' UNION ALL SELECT 'watch' UNION ALL SELECT 'paused') s LEFT JOIN boarded b ON b.status = s.status GROUP BY s.status",
-    "tx01_blocks": r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS raw0, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    "tx01_blocks": _REPAIRED("SELECT doc_id AS id, text AS x0 FROM documents") + r""", l AS (SELECT id, unnest(string_split(text, chr(10))) AS raw0, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM repaired),
 b AS (SELECT id, line, regexp_replace(raw0, '\s+$', '') AS raw, regexp_replace(regexp_replace(raw0, '\s+$', ''), '^\s+', '') AS bare FROM l),
 k AS (SELECT *, CASE WHEN regexp_matches(bare, '^(-{3,}|[*]{3,}|_{3,})$') THEN 'rule' WHEN regexp_matches(bare, '^#{1,4}\s+.*$') THEN 'heading' WHEN regexp_matches(bare, '^>\s?.*$') THEN 'quote' WHEN regexp_matches(bare, '^\d+[.)]\s+.*$') THEN 'ordered' WHEN regexp_matches(bare, '^[-*•]\s+.*$') THEN 'item' ELSE 'paragraph' END AS kind FROM b WHERE bare <> '')
 SELECT id, line, kind, CASE WHEN kind = 'heading' THEN length(regexp_extract(bare, '^(#{1,4})', 1)) - 1 WHEN kind IN ('ordered', 'item') THEN least(CAST(floor(length(replace(regexp_extract(raw, '^[ \t]*', 0), chr(9), '  ')) / 2) AS BIGINT), 3) END AS depth,

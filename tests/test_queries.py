@@ -9,7 +9,7 @@ from ledgerlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
-SOME = ("mp12_companies", "mp16_invoices", "mp17_transactions", "pn09_daily_cash", "pn23_payables", "ev08_events", "fc13_forecast", "cl12_offers", "ap07_attribution", "ui01_statement", "tx01_blocks", "cr02_uuid5")
+SOME = ("mp12_companies", "mp16_invoices", "mp17_transactions", "pn09_daily_cash", "pn23_payables", "ev08_events", "fc13_forecast", "cl12_offers", "ap07_attribution", "ui01_statement", "tx01_blocks", "cr02_uuid5", "ap05_sheet", "ap20_client_books", "sc08_ahead", "sc09_invoice_features", "sc09_lost_share", "sc12_decisions", "cr05_open_leads", "cr07_hydrated", "ui02_periods", "ui09_checklist", "ch06_repeatable", "snk10_export")
 
 
 def plain(v):
