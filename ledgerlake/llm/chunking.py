@@ -20,6 +20,8 @@ from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 
 #: Least and largest bytes of a chunk, and bits of the boundary mask: chunks of MIN + 2**BITS bytes on average.
 MIN_BYTES, MAX_BYTES, BITS = 16, 256, 5
+#: Bytes of neighbouring repeated chunks from which on they are a passage.
+PASSAGE = 80
 #: Bytes that a boundary depends on.
 WINDOW = 16
 #: Bytes that are hashed at once.
@@ -72,7 +74,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.ListArray.from_arrays(edges, d1), pa.ListArray.from_arrays(edges, d2)], names=["doc_id", "rk", "d1", "d2"])
 
 
-SPANS = "doc_id long, n_bytes long, n_chunks long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary"
+SPANS = "doc_id long, n_bytes long, n_chunks long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary, n_passage long"
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -81,10 +83,11 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def removed(ends: np.ndarray, repeated: np.ndarray, later: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
-    """Bytes in repeated chunks, and the byte spans of the chunks among them that aren't first."""
+def removed(ends: np.ndarray, repeated: np.ndarray, later: np.ndarray) -> tuple[int, list[tuple[int, int]], int]:
+    """Bytes in repeated chunks, the byte spans of the chunks among them that aren't first, and bytes in passages."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return int((ends - starts)[repeated].sum()), [(int(starts[a]), int(ends[b - 1])) for a, b in _runs(repeated & later)]
+    runs = [int(ends[b - 1] - starts[a]) for a, b in _runs(repeated)]
+    return sum(runs), [(int(starts[a]), int(ends[b - 1])) for a, b in _runs(repeated & later)], sum(n for n in runs if n >= PASSAGE)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +100,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later, repeated = np.zeros(len(ends), bool), np.zeros(len(ends), bool)
             later[laters or []] = True
             repeated[firsts or []] = True
-            n, spans = removed(ends, repeated | later, later)
+            n, spans, n_passage = removed(ends, repeated | later, later)
             at, kept = 0, []
             for a, b in spans:
                 kept.append(raw[at:a])
                 at = b
-            out.append((doc_id, len(raw), len(ends), n, [{"start": a, "end": b} for a, b in spans], b"".join([*kept, raw[at:]])))
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), SPAN_TYPE, pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_chunks", "n_repeated", "spans", "kept"])
+            out.append((doc_id, len(raw), len(ends), n, [{"start": a, "end": b} for a, b in spans], b"".join([*kept, raw[at:]]), n_passage))
+        columns = zip(*out, strict=True) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), SPAN_TYPE, pa.binary(), pa.int64()), strict=True)], names=["doc_id", "n_bytes", "n_chunks", "n_repeated", "spans", "kept", "n_passage"])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_chunks, n_repeated (bytes in repeated chunks), spans (removed
-    bytes, maximal) and kept (the other bytes).
+    bytes, maximal), kept (the other bytes) and n_passage (of n_repeated, what is in runs of PASSAGE bytes and more).
 
     Texts are UTF-8 bytes, null is empty. Of equal chunks that with the smallest id, then the smallest place stays, a
     null id coming last; rows that repeat id and text count as one document and lose the same bytes. Other columns
@@ -140,4 +143,4 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform("spans", lambda x: x["end"] - x["start"])
     out = deduplicate(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed")
-    return out.select("doc_id", "n_bytes", "n_chunks", "n_repeated", n_removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_repeated", n_removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
