@@ -29,7 +29,7 @@ from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 #: Bytes of a string that is removed, and of a passage that is reported; window and bytes of an anchor.
 WIDTH, PASSAGE, SPAN, GRAM = 400, 240, 352, 64
 #: Surroundings that are sorted together at most, parts into which a range of offsets is split.
-BUCKET, WAYS = 4096, 4
+BUCKET, WAYS = 1024, 4
 #: Bytes that are hashed at once; surroundings that a task sorts in one go; offsets that it looks at together.
 BLOCK, ROWS, COLUMNS = 1 << 20, 3072, 48
 MASK = (1 << 64) - 1
