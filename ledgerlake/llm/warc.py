@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import bloom
-from ledgerlake.llm.common import bounded_batches, scratch_path, staged, table
+from ledgerlake.llm.common import bounded_batches, lookup, scratch_path, staged, table
 
 CRLF, END = "\r\n", "\r\n\r\n"
 #: Payloads from this size on are stored once; mean bytes of a file.
 REVISIT_BYTES, FILE_BYTES = 1000, 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a gzip member that are unpacked at once.
+PIECE = 1 << 14
 MAGIC, VERSION, GZIP = b"WARC/1.", (b"WARC/1.0", b"WARC/1.1"), b"\x1f\x8b\x08"
 
 
@@ -44,10 +46,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     keys = staged(rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "payload_digest", "h"), "warc-keys")
     blocks = bloom.blocks_for(keys.count())
     again = staged(bloom.repeated_filter(keys, "h", blocks), "warc-bloom")
-    first = bloom.probe(keys, "h", again, blocks, "maybe").where("maybe").groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = bloom.probe(keys, "h", again, blocks, "maybe").where("maybe").groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     probed = bloom.probe(rows, "h", again, blocks, "maybe").withColumn("maybe", F.col("maybe") & (F.col("payload_bytes") >= REVISIT_BYTES))
     alone = probed.where("not maybe").withColumn("first", F.lit(None).cast("long"))
-    met = probed.where("maybe").join(first.select("d", "first"), F.col("payload_digest") == F.col("d"), "left").drop("d")
+    met = lookup(probed.where("maybe"), staged(first, "warc-first"), ["payload_digest"], "n")
     rows = alone.unionByName(met)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
@@ -107,66 +109,75 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     return headers, block, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The gzip member that starts at ``at``, unpacked, and where it ends; or the check that failed."""
-    unpack = zlib.decompressobj(31)
-    try:
-        out = unpack.decompress(data[at:])
-    except zlib.error:
-        return "gzip member"
-    return (out, len(data) - len(unpack.unused_data)) if unpack.eof else "gzip member end"
-
-
-def salvage(data: bytes) -> Iterator[tuple]:
-    """(offset, length, headers, block, reason) of each record, reason None, and of each gap, headers and block None.
-    Offsets are those in the file; records and gaps together cover it."""
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """The gzip member that starts at ``at``: unpacked, as far as it goes; where it ends, None if it is damaged; why."""
+    unpack, view, out, k = zlib.decompressobj(31), memoryview(data), [], at
+    while k < len(data) and not unpack.eof:
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(view[k : k + PIECE]))
+        except zlib.error:
+            try:
+                for i in range(k, min(len(data), k + PIECE)):  # what the damaged piece holds before the damage
+                    out.append(before.decompress(view[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None, "gzip member"
+        k += PIECE
+    if not unpack.eof:
+        return b"".join(out), None, "gzip member end"
+    return b"".join(out), min(k, len(data)) - len(unpack.unused_data), ""
+
+
+def _next(data: bytes, at: int, packed: bool) -> int:
+    """Where the next version line, or gzip member, may begin."""
+    found = [data.find(MAGIC, at), *([data.find(GZIP, at)] if packed else [])]
+    return min((x for x in found if x >= 0), default=len(data))
+
+
+def salvage(data: bytes, packed: bool = True) -> Iterator[tuple]:
+    """(offset, length, headers, block, reason, inner) of each record, reason None, and of each gap, headers and block
+    None. Offsets are those in the file, which records and gaps together cover, but for members that hold nothing.
+
+    What comes from a gzip member has the member's range, and as inner its own (offset, length) in the unpacked bytes;
+    these cover what could be unpacked. Of a damaged member the records before the damage are kept. Gzip within a member
+    isn't unpacked again.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
-        if data.startswith(GZIP, at):
-            got = _member(data, at)
-            if not isinstance(got, str):
-                inner, end = got
-                found = list(salvage(inner)) if not inner.startswith(GZIP) else [(0, 0, None, None, "nested gzip")]
-                if inner and all(x[4] is None for x in found):
-                    if gap is not None:
-                        yield gap, at - gap, None, None, why
-                        gap = None
-                    for x in found:
-                        yield at, end - at, x[2], x[3], None
-                    at = end
-                    continue
-                if inner:  # a sound member with a damaged record: keep what can be read, log the rest
-                    if gap is not None:
-                        yield gap, at - gap, None, None, why
-                        gap = None
-                    for x in found:
-                        yield at, end - at, x[2], x[3], x[4]
-                    at = end
-                    continue
-                at = end  # an empty member holds nothing
-                continue
+        rows, end = [], None
+        if packed and data.startswith(GZIP, at):
+            unpacked, end, why_not = _member(data, at)
+            rows = [(*x[2:5], (x[0], x[1])) for x in salvage(unpacked, False)]
+            if end is None and any(x[2] is None for x in rows):  # what follows its last record is lost
+                end = _next(data, at + 1, packed)
+                last = rows[-1][3]
+                rows = [*rows[:-1], (None, None, why_not, last)] if rows[-1][2] else [*rows, (None, None, why_not, (sum(last), 0))]
         else:
             got = _parse(data, at)
-            if not isinstance(got, str):
-                if gap is not None:
-                    yield gap, at - gap, None, None, why
-                    gap = None
-                yield at, got[2] - at, got[0], got[1], None
-                at = got[2]
-                continue
-        if gap is None:
-            gap, why = at, got
-        plain, packed = data.find(MAGIC, at + 1), data.find(GZIP, at + 1)
-        at = min((x for x in (plain, packed) if x >= 0), default=len(data))
+            if isinstance(got, str):
+                why_not = got
+            else:
+                rows, end = [(got[0], got[1], None, None)], got[2]
+        if end is None:
+            gap, why = (at, why_not) if gap is None else (gap, why)
+            at = _next(data, at + 1, packed)
+            continue
+        if gap is not None:
+            yield gap, at - gap, None, None, why, None
+            gap = None
+        for x in rows:
+            yield at, end - at, *x
+        at = end
     if gap is not None:
-        yield gap, len(data) - gap, None, None, why
+        yield gap, len(data) - gap, None, None, why, None
 
 
-RECORDS = "path string, offset long, length long, reason string, headers map<string,string>, payload binary"
+RECORDS = "path string, offset long, length long, inner_offset long, inner_length long, reason string, headers map<string,string>, payload binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("inner_offset", pa.int64()), ("inner_length", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -174,10 +185,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             rows, held = [], 0
-            for offset, length, headers, block, reason in salvage(content.as_py() or b""):
+            for offset, length, headers, block, reason, inner in salvage(content.as_py() or b""):
                 if block is not None and headers.get("content-type", "").startswith("application/http"):
                     block = block.partition(b"\r\n\r\n")[2]
-                rows.append((path.as_py(), offset, length, reason, list(headers.items()) if headers is not None else None, block))
+                rows.append((path.as_py(), offset, length, *(inner or (None, None)), reason, list(headers.items()) if headers is not None else None, block))
                 held += len(block or b"")
                 if held > 4 << 20:
                     yield packed(rows)
@@ -187,7 +198,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record or gap of the files under path: path, offset, length, reason (null: a sound record; else the
+    """One row per record or gap of the files under path: path, offset, length, inner_offset and inner_length (as in salvage), reason (null: a sound record; else the
     check that failed, and the row is a quarantined gap), headers (lower-case names), payload (without HTTP headers).
     An empty file gives no rows."""
     bounded_batches(spark)
