@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import bounded_batches, table
 
 RATE, PAD = 8000, 64
-#: Samples of a frame, step between frames, frames that are transformed at once.
-FRAME, HOP, AT_ONCE = 1024, 512, 4096
-#: First bins of the bands, each of which may have one peak a frame; frames ahead that a peak is paired with.
-BANDS, AHEAD = (1, 16, 48, 128, 513), 2
+#: Samples of a frame at most and at least, frames that a payload has at least if it can, frames transformed at once.
+FRAME, LEAST_FRAME, FRAMES, AT_ONCE = 1024, 16, 16, 4096
+#: Where the bands begin, each of which may have one peak a frame, as shares of a frame's bins; frames ahead that a peak
+#: is paired with.
+BANDS, AHEAD = (0, 1 / 32, 3 / 32, 1 / 4, 1), 2
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -37,21 +38,29 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def frame_size(n: int) -> int:
+    """Samples of a frame of n samples: a power of two, small enough for FRAMES frames that overlap by half."""
+    return max(LEAST_FRAME, min(FRAME, 1 << max(0, (2 * n // (FRAMES + 1)).bit_length() - 1)))
+
+
 def peaks(samples: np.ndarray) -> np.ndarray:
     """Frame by band: the bin of the band's largest magnitude, or -1 where it isn't above the frame's mean by half.
-    Frames are transformed AT_ONCE at a time, so memory doesn't follow the length; the last frame is filled with
-    silence."""
-    n = max(1, -(-max(0, len(samples) - FRAME) // HOP) + 1)
-    window, found = np.hanning(FRAME), []
+    Frames overlap by half and are transformed AT_ONCE at a time, so memory doesn't follow the length; the last frame is
+    filled with silence."""
+    size = frame_size(len(samples))
+    hop, bins = size // 2, size // 2 + 1
+    edges = sorted({max(1, round(x * (bins - 1))) for x in BANDS[:-1]}) + [bins]
+    n = max(1, -(-max(0, len(samples) - size) // hop) + 1)
+    window, found = np.hanning(size), []
     for k in range(0, n, AT_ONCE):
         m = min(AT_ONCE, n - k)
-        part = samples[k * HOP : (k + m - 1) * HOP + FRAME].astype(np.float64) - 128.0
-        part = np.pad(part, (0, (m - 1) * HOP + FRAME - len(part)))
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        part = samples[k * hop : (k + m - 1) * hop + size].astype(np.float64) - 128.0
+        part = np.pad(part, (0, (m - 1) * hop + size - len(part)))
+        frames = np.lib.stride_tricks.sliding_window_view(part, size)[::hop]
         power = np.abs(np.fft.rfft(frames * window, axis=1))
         floor = 1.5 * power[:, 1:].mean(axis=1)
-        best = np.empty((m, len(BANDS) - 1), np.int64)
-        for b, (lo, hi) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
+        best = np.empty((m, len(edges) - 1), np.int64)
+        for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             at = power[:, lo:hi].argmax(axis=1) + lo
             best[:, b] = np.where(power[np.arange(m), at] > floor, at, -1)
         found.append(best)
@@ -122,4 +131,4 @@ def fingerprinted(media: DataFrame) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprinted(stored(table(spark, sf_dir, "documents"))).drop("fingerprint")
+    return fingerprinted(stored(table(spark, sf_dir, "documents")))
