@@ -15,7 +15,7 @@ from ledgerlake.llm.common import fresh, staged, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Words of a slot; documents of a source that are put in order together; slots that are ranked together.
-BLOCK, BUCKET_ROWS, CHUNK = 512, 4096, 1 << 16
+BLOCK, BUCKET_ROWS, CHUNK = 512, 1024, 1 << 12
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
 #: Golden-ratio points as integers: i * STEP modulo POINTS, moved by TURN each time all points were used.
 POINTS, STEP, TURN, CELLS = 1 << 31, 1327217885, 886731088, 4096
