@@ -31,6 +31,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of a chunk, whose texts share a dictionary (a longer text is a chunk of its own); bytes of text for each
 #: bucket of words; bytes up to which a vocabulary may be sent to all workers; texts that are put together at once.
 CHUNK_CHARS, BUCKET_BYTES, TABLE_BYTES, TEXTS_AT_ONCE = 32 << 20, 16 << 20, 64 << 20, 256
+#: Bytes of text for each partition of a shuffle, where that makes more of them than the session has.
+PARTITION_BYTES = 32 << 20
 
 
 @lru_cache(4)
@@ -206,9 +208,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, size // BUCKET_BYTES)
     sent = staged(rows.mapInArrow(partial(_split, pattern=pattern, buckets=buckets), MESSAGE), "bpe-chunks")
-    words = sent.where(F.col("kind") == WORDS).repartition("bucket").sortWithinPartitions("bucket")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
+    words = sent.where(F.col("kind") == WORDS).repartition(parts, "bucket").sortWithinPartitions("bucket")
     merged = words.mapInArrow(partial(_merge, rank_file=rank_file, pattern=pattern), MESSAGE)
-    both = merged.unionByName(sent.where(F.col("kind") == TEXTS)).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    both = merged.unionByName(sent.where(F.col("kind") == TEXTS)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
     return both.mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
