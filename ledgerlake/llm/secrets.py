@@ -3,7 +3,8 @@
 Fixed patterns find credentials of three kinds. The distinct credentials are labelled examples: of each kind's a bounded
 sample makes a prefix tree, whose statistically compatible states are merged into a probabilistic automaton. All ordinary
 tokens, as often as they occur, make a background automaton in the same way. The trees are counted in Spark; once states
-are merged, all whole strings are counted again on their way through them. Then every token of every text that no base span covers whole is scored by
+are merged, all whole strings are counted again on their way through them. What then looks more like a credential leaves
+the background, which is inferred once more. Then every token of every text that no base span covers whole is scored by
 its likelihood under each format against the background, and what is far more likely a credential is added.
 """
 
@@ -38,6 +39,10 @@ EXAMPLES = 1500
 ALPHA, DEPTH = 0.01, 128
 #: Visits below which the test can't tell a prefix from any other, so that it needs no state in the tree.
 SEEN = math.floor(0.5 * math.log(2 / ALPHA)) + 1
+#: Prefixes of less than a FINE-th of a kind's strings share the states of others; it bounds the tree at each depth.
+FINE = 20_000
+#: Share of the ordinary tokens up to which those that look like credentials are left out of the background.
+HIDDEN = 0.1
 #: Distinct strings that a task counts before it hands them on; tokens whose kind a task remembers.
 TALLY, MEMO = 200_000, 200_000
 #: A candidate is added when its likelihood is MARGIN nats above the background's and its mean per character at least
@@ -233,7 +238,12 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = base_spans(text)
                 held.update((KINDS[k], c) for _, k, _, c in spans)
                 if spans:
-                    plain.update(m[0] for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in spans))
+                    ahead, reach = 0, -1
+                    for m in CANDIDATE.finditer(text):
+                        while ahead < len(spans) and spans[ahead][0] < m.end():
+                            reach, ahead = max(reach, spans[ahead][2]), ahead + 1
+                        if reach <= m.start():
+                            plain[m[0]] += 1
                 else:
                     plain.update(CANDIDATE.findall(text))
         for token, n in plain.items():
@@ -265,26 +275,51 @@ def _means(batches: Iterator[pa.RecordBatch], states: dict[str, list]) -> Iterat
 PLAIN = "plain"
 
 
-def fit(strings: DataFrame) -> Formats:
-    """strings: name (a kind or PLAIN), value (letters), n. Prefixes, symbols and ends are sums over all of them; only
-    prefixes of SEEN visits and more, and the counts of merged states, come to the driver."""
+def _suspected(batches: Iterator[pa.RecordBatch], kinds: dict[str, list], plain: list) -> Iterator[pa.RecordBatch]:
+    """Rows (name, value, n) with suspect: whether some kind explains the string better than the background does."""
+    for batch in batches:
+        spelled = [[LETTERS.index(c) for c in v] for v in batch.column("value").to_pylist()]
+        suspect = [any(log_likelihood(states, s) > low for states in kinds.values()) for s in spelled for low in [log_likelihood(plain, s)]]
+        yield batch.append_column("suspect", pa.array(suspect, pa.bool_()))
+
+
+def _automata(strings: DataFrame) -> dict[str, Automaton]:
+    """By name, the automaton of strings (name, value, n). Prefixes, symbols and ends are sums over all of them; only
+    prefixes of SEEN visits and a FINE-th of the name's strings and more, and the counts of merged states, come to the
+    driver: a few megabytes, whatever the corpus. Rarer strings are counted where they pass through merged states."""
     at = F.explode(F.sequence(F.lit(0), F.least(F.length("value"), F.lit(DEPTH))))
     places = strings.select("name", "n", "value", at.alias("i")).select("name", "n", F.expr("substring(value, 1, i)").alias("prefix"), F.expr("substring(value, i + 1, 1)").alias("c"))
     sums = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"s{k}") for k, c in enumerate([*LETTERS, ""])]
     seen: dict[str, dict[str, list[int]]] = {}
-    for r in places.groupBy("name", "prefix").agg(F.sum("n").alias("n"), *sums).where((F.col("n") >= SEEN) | (F.col("prefix") == "")).collect():
+    totals = strings.groupBy("name").agg(F.greatest(F.lit(SEEN), F.ceil(F.sum("n") / FINE)).alias("least"))
+    grown = places.groupBy("name", "prefix").agg(F.sum("n").alias("n"), *sums).join(F.broadcast(totals), "name")
+    for r in grown.where((F.col("n") >= F.col("least")) | (F.col("prefix") == "")).drop("least").collect():
         seen.setdefault(r["name"], {})[r["prefix"]] = list(r[3:])
     found = {name: Automaton.of_prefixes(x) for name, x in sorted(seen.items())}
     after = {name: x.next for name, x in found.items()}
     met = strings.mapInArrow(partial(_walked, after=after), "name string, state long, symbol long, n long").groupBy("name", "state", "symbol").agg(F.sum("n").alias("n")).collect()
     for name, x in found.items():
         x.recount({(r["state"], r["symbol"]): r["n"] for r in met if r["name"] == name})
-    states = {name: x.table() for name, x in found.items()}
+    return found
+
+
+def fit(strings: DataFrame) -> Formats:
+    """strings: name (a kind or PLAIN), value (letters), n. Ordinary tokens hold unlabelled credentials too. So those that
+    a kind explains better than the first background are left out of the second, unless they are over HIDDEN of all: so
+    common a form is ordinary."""
+    states = {name: x.table() for name, x in _automata(strings).items()}
+    kinds = {name: x for name, x in states.items() if name != PLAIN}
+    if kinds and PLAIN in states:
+        tagged = strings.where(F.col("name") == PLAIN).mapInArrow(partial(_suspected, kinds=kinds, plain=states[PLAIN]), "name string, value string, n long, suspect boolean")
+        tagged = staged(tagged, "secret-suspects")
+        hidden, total = tagged.agg(F.sum(F.when(F.col("suspect"), F.col("n")).otherwise(0)), F.sum("n")).first()
+        if 0 < hidden <= HIDDEN * total:
+            states[PLAIN] = _automata(tagged.where("not suspect").drop("suspect"))[PLAIN].table()
     means: dict[str, list[float]] = {}
     for r in strings.where(F.col("name") != PLAIN).select("name", "value").mapInArrow(partial(_means, states=states), "name string, mean double").collect():
         means.setdefault(r["name"], []).append(r["mean"])
-    kinds = {name: (states[name], sorted(x)[int(SLACK * len(x))]) for name, x in sorted(means.items())}
-    return Formats(kinds, states.get(PLAIN) or Automaton([]).table())
+    known = {name: (states[name], sorted(x)[int(SLACK * len(x))]) for name, x in sorted(means.items())}
+    return Formats(known, states.get(PLAIN) or Automaton([]).table())
 
 
 def infer(docs: DataFrame, text_col: str = "text", examples: int = EXAMPLES) -> Formats:
@@ -324,9 +359,12 @@ def _scan(batches: Iterator[pa.RecordBatch], formats: Formats) -> Iterator[pa.Re
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             rows = [(s, k, {"kind": KINDS[k], "start": s, "end": e, "base": True}) for s, k, e, _ in spans]
+            ahead, reach = 0, -1  # how far the spans reach that begin up to a candidate
             for m in CANDIDATE.finditer(text or ""):
-                kind = kinds[m[0]]
-                if kind and not any(s <= m.start() and m.end() <= e for s, _, e, _ in spans):
+                while ahead < len(spans) and spans[ahead][0] <= m.start():
+                    reach, ahead = max(reach, spans[ahead][2]), ahead + 1
+                kind = kinds[m[0]] if reach < m.end() else None
+                if kind:
                     rows.append((m.start(), KINDS.index(kind), {"kind": kind, "start": m.start(), "end": m.end(), "base": False}))
             out.append([r for *_, r in sorted(rows, key=lambda x: x[:2])])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, SPAN_TYPE)], names=["doc_id", "spans"])
