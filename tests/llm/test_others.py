@@ -175,7 +175,7 @@ def test_salvage_gzip():
     broken = bytearray(whole)
     broken[len(whole) // 2] ^= 255
     found = [x[3] for x in warc.salvage(bytes(broken)) if x[4] is None]
-    assert found == bodies[: len(found)] and 15 <= len(found) < 50
+    assert found == [b for b in bodies if b in found] and 15 <= len(found) < 50 and any(x[4] for x in warc.salvage(bytes(broken)))
     assert list(warc.salvage(gzip.compress(b""))) == []
 
 
