@@ -109,6 +109,42 @@ def test_quality(spark, docs, nothing):
     assert quality.classify(nothing, labels).count() == 0 and quality.good_only(docs, labels.where("false")).columns == docs.columns
 
 
+def concentrated(groups, prior):
+    """Moment estimate of a beta-binomial's concentration, by plain sums over (n, s) and each group's prior."""
+    total = sum(n for n, _ in groups)
+    x = sum(n * (s / n - p) ** 2 / (p * (1 - p)) for (n, s), p in zip(groups, prior, strict=True))
+    spare = total - sum(n * n for n, _ in groups) / total - (len(groups) - 1)
+    rho = (x - (len(groups) - 1)) / spare if spare > 0 else 0.5
+    return round(1 / min(max(rho, 1e-3), 0.5) - 1, 3)
+
+
+def test_shrinkage(spark):
+    """Rates of hosts and paths of urls: shrunk to the level above, the document itself left out, the posterior's odds."""
+    good, bad = "A calm and even sentence about the sea and its many islands. " * 4, "$$$ @@@ ### 0101 %%% ~~~ " * 10
+    urls = [(f"http://h{i % 4}.org/p{i % 7}/x{i}", good if (i % 4 < 2) ^ (i % 9 == 0) else bad) for i in range(120)] + [(None, good), ("http://lonely.org/", bad)]
+    docs = spark.createDataFrame([(i, t, u) for i, (u, t) in enumerate(urls)], "doc_id long, text string, url string")
+    docs = docs.withColumns({"host": F.parse_url("url", F.lit("HOST")), "path": F.regexp_extract("url", r"^\w+://[^/]+(/[^/]*)", 1), "evidence": F.lit("mine"), "k": F.lit(1)})
+    labels = spark.createDataFrame([(i, int(t == good)) for i, (_, t) in enumerate(urls) if i % 3], "doc_id long, quality int")
+    out = quality.classify(docs, labels, "host", "path").collect()
+    assert len(out) == 122 and out[0].evidence == "mine"
+    e = {r.doc_id: r["evidence_"] for r in out}
+    hosts, paths = {}, {}
+    for r in out:
+        for key, group in ((r.host, hosts), ((r.host, r.path), paths)):
+            n, s = group.get(key, (0, 0.0))
+            group[key] = (n + 1, s + e[r.doc_id])
+    bounded = lambda x: min(max(x, 1e-3), 1 - 1e-3)
+    base = bounded(sum(e.values()) / len(e))
+    k_host = concentrated(list(hosts.values()), [base] * len(hosts))
+    rate = {h: bounded((s + k_host * base) / (n + k_host)) for h, (n, s) in hosts.items()}
+    k_path = concentrated(list(paths.values()), [rate[h] for h, _ in paths])
+    for r in out:
+        n, s = paths[r.host, r.path]
+        own = bounded((s - e[r.doc_id] + k_path * rate[r.host]) / (n - 1 + k_path))
+        odds = e[r.doc_id] / (1 - e[r.doc_id]) * own / (1 - own) / (base / (1 - base))
+        assert abs(r.host_rate - rate[r.host]) < 2e-3 and abs(r.path_rate - own) < 2e-3 and abs(r.posterior - odds / (1 + odds)) < 5e-3 and r.keep == (r.posterior >= 0.5)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -131,6 +167,26 @@ def test_mix(spark, docs, nothing):
     assert source_mix.mix(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("sizes", [{"a": 1000, "b": 10, "c": 500, None: 40}, {"x": 5}, {"a": 0, "b": 0}, {f"s{k}": 3**k for k in range(9)}])
+def test_targets(spark, sizes):
+    """Targets by the loop that the contract describes: share by weight, stop at the cap, reshare what is over."""
+    df = spark.createDataFrame([(k, n) for k, n in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in source_mix.targets(df).collect()}
+    order = sorted(sizes, key=lambda x: (x is None, x))
+    weight = {k: (3.0, 1.0, 2.0)[i % 3] for i, k in enumerate(order)}
+    want, left, open_ = dict.fromkeys(sizes, 0.0), 1.5 * sum(sizes.values()), set(sizes)
+    while open_:
+        total = sum(weight[k] for k in open_)
+        full = {k for k in open_ if left * weight[k] / total > 2 * sizes[k]}
+        for k in full or open_:
+            want[k] = 2.0 * sizes[k] if full else left * weight[k] / total
+        if not full:
+            break
+        left -= sum(want[k] for k in full)
+        open_ -= full
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in want)
+
+
 def test_warc(spark, tmp_path):
     big = "x" * 1500 + "é"
     pages = spark.createDataFrame([(1, "http://a\r\nb", big), (2, "u", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (6, "u", "WARC/1.1\r\n\r\n" * 200)], "page_id long, url string, html string")

@@ -45,3 +45,23 @@ def test_stages(spark, tmp_path):
     enc = bpe.encoding(bpe.ranks(bpe.RANKS), public_tokenizers.PATTERN)
     digest = lambda t: hashlib.sha256(",".join(map(str, enc.encode_ordinary(t or ""))).encode()).hexdigest()
     assert sorted((r.doc_id, r.ids_sha256) for r in seen["byte_bpe"]) == sorted((r.doc_id, digest(r.text)) for r in mixed)
+
+
+def test_stages_on_edges(spark):
+    """Nulls in any column, empty and long texts, repeated rows, no rows, columns whose names are used inside."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k long, maybe int, node string, __h int, n_rows string, evidence double"
+    long_text = "a fairly long sentence that goes on and on, " * 20000
+    rows = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (None, "one two three four five six"), (4, long_text), (5, " \n"), (None, None)]
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "en", None if k % 3 else "s", None, k, k, "x", k, "y", 0.5) for k, (i, t) in enumerate(rows)], schema)
+    for name, stage in P.STAGES:
+        out, none = stage(spark, docs, SF), stage(spark, docs.where("false"), SF)
+        assert none.count() == 0
+        if name == P.STAGES[-1][0]:
+            assert out.count() == len(rows)
+        else:
+            assert out.columns == docs.columns and out.count() <= 2 * len(rows)
+        texts = [r.text for r in out.collect()] if "text" in out.columns else []
+        if name == "exact_dedup":
+            assert sorted(map(stripped, texts)) == sorted({stripped(t) for _, t in rows})
+        if name == "ngram_jaccard_join":
+            assert sum(t == rows[2][1] for t in texts) == 2 and sum(not stripped(t) for t in texts) == 4 and texts.count(long_text) == 1
