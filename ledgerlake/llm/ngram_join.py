@@ -31,6 +31,9 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Words whose hashes a worker remembers; nodes of a block; children of a tree node; bits of a bitmap; sets whose keys a
 #: task knows to have sent.
 MEMO, BLOCK, FAN, BITS, SENT = 50_000, 256, 8, 2048, 200_000
+#: Nodes, and shingles, of a block of a cluster that is larger than BLOCK; how often such clusters are dealt anew; pairs of
+#: tree nodes that are compared at once.
+LARGE_BLOCK, BLOCK_SHINGLES, ROUNDS, PAIRS = 1024, 1 << 20, 3, 1 << 16
 #: Counters of how common shingles are, those of a block, and shingles that are counted at once.
 COUNTERS, CELLS, HELD = 1 << 24, 1 << 15, 1 << 18
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -65,7 +68,7 @@ def shingles(text: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def _common(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch], width: int, salt: int) -> Iterator[pa.RecordBatch]:
     """How many of a task's rows have a shingle, up to 255, by COUNTERS hashed counters: (block, counts), blocks of CELLS."""
     memo, counts, held, size = WordHashes(), np.zeros(COUNTERS, np.uint8), [], 0
 
@@ -75,7 +78,7 @@ def _common(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
     for batch in batches:
         for text in batch.column("text").cast(pa.binary()).to_pylist():
-            held.append(counter(shingles(text, width, memo)))
+            held.append(counter(shingles(text, width, memo), salt))
             size += len(held[-1])
             if size >= HELD:
                 add()
@@ -106,13 +109,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def counter(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(17) & np.uint64(COUNTERS - 1)).astype(np.int64)
+def counter(s: np.ndarray, salt: int = 0) -> np.ndarray:
+    return ((mixed(s ^ np.uint64(salt)) if salt else s) >> np.uint64(17) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def shingle_levels(rows: DataFrame, width: int) -> np.ndarray:
+def shingle_levels(rows: DataFrame, width: int, salt: int = 0) -> np.ndarray:
     """Of each counter, about how common its shingles are in all rows. COUNTERS bytes, whatever the input's size."""
-    parts = rows.select("text").mapInArrow(partial(_common, width=width), "block int, counts binary")
+    parts = rows.select("text").mapInArrow(partial(_common, width=width, salt=salt), "block int, counts binary")
     levels = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, levels binary").collect()
     out = np.zeros((COUNTERS // CELLS, CELLS), np.uint8)
     for r in levels:
@@ -164,11 +167,11 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int, salt: int = 0) -> np.ndarray:
     """The set's first shingles in the order of all shingles, rare ones first: so many that two sets over the threshold
     have one of them in common, as they share num / den of either."""
     keep = len(s) - (num * len(s) + den - 1) // den + 1
-    order = np.lexsort((s, levels[counter(s)]))
+    order = np.lexsort((s, levels[counter(s, salt)]))
     return s[order[:keep]].view(np.int64)
 
 
@@ -193,6 +196,21 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int,
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "rk", "n", "node", "keys"])
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
+    memo = WordHashes()
+    for batch in batches:
+        keys = [prefix_keys(shingles(t, width, memo), levels, num, den, salt) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *keys]), pa.int64()))], names=["node", "keys"])
+
+
+def _trees(keyed: DataFrame) -> DataFrame:
+    """(node, cluster, size): nodes that some key connects, from (node, keys)."""
+    keyed = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    trees = connected_components(keyed.mapInArrow(_stars, "a long, b long")).select("node", F.col("root").alias("cluster"))
+    return trees.join(trees.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, node) in this order: an edge from the first node of each key to each further one. Keys are runs,
     of which only the first node is held, however long they are."""
@@ -270,7 +288,8 @@ def candidates(a: SignatureTree, b: SignatureTree, num: int, den: int) -> tuple[
             i, j = i[inside], j[inside]
         elif same and not k:
             return i[:0], j[:0]
-        ok = possible(a.level(k), i, b.level(k), j, num, den)
+        ok = [possible(a.level(k), i[x : x + PAIRS], b.level(k), j[x : x + PAIRS], num, den) for x in range(0, len(i), PAIRS)]
+        ok = np.concatenate(ok) if ok else np.empty(0, bool)
         i, j = i[ok], j[ok]
     return i, j
 
@@ -388,11 +407,7 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     per = staged(rows.mapInArrow(partial(_profile, width=width, num=num, den=den, levels=levels), "doc_id long, rk long, n long, node long, keys array<long>"), "join-profiles")
     nodes = staged(per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.any_value("n").alias("n")), "join-nodes")
 
-    keyed = per.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    edges = keyed.mapInArrow(_stars, "a long, b long")
-    trees = connected_components(edges).select("node", F.col("root").alias("cluster"))
-    wanted = nodes.select("node", "rk", "n").join(trees, "node")
-    wanted = staged(wanted.join(trees.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster"), "join-wanted")
+    wanted = staged(nodes.select("node", "rk", "n").join(_trees(per.select("node", "keys")), "node"), "join-wanted")
 
     def texts_of(some: DataFrame) -> DataFrame:
         """The texts of some nodes; only those texts shuffle. A repeated row's set comes twice."""
@@ -400,6 +415,19 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
         near = bloom.probe(rows, "rk", staged(bloom.member_filter(some, "rk", blocks), "join-bloom"), blocks, "maybe").where("maybe")
         return near.select("rk", "text").join(some, "rk").drop("rk")
 
+    # Large clusters are dealt anew: among their own nodes, far fewer shingles share a counter, so rare ones tell more.
+    for salt in range(1, ROUNDS + 1):
+        crowded = staged(wanted.where(F.col("size") > BLOCK).select("rk", "node", "n"), "join-crowded")
+        before = crowded.count()
+        if not before:
+            break
+        texts = staged(texts_of(crowded), "join-crowded-texts")
+        levels = shingle_levels(texts, width, salt)
+        trees = _trees(texts.mapInArrow(partial(_prefixes, width=width, num=num, den=den, levels=levels, salt=salt), "node long, keys array<long>"))
+        wanted = staged(wanted.where(F.col("size") <= BLOCK).unionByName(crowded.join(trees, "node").select(*wanted.columns)), "join-wanted")
+        if wanted.where(F.col("size") > BLOCK).count() > 0.9 * before:
+            break
+
     # A cluster of up to BLOCK nodes is one block.
     alone = wanted.where(F.col("size") <= BLOCK).select("rk", "node", F.col("cluster").alias("block"))
     inner = texts_of(alone).repartition("block").sortWithinPartitions("block").mapInArrow(partial(_traverse_texts, width=width, num=num, den=den), "a long, b long")
@@ -407,7 +435,8 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     # Cluster, band of sizes, block: bands of a ratio of den / num, so similar sets are in one band or in neighbours.
     band = F.floor(F.log("n") / math.log(den / num)).cast("long") if den > num else F.col("n")
     large = wanted.where(F.col("size") > BLOCK).withColumn("band", band)
-    count = large.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("n_blocks"))
+    filled = F.greatest(F.count(F.lit(1)) / LARGE_BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    count = large.groupBy("cluster", "band").agg(F.ceil(filled).cast("long").alias("n_blocks"))
     block = F.concat_ws(":", "cluster", "band", F.pmod(F.xxhash64("node"), "n_blocks"))
     large = staged(large.join(count, ["cluster", "band"]).select("rk", "node", "cluster", "band", block.alias("block")), "join-large")
     placed = staged(texts_of(large).mapInArrow(partial(_sets, width=width), "cluster long, band long, block string, node long, s binary"), "join-sets")
