@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.columns import safe_div
+from ledgerlake.sources.staging import placed
 
 # What is too small to show, the verdict's threshold, yield and capacity of a surplus, padding of a scale.
 TINY, NEAR, NET_YIELD, CAPACITY, PADDING = 0.005, 0.45, 0.015, 4, 0.12
@@ -35,7 +36,7 @@ def suggestions(rows: DataFrame, name: str, needle: str, taken: str | None = Non
 
 def by_impact(board: DataFrame) -> DataFrame:
     """The board with places: the worst impact first, unknown ones last."""
-    return board.withColumn("place", F.row_number().over(Window.orderBy(F.col("impact").asc_nulls_last(), "company_id")).cast("long"))
+    return placed(board, F.col("impact").asc_nulls_last(), F.col("company_id").asc())
 
 
 def benchmarks(peers: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.clients import money_text
 from ledgerlake.operators.serving import assign
+from ledgerlake.sources.staging import placed
 
 # Words that count as ticked; states in which a lead is open, and all of them.
 TICKED = ("✅", "true", "True", "1", "yes", "YES")
@@ -78,12 +79,7 @@ def team_counts(staff: DataFrame) -> DataFrame:
     return staff.groupBy("team").agg(F.count(F.lit(1)).alias("n"))
 
 
-def least_loaded(load: DataFrame) -> DataFrame:
-    """The row of load(employee_id, open_leads) with the fewest open leads, the least id of equal ones."""
-    return load.agg(F.min(F.struct("open_leads", "employee_id")).alias("m")).select("m.*")
-
-
 def table_order(rows: DataFrame, c: str, ascending: bool, tie: str) -> DataFrame:
     """rows with their place when sorted by c: rows without a value come last in either direction."""
     by = F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(by, tie)).cast("long"))
+    return placed(rows, by, F.col(tie).asc())

@@ -1,7 +1,8 @@
 """The domain's raw tables over the star schema of the test data, in SQL that Spark and other engines read alike.
 
-A nation is a company and a region a group; shipped lines are bank transactions, orders invoices, suppliers products.
-Dirty values are made on purpose: every cleaning rule has rows that need it.
+A nation is a company and a region a group; shipped lines are bank transactions, orders invoices. Every supplier is a
+banking product, or a debt product if its key ends in 6 or 7. Some transactions and balances name products that no
+catalogue has. Dirty values are made on purpose: every cleaning rule has rows that need it.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ SELECT {PRODUCT.format("s_suppkey")} AS product_id, {COMPANY.format("s_nationkey
   CASE s_suppkey % 6 WHEN 0 THEN '_payhawk' WHEN 1 THEN '_others' WHEN 2 THEN 'insurance' WHEN 3 THEN 'ins_077' WHEN 4 THEN NULL ELSE '__x' END AS service,
   CASE s_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'COP' ELSE 'EUR' END AS currency,
   CAST(CAST('1994-11-20' AS DATE) + CAST(s_suppkey % 4000 AS INT) AS TIMESTAMP) AS created_at
-FROM {{supplier}} WHERE s_suppkey % 10 <= 5""",
+FROM {{supplier}} WHERE s_suppkey % 10 NOT IN (6, 7)""",
     "raw_debt_products": f"""
 SELECT {PRODUCT.format("s_suppkey")} AS product_id, {COMPANY.format("s_nationkey")} AS company_id, s_name AS label,
   CASE (s_suppkey - s_suppkey % 10) % 40 WHEN 0 THEN 'loan' WHEN 10 THEN 'lineofcredit' WHEN 20 THEN 'guarantee' ELSE 'leasing' END AS type,
@@ -58,13 +59,13 @@ SELECT {PRODUCT.format("s_suppkey")} AS product_id, {COMPANY.format("s_nationkey
   0.035 AS annual_interest_rate_or_spread, 'fixed' AS interest_type
 FROM {{supplier}} WHERE s_suppkey % 10 IN (6, 7)""",
     "raw_balances": f"""
-SELECT {PRODUCT.format("s_suppkey")} AS product_id, {COMPANY.format("s_nationkey")} AS company_id, CAST(CAST('2001-11-01' AS DATE) AS TIMESTAMP) AS date,
+SELECT CASE WHEN s_suppkey % 37 = 5 THEN 'PRODUCT_97' || lpad(CAST(s_suppkey AS STRING), 5, '0') ELSE {PRODUCT.format("s_suppkey")} END AS product_id, {COMPANY.format("s_nationkey")} AS company_id, CAST(CAST('2001-11-01' AS DATE) AS TIMESTAMP) AS date,
   CASE WHEN s_suppkey % 50 = 3 THEN s_acctbal * 1000000.0 WHEN s_suppkey % 17 = 0 THEN NULL ELSE s_acctbal * 100 END AS balance,
   s_acctbal AS available, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE NULL END AS granted, 0.0 AS liquidity, s_acctbal AS countable
-FROM {{supplier}} WHERE s_suppkey % 10 <> 9""",
+FROM {{supplier}}""",
     "raw_transactions": f"""
 SELECT 'TX_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS transaction_id,
-  {COMPANY.format("c_nationkey")} AS company_id, {PRODUCT.format("l_suppkey")} AS product_id, l_shipdate AS date,
+  {COMPANY.format("c_nationkey")} AS company_id, CASE WHEN l_orderkey % 59 = 1 THEN 'PRODUCT_98' || lpad(CAST(l_suppkey AS STRING), 5, '0') ELSE {PRODUCT.format("l_suppkey")} END AS product_id, l_shipdate AS date,
   CASE l_partkey % 11 WHEN 0 THEN CAST(CAST('2099-12-31' AS DATE) AS TIMESTAMP) WHEN 1 THEN NULL WHEN 2 THEN CAST(CAST(l_shipdate AS DATE) + 45 AS TIMESTAMP)
     ELSE CAST(CAST(l_shipdate AS DATE) + CAST(l_partkey % 20 AS INT) AS TIMESTAMP) END AS value_date,
   CASE WHEN l_partkey % 8 IN (0, 7) THEN 3 * l_extendedprice ELSE -l_extendedprice END * CASE WHEN l_orderkey % 997 = 0 THEN 1000000.0 ELSE 1.0 END AS amount,

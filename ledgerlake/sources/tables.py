@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,31 @@ def read_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.csv(f"{folder}/{name}.csv", header=True, schema=SCHEMAS[name], encoding="UTF-8")
 
 
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of text columns named by its header, which may begin with a byte order mark."""
+    df = spark.read.csv(path, header=True, encoding="UTF-8")
+    return df.toDF(*(c.removeprefix("\ufeff").strip() for c in df.columns))
+
+
+def page(df: DataFrame, order: list[str], number: int, size: int = 1000) -> DataFrame:
+    """One page of rows in a fixed order; ``order`` has to tell all rows apart, or pages may overlap."""
+    return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def copied(df: DataFrame, write: Callable[[DataFrame], None], read: Callable[[], DataFrame]) -> int:
+    """Writes df in full and counts what arrived; other than df's own rows is an error."""
+    n = df.count()
+    write(df)
+    if (there := read().count()) != n:
+        raise ValueError(f"{n} rows were written, {there} arrived")
+    return n
+
+
+def to_jdbc(df: DataFrame, url: str, table: str, batch: int = 400, **properties: str) -> None:
+    """Replaces a database table by df, in batches; the table's grants and indexes stay."""
+    df.write.mode("overwrite").options(batchsize=batch, truncate=True, **properties).jdbc(url, table)
+
+
 def read_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read_csv(spark, folder, name) for name in SCHEMAS}
 

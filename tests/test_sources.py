@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.serving import merged
@@ -32,3 +33,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM daily").collect())) == sorted(map(tuple, daily_net(rows).collect()))
+
+
+def test_pages_and_marks(spark, tmp_path):
+    (tmp_path / "staff.csv").write_text("\ufeffFull Name,Team\nAnn,x\nBo,\n", encoding="utf-8")
+    assert [tuple(r) for r in tables.read_text_csv(spark, str(tmp_path / "staff.csv")).select("Full Name", "Team").collect()] == [("Ann", "x"), ("Bo", None)]
+    df = spark.range(25)
+    assert [[r.id for r in tables.page(df, ["id"], k, 10).collect()] for k in range(4)] == [list(range(10)), list(range(10, 20)), list(range(20, 25)), []]
+
+
+def test_copies_are_counted(spark, tmp_path):
+    path = str(tmp_path / "copy")
+    assert tables.copied(spark.range(7), lambda df: df.write.parquet(path), lambda: spark.read.parquet(path)) == 7
+    with pytest.raises(ValueError, match="7 rows were written, 3 arrived"):
+        tables.copied(spark.range(7), lambda df: None, lambda: spark.range(3))
