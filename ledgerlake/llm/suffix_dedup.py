@@ -28,8 +28,8 @@ from ledgerlake.llm.common import bounded_batches, lookup, staged, table
 
 #: Bytes of a string that is removed, and of a passage that is reported; window and bytes of an anchor.
 WIDTH, PASSAGE, SPAN, GRAM = 400, 240, 352, 64
-#: Surroundings that are sorted together at most, parts into which a range of offsets is split.
-BUCKET, WAYS = 1024, 4
+#: Surroundings that are sorted together at most, parts into which a range of offsets is split, at first and later.
+BUCKET, FIRST_WAYS, WAYS = 1024, 2, 4
 #: Bytes that are hashed at once; surroundings that a task sorts in one go; offsets that it looks at together.
 BLOCK, ROWS, COLUMNS = 1 << 20, 3072, 48
 MASK = (1 << 64) - 1
@@ -313,7 +313,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iter
         yield from done(held)
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[pa.RecordBatch]:
     """Of surroundings and each part of their ranges of offsets before the anchor: a digest of what all strings that
     start there share, and one of all their bytes. Where a text's edge cuts a range, nothing else has the second one."""
     for batch in batches:
@@ -321,7 +321,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, k1, k2, pos, a, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("h", "k1", "k2", "pos", "a", "around", "ranges")), strict=True):
             for width, begin, end in ((r["width"], r["lo"], r["hi"]) for r in ranges):
                 least, most = max(0, a + width - len(s)), min(a, width - GRAM)
-                step = -(-(end - begin + 1) // WAYS)
+                step = -(-(end - begin + 1) // ways)
                 for lo in range(begin, end + 1, step):
                     hi = min(lo + step - 1, end)
                     if hi < least or lo > most:
@@ -348,7 +348,7 @@ def _split_large(around: DataFrame, widths: tuple[int, ...], bucket: int) -> Dat
     around = staged(around.dropDuplicates(["h", "c1"]).select("h", *key, "a", "around"), "suffix-crowded")
     todo, found = around.withColumn("ranges", ranges), None
     while True:
-        each = staged(todo.mapInArrow(_split, _ddl(DIGESTS)), "suffix-ranges")
+        each = staged(todo.mapInArrow(partial(_split, ways=FIRST_WAYS if found is None else WAYS), _ddl(DIGESTS)), "suffix-ranges")
         fulls = staged(each.groupBy(*part, *full).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key)).alias("one")), "suffix-fulls")
         whole = staged(fulls.where("n > 1").select(*part, *full, "n", F.lit(True).alias("whole")), "suffix-whole-ranges")
         met = lookup(each, whole, [*part, *full], "n").where("whole")
