@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_batches, staged, table
+from ledgerlake.llm.common import bounded_batches, staged, table, tidy
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of a chunk, whose texts share a dictionary (a longer text is a chunk of its own); bytes of text for each
@@ -115,6 +115,7 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), MESSAGE_ARROW, strict=True)], schema=MESSAGE_ARROW)
 
 
+@tidy
 def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) to messages, chunk by chunk: the chunk's distinct words, for each bucket of words, and the
     chunk's texts as places, with the places of the words by bucket. Places go by frequency."""
@@ -150,6 +151,7 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
         yield from chunk()
 
 
+@tidy
 def _merge(batches: Iterator[pa.RecordBatch], rank_file: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
     """Messages of words, by bucket, to messages of their ids. A bucket's distinct words are merged once each."""
     merge = encoding(rank_file, pattern)._core_bpe.encode_single_piece
@@ -169,6 +171,7 @@ def _merge(batches: Iterator[pa.RecordBatch], rank_file: bytes, pattern: str) ->
             yield _messages([(WORDS, row["chunk"], row["bucket"], None, _packed(np.array([len(x) for x in ids])), _packed(np.array([i for x in ids for i in x])), None)])
 
 
+@tidy
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Messages by chunk, ids by bucket before texts: the ids of each text, put together by position."""
     now, found = None, []

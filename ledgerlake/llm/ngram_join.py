@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import bloom
-from ledgerlake.llm.common import bounded_batches, fresh, staged, table
+from ledgerlake.llm.common import bounded_batches, fresh, staged, table, tidy
 from ledgerlake.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -68,6 +68,7 @@ def shingles(text: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
+@tidy
 def _common(batches: Iterator[pa.RecordBatch], width: int, salt: int) -> Iterator[pa.RecordBatch]:
     """How many of a task's rows have a shingle, up to 255, by COUNTERS hashed counters: (block, counts), blocks of CELLS."""
     memo, counts, held, size = WordHashes(), np.zeros(COUNTERS, np.uint8), [], 0
@@ -113,14 +114,18 @@ def counter(s: np.ndarray, salt: int = 0) -> np.ndarray:
     return ((mixed(s ^ np.uint64(salt)) if salt else s) >> np.uint64(17) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def shingle_levels(rows: DataFrame, width: int, salt: int = 0) -> np.ndarray:
-    """Of each counter, about how common its shingles are in all rows. COUNTERS bytes, whatever the input's size."""
+def shingle_levels(rows: DataFrame, width: int, salt: int = 0) -> bytes:
+    """Of each counter, about how common its shingles are in all rows: COUNTERS bytes, whatever the input's size, packed."""
     parts = rows.select("text").mapInArrow(partial(_common, width=width, salt=salt), "block int, counts binary")
     levels = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, levels binary").collect()
     out = np.zeros((COUNTERS // CELLS, CELLS), np.uint8)
     for r in levels:
         out[r["block"]] = np.frombuffer(r["levels"], np.uint8)
-    return out.reshape(-1)
+    return zstandard.ZstdCompressor(level=3).compress(out.tobytes())
+
+
+def unpacked_levels(levels: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(levels), np.uint8)
 
 
 @lru_cache(None)
@@ -175,10 +180,12 @@ def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int, salt: int
     return s[order[:keep]].view(np.int64)
 
 
-def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+@tidy
+def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: bytes | None) -> Iterator[pa.RecordBatch]:
     """Rows to the size and number of their sets, with keys: a task sends the keys of equal sets once, or again after
     SENT others, so that a large group of copies sends about as many as there are tasks."""
     memo, sent, none = WordHashes(), set(), np.empty(0, np.int64)
+    levels = None if levels is None else unpacked_levels(levels)
     for batch in batches:
         n, nodes, keys = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -196,8 +203,9 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int,
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "rk", "n", "node", "keys"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
+@tidy
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: bytes, salt: int) -> Iterator[pa.RecordBatch]:
+    memo, levels = WordHashes(), unpacked_levels(levels)
     for batch in batches:
         keys = [prefix_keys(shingles(t, width, memo), levels, num, den, salt) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
@@ -229,6 +237,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     memo = WordHashes()
     for batch in batches:
@@ -321,6 +330,7 @@ def links(left: list, right: list | None, num: int, den: int) -> list[tuple[int,
     return out
 
 
+@tidy
 def _traverse(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (pair, side, node, s) in order of pair: the links of each pair of blocks. side 0 alone: a block with itself."""
     held, now = ([], []), None
@@ -340,6 +350,7 @@ def _traverse(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield done()
 
 
+@tidy
 def _traverse_texts(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, node, text) in order of block, to the links within each block. Sets are made here, where a text is
     smaller than its set."""
