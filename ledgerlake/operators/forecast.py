@@ -120,3 +120,12 @@ def nested_categories(breakdown: DataFrame) -> DataFrame:
     """(company_id, categories): month to category to amount, as nested maps."""
     by_month = breakdown.groupBy("company_id", F.date_format("month", "yyyy-MM").alias("month")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", F.round("amount", 2).cast("double"))))).alias("amounts"))
     return by_month.groupBy("company_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("month", F.map_entries("amounts").alias("e"))))).alias("m")).select("company_id", F.transform_values("m", lambda _, e: F.map_from_entries(e)).alias("categories"))
+
+
+def check_cases(found: DataFrame, short: tuple[str, ...] = (), surplus: tuple[str, ...] = ()) -> None:
+    """Raises if one of the companies that are shown as cases no longer has its shortfall, or its surplus."""
+    named = found.where(F.col("company_id").isin(*short, *surplus)).select("company_id", F.col("break_from").isNotNull().alias("b"), F.col("surplus").isNotNull().alias("s")).collect()
+    have = {r["company_id"]: r for r in named}
+    lost = [c for c in short if c not in have or not have[c]["b"]] + [c for c in surplus if c not in have or not have[c]["s"]]
+    if lost:
+        raise ValueError(f"no longer cases: {', '.join(lost)}")

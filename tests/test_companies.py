@@ -10,6 +10,7 @@ from ledgerlake.functions import columns
 from ledgerlake.operators import companies as Y
 from ledgerlake.operators import crm as R
 from ledgerlake.operators import text as X
+from ledgerlake.operators.forecast import check_cases
 from ledgerlake.sources import staging
 
 
@@ -78,3 +79,10 @@ def test_blocks(spark):
         (0, "heading", 0, "Title"), (1, "item", 0, "one"), (2, "ordered", 1, "two"), (3, "quote", None, "said"), (4, "rule", None, ""), (5, "paragraph", None, "#no"), (6, "paragraph", None, "-no"),
         (7, "paragraph", None, "12.no"), (8, "item", 0, "dot"), (10, "paragraph", None, "last"),
     ]
+
+
+def test_cases_are_checked(spark):
+    found = spark.sql("SELECT * FROM VALUES ('a', DATE '2025-01-01', double(NULL)), ('b', date(NULL), 5D) AS t(company_id, break_from, surplus)")
+    check_cases(found, ("a",), ("b",))
+    with pytest.raises(ValueError, match="b, c, a"):
+        check_cases(found, ("b", "c"), ("a",))
