@@ -95,7 +95,7 @@ def _words(spark: SparkSession, sf_dir: str, values: tuple[str | None, ...], c:
 
 _TRENDS, _TICKS = ("improving", "stable", "deteriorating", None, "?"), ("✅", " true ", "TRUE", "yes", "0", None, "")
 _TEXTS = ("[COMPANY] pays [REF] to COUNTERPARTY_000012 and COUNTERPARTY_7", "[X] [X] [IBAN]", "", None, "no token, [OTHER]")
-_INPUTS = {"company": ("COMP_0001", "COMP_1", "comp_0001", None), "month": ("2001-05", "2001-05-01", "01-2001", None), "uuid": ("a3bda2b2-b82b-51e1-a024-b1190c0ce6b1", "A3", "", None), "band": ("risk", "watch", "none", None), "status": ("new", "closed", "cerrado", None)}
+_INPUTS = {"company": ("COMP_0001", "COMP_1", "comp_0001", None), "month": ("2001-05", "2001-05-01", "01-2001", None), "uuid": ("12345678-9abc-5def-8123-456789abcdef", "A3", "", None), "band": ("risk", "watch", "none", None), "status": ("new", "closed", "cerrado", None)}
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
