@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import bpe, chunking, exact_dedup, media, ngram_join, quality, secrets, source_mix, suffix_dedup, warc
+from ledgerlake.llm import bpe, chunking, exact_dedup, media, ngram_join, quality, secrets, source_mix, stream_bpe, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op13_stream_bpe": stream_bpe.op13_stream_bpe,
 }
 
 ORACLE_SQL = {
