@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import bpe, chunking, exact_dedup, media, ngram_join, quality, secrets, source_mix, stream_bpe, suffix_dedup, warc
+from ledgerlake.llm import bpe, chunking, conversation, exact_dedup, media, ngram_join, periodic, quality, secrets, source_mix, stream_bpe, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_conversation_repair": conversation.op12_conversation_repair,
     "op13_stream_bpe": stream_bpe.op13_stream_bpe,
 }
 
