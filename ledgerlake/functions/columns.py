@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -10,6 +12,14 @@ from pyspark.sql import functions as F
 from ledgerlake.constants import UNITS_PER_EUR, UNMAPPED
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def clean_text(c: Column | str) -> Column:
     """Without spaces at the ends; null if nothing is left."""
     c = F.col(c) if isinstance(c, str) else c
@@ -132,6 +142,42 @@ def exact_quantiles(df: DataFrame, c: str, shares: tuple[float, ...]) -> list[fl
     return out
 
 
+#: Bins of a unit of the logarithmic scale into which quantiles_by() deals a group's values.
+BINS = 1 << 12
+
+
+def quantiles_by(df: DataFrame, keys: list[str], c: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
+    """keys and, for each name of shares, the quantile of c in the group, exact, with linear interpolation; null and NaN
+    don't count, a group without values has no row. weight: how often a row counts, whole numbers, 1 by default.
+
+    Equal values are counted before they meet, and a group's values are dealt to bins of a scale that all groups share; the
+    places of a bin's values follow from the counts of the bins before it. So of a group, however large, only the counts of
+    its bins meet in one task, and the values of one bin.
+    """
+    x = F.col(c).cast("double")
+    inner = [f"__k{k}" for k in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)), x.alias("__x"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("__w"))
+    counts = rows.where(F.col("__x").isNotNull() & ~F.isnan("__x") & (F.col("__w") > 0)).groupBy(*inner, (F.col("__x") + F.lit(0.0)).alias("__x")).agg(F.sum("__w").alias("__n"))
+    counts = counts.withColumn("__bin", F.floor(F.signum("__x") * F.log1p(F.abs("__x")) * F.lit(float(BINS))))
+    upto = Window.partitionBy(*inner).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy(*inner, "__bin").agg(F.sum("__n").alias("__size")).withColumns({"__before": F.coalesce(F.sum("__size").over(upto), F.lit(0)), "__total": F.sum("__size").over(Window.partitionBy(*inner))})
+    ranks = {f"__r{k}_{end}": f(F.lit(float(p)) * (F.col("__total") - 1)) for k, p in enumerate(shares.values()) for end, f in (("a", F.floor), ("b", F.ceil))}
+    bins = bins.withColumns(ranks)
+    # Only bins that hold a wanted place matter from here on.
+    holds = reduce(or_, ((F.col(r) >= F.col("__before")) & (F.col(r) < F.col("__before") + F.col("__size")) for r in ranks))
+    wanted = bins.where(holds).select(*(F.col(i).alias(f"{i}_") for i in inner), F.col("__bin").alias("__bin_"), "__before", "__total", *ranks)
+    on = reduce(and_, (F.col(i).eqNullSafe(F.col(f"{i}_")) for i in (*inner, "__bin")))
+    within = Window.partitionBy(*inner, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    met = counts.join(wanted, on).withColumn("__upto", F.col("__before") + F.sum("__n").over(within))
+    at = lambda r: F.max(F.when((F.col(r) < F.col("__upto")) & (F.col(r) >= F.col("__upto") - F.col("__n")), F.col("__x"))).alias(r)
+    found = met.groupBy(*inner).agg(F.max("__total").alias("__total"), *map(at, ranks))
+    out = []
+    for k, (name, p) in enumerate(shares.items()):
+        a, b, place = F.col(f"__r{k}_a"), F.col(f"__r{k}_b"), F.lit(float(p)) * (F.col("__total") - 1)
+        out.append(F.when(a == b, a).otherwise((F.ceil(place) - place) * a + (place - F.floor(place)) * b).alias(name))
+    return found.select(*(F.col(i).alias(k) for k, i in zip(keys, inner, strict=True)), *out)
+
+
 def winsorised(df: DataFrame, c: str, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     """df with c clipped to its own quantiles over all rows, which are found first; df is read several times for that."""
     low, high = exact_quantiles(df, c, (lo, hi))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import safe_div
+from ledgerlake.functions.columns import quantiles_by, safe_div
 from ledgerlake.sources.staging import placed
 
 # What is too small to show, the verdict's threshold, yield and capacity of a surplus, padding of a scale.
@@ -41,7 +41,11 @@ def by_impact(board: DataFrame) -> DataFrame:
 
 def benchmarks(peers: DataFrame) -> DataFrame:
     """Medians of each sector: score, delta3, runway, and days of sales among those that have any."""
-    return peers.groupBy("sector").agg(F.count(F.lit(1)).alias("peers"), F.median("score").alias("score_med"), F.median("delta3").alias("delta3_med"), F.median("runway").alias("runway_med"), F.median(F.when(F.col("dso") > 0, F.col("dso"))).alias("dso_med"))
+    values = {"score_med": F.col("score"), "delta3_med": F.col("delta3"), "runway_med": F.col("runway"), "dso_med": F.when(F.col("dso") > 0, F.col("dso"))}
+    each = peers.select("sector", F.inline(F.array(*(F.struct(F.lit(n).alias("of"), v.cast("double").alias("x")) for n, v in values.items()))))
+    middle = quantiles_by(each, ["sector", "of"], "x", {"m": 0.5}).groupBy(F.col("sector").alias("_s")).agg(*(F.max(F.when(F.col("of") == n, F.col("m"))).alias(n) for n in values))
+    counts = peers.groupBy("sector").agg(F.count(F.lit(1)).alias("peers"))
+    return counts.join(middle, F.col("sector").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def verdict(value: Column, median: Column, invert: bool = False) -> Column:
@@ -66,8 +70,8 @@ def surety_capacity(surplus: Column) -> Column:
 
 
 def checklist(book: DataFrame) -> DataFrame:
-    """(company_id, client, place, item): what a client's file lacks: what the rules ask for, then what only the insurer
-    can look up."""
+    """(company_id, client, place, item): one row for each thing that keeps a client's file from being complete, numbered by
+    place: first those that follow from the client's own figures, which differ by client, then the same few for everybody."""
     rule = lambda cond, text: F.when(cond, text)
     items = F.array(
         rule(F.col("n_collected") < 8, F.concat(F.lit("collections: "), F.col("n_collected").cast("string"), F.lit(" of 8"))), rule(F.col("relation_months") < 6, F.concat(F.lit("months of relation: "), F.col("relation_months").cast("string"), F.lit(" of 6"))),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import constants as K
-from ledgerlake.functions.columns import clip, month_of, rolling, safe_div, winsorised
+from ledgerlake.functions.columns import clip, month_of, quantiles_by, rolling, safe_div, winsorised
 
 MONEY = ("net_bank", "inflow_op", "outflow_op", "debt_service", "transfer_net", "out_salary", "out_social_security", "out_tax", "out_fin_cost")
 
@@ -55,9 +55,8 @@ def bank_ledger(entries: DataFrame) -> DataFrame:
 
 
 def pair_rates(entries: DataFrame) -> DataFrame:
-    """Median rate of each pair of different currencies; equal rates are counted before they meet."""
-    counts = entries.where("pcur <> ccur and exchange_rate > 0").groupBy("pcur", "ccur", "exchange_rate").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("pcur", "ccur").agg(F.percentile("exchange_rate", F.lit(0.5), F.col("n")).alias("rate"))
+    """Median rate of each pair of different currencies."""
+    return quantiles_by(entries.where("pcur <> ccur and exchange_rate > 0"), ["pcur", "ccur"], "exchange_rate", {"rate": 0.5})
 
 
 def anchors(balances: DataFrame, banking: DataFrame, companies: DataFrame, rates: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import clip, median_over, month_index, rolling, safe_div
+from ledgerlake.functions.columns import clip, median_over, month_index, quantiles_by, rolling, safe_div
 
 # The damped trend and the smoothing.
 BETA, PHI, AHEAD, MIN_POINTS, ALPHA = 0.3, 0.8, 3, 4, 0.5
@@ -77,7 +77,10 @@ def contribution_label(x: Column) -> Column:
 
 def sector_stats(scores: DataFrame, sectors: DataFrame) -> DataFrame:
     """(sector, month, n, mean, median) of (id, month, value)."""
-    return scores.where("value is not null").join(sectors, "id").groupBy("sector", "month").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
+    rows = scores.where("value is not null").join(sectors, "id").select("sector", "month", "value")
+    stats = rows.groupBy("sector", "month").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    middle = quantiles_by(rows, ["sector", "month"], "value", {"median": 0.5}).withColumnsRenamed({"sector": "_s", "month": "_m"})
+    return stats.join(middle, F.col("sector").eqNullSafe(F.col("_s")) & (F.col("month") == F.col("_m")), "left").drop("_s", "_m")
 
 
 def aligned(scores: DataFrame, sectors: DataFrame, stats: DataFrame, which: str) -> DataFrame:

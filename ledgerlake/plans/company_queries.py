@@ -17,9 +17,9 @@ from ledgerlake.operators import forecast as W
 from ledgerlake.operators import score as S
 from ledgerlake.operators import serving as V
 from ledgerlake.operators import text as X
-from ledgerlake.plans.bindings import HORIZON, raw
+from ledgerlake.plans.bindings import HORIZON, ctes, raw
 from ledgerlake.plans.mapping_queries import mapped, mapped_ctes
-from ledgerlake.plans.panel_queries import Domain, panel_ctes, rounded
+from ledgerlake.plans.panel_queries import END, Domain, panel_ctes, rounded
 from ledgerlake.plans.risk_queries import _CATS, _CL, _FC, DAYS, Clients, Forecast, _categories
 from ledgerlake.plans.serving_queries import _BAND, _BOARD, _D, _P, _VIEW, _board, _portfolio, _sales, drivers, scores, sectors, series
 from ledgerlake.plans.serving_queries import ORACLE_SQL as _SERVED
@@ -135,6 +135,15 @@ def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_status(leads, leads.where("lead_id % 3 = 0").select("lead_id", F.when(F.col("lead_id") % 2 == 0, "closed").otherwise("lost").alias("status")))
 
 
+#: Changes that can and that can't be made: unknown statuses and leads, two statuses for one lead.
+_CHANGES_SQL = "SELECT lead_id + CASE WHEN lead_id % 11 = 0 THEN 1000000 ELSE 0 END AS lead_id, CASE WHEN lead_id % 7 = 0 THEN 'lost' WHEN lead_id % 2 = 0 THEN 'closed' ELSE 'meeting' END AS status FROM {0} UNION SELECT lead_id, 'contacted' FROM {0} WHERE lead_id % 13 = 0"
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = _leads(spark, sf_dir)
+    return R.rejected(leads, spark.sql(_CHANGES_SQL.format("{leads}"), leads=leads))
+
+
 def _hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hydrated(_leads(spark, sf_dir), _of(spark, sf_dir, _STAFF, "supplier").where("employee_id <> 7"), _featured(Domain(spark, sf_dir)), Forecast(spark, sf_dir).result())
 
@@ -167,6 +176,14 @@ def _gaps(d: Domain) -> DataFrame:
     return H.rate_gaps(products, d.rates.where("pcur = 'USD'"))
 
 
+def _multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(n: int) -> dict[str, DataFrame]:
+        d = Domain(spark, sf_dir, n)
+        return {"ledger": d.rows, "levels": d.levels, "panel": d.panel, "full panel": d.full()}
+
+    return H.multisets(build)
+
+
 _A = lambda f: lambda spark, sf_dir: f(Accounts(spark, sf_dir))
 QUERIES = {
     "ap01_summaries": _D(lambda d: Y.summaries(_portfolio(d), V.alert(F.col("band"), F.col("delta3"), F.col("n_months") / 200.0))), "ap01_band": _D(lambda d: Y.summaries(_portfolio(d), F.lit(None).cast("string"), "watch").select("company_id", "score", "dormant")),
@@ -185,17 +202,17 @@ QUERIES = {
     "vw12_violations": _D(lambda d: Y.violations(_portfolio(d), {"score": F.col("score").between(40, 60), "band": F.col("band").isin("healthy", "watch"), "delta3": F.col("delta3") > -5, "n_months": F.col("n_months") >= 0})),
     "snk09_repeated_keys": lambda s, d: Y.repeated_keys(_leads(s, d), ["company_id"], F.col("status").isin(*R.OPEN)),
     "cr01_merged_staff": lambda s, d: R.merge_sources([_of(s, d, _SOURCES[0], "supplier"), _of(s, d, _SOURCES[1], "customer")], "person", "line"), "cr03_ticked": lambda s, d: _words(s, d, _TICKS, "x").select("id", R.ticked(F.col("x")).alias("ok")),
-    "cr05_open_leads": _opened, "cr06_status": _moved, "cr07_hydrated": _hydrated, "cr08_stages": _stages, "cr09_team_counts": lambda s, d: R.team_counts(_of(s, d, _STAFF, "supplier")),
+    "cr05_open_leads": _opened, "cr06_status": _moved, "cr06_rejected": _rejected, "cr07_hydrated": _hydrated, "cr08_stages": _stages, "cr09_team_counts": lambda s, d: R.team_counts(_of(s, d, _STAFF, "supplier")),
     "ag01_sheet_ends": _D(lambda d: Y.ends_of_sheet(_sheet(d))), "ag01_last_months": _D(lambda d: Y.last_months(series(d))), "ag02_changes": _D(lambda d: Y.first_changes(S.attribution(drivers(d), series(d)))),
     "ag03_forecast_view": lambda s, d: rounded((f := Forecast(s, d)) and Y.last_months(W.monthly(f.events, f.opening).withColumnRenamed("company_id", "id"), 6).drop("back")), "ag04_decision_view": _D(lambda d: Y.decision_at(_decided(d)).select("company_id", "action", F.size(F.filter("vetoes", lambda x: x["blocks"])).cast("long").alias("blocking"), F.size(F.filter("vetoes", lambda x: ~x["blocks"])).cast("long").alias("notices"))),
-    "ag06_model_view": lambda s, d: Y.catalogue_features(_catalogue(s)).where("label is not null").select("feature", "label", "pillar", "formula"), "ag08_top_weights": lambda s, d: Y.top_weights(Y.catalogue_features(_catalogue(s))), "ag11_table_order": _D(lambda d: R.table_order(_portfolio(d).select("company_id", "delta3"), "delta3", False, "company_id")),
+    "ag06_model_view": lambda s, d: Y.catalogue_features(_catalogue(s)).where("label is not null").select("feature", "label", "pillar", "formula"), "ag08_top_weights": lambda s, d: Y.top_weights(Y.catalogue_features(_catalogue(s))), "ag11_locale": lambda s, d: R.table_order(raw(s, d, "raw_companies").select("company_id", "country"), "country", True, "company_id"), "ag11_table_order": _D(lambda d: R.table_order(_portfolio(d).select("company_id", "delta3"), "delta3", False, "company_id")),
     "ui02_periods": lambda s, d: G.periods(Domain(s, d).panel, _categories(s, d)), "ui03_lines": lambda s, d: G.shown_lines(V.statement(_categories(s, d), Domain(s, d).panel), ["company_id", "line_group", "line"]),
     "ui04_shared_months": _D(lambda d: Y.shared_months(series(d), A, B)), "ui04_beside_scope": _D(lambda d: rounded(Y.beside_scope(series(d), A, Y.monthly_stats(series(d), sectors(d).where("sector = 'GROUP_0001'"))), 4)),
     "ui05_suggestions": _D(lambda d: G.suggestions(_featured(d), "display_name", " GROUP_0002 ", "COMP_0012")), "ui06_board": lambda s, d: G.by_impact(_board(s, d)).select("company_id", "impact", "place"), "ui07_benchmarks": _D(lambda d: rounded(_verdicts(d), 4)), "ui07_median_series": _D(lambda d: G.median_series(_peers(d))),
     "ui08_clients": lambda s, d: G.clients_by_state(Clients(s, d).offers, " 1"), "ui08_capacity": lambda s, d: rounded(Forecast(s, d).result().select("company_id", G.surety_capacity(F.col("surplus")).alias("capacity"))), "ui09_checklist": lambda s, d: G.checklist(Clients(s, d).book),
     "ui10_actions": lambda s, d: rounded(G.actions(Forecast(s, d).result())), "ui11_scaled": _D(lambda d: rounded(G.scaled(series(d)), 4)), "snk10_export": _D(_exported),
     "ch01_reconciled": _A(lambda a: H.reconciled(a.panel, a.anchors)), "ch02_left_out": lambda s, d: (a := Accounts(s, d)) and H.left_out(a.tx, a.anchors, Domain(s, d).panel), "ch03_rate_gaps": _D(_gaps), "ch05_diagnoses": _D(lambda d: rounded(H.diagnoses(d.panel))),
-    "ch06_repeatable": _D(lambda d: H.repeatable(d.panel)), "ch07_account_panel": _A(lambda a: rounded(a.panel)), "tx04_tokens": lambda s, d: X.token_counts(_words(s, d, _TEXTS, "x"), "id", "x"),
+    "ch06_repeatable": lambda s, d: H.repeatable(lambda n: Domain(s, d, n).panel), "ch06_multisets": _multisets, "ch01_forwards": _A(lambda a: rounded(H.reconciled_forwards(a.panel, a.tx, a.anchors))), "ch07_account_panel": _A(lambda a: rounded(a.panel)), "tx04_tokens": lambda s, d: X.token_counts(_words(s, d, _TEXTS, "x"), "id", "x"),
 }
 
 _Q = lambda x: "NULL" if x is None else f"'{x}'"
@@ -269,8 +286,11 @@ SELECT f.company_id, f.month, round(aps, 4) + 0.0 AS ap_late_share, round(ars, 4
     "cr01_merged_staff": f"WITH u AS (SELECT trim(person) AS person, line, value, 0 AS source FROM ({_SOURCES[0]}supplier) a UNION ALL SELECT trim(person), line, value, 1 FROM ({_SOURCES[1]}customer) b), r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY source, line) AS rn, count(*) OVER (PARTITION BY person) - 1 AS n_repeats FROM u WHERE person <> '') SELECT person, line, value, source, n_repeats FROM r WHERE rn = 1",
     "cr03_ticked": f"SELECT id, coalesce(trim(x) IN ('✅', 'true', 'True', '1', 'yes', 'YES'), false) AS ok FROM ({_WORDS(_TICKS)}) w",
     "cr05_open_leads": f"""WITH {_LEADS_SQL}, {_STAFF_SQL}, asked AS (SELECT DISTINCT company_id FROM ({_ASKED.format("nation")}) a), have AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY CAST(lead_id AS VARCHAR)) AS rn FROM leads WHERE status IN {_OPEN}) h WHERE rn = 1),
-who AS (SELECT employee_id FROM staff s ORDER BY (SELECT count(*) FROM leads l WHERE l.assigned_to = s.employee_id AND l.status <> 'closed'), employee_id LIMIT 1), fresh AS (SELECT company_id, sha1(unhex('{NAMESPACE.replace("-", "")}') || encode(company_id)) AS h FROM asked WHERE company_id NOT IN (SELECT company_id FROM have))
-SELECT CAST(lead_id AS VARCHAR) AS lead_id, h.company_id, status, assigned_to, true AS already_open, NULL AS draft FROM have h JOIN asked a ON a.company_id = h.company_id UNION ALL SELECT {_UUID("h")}, company_id, 'new', (SELECT employee_id FROM who), false, 'draft' FROM fresh""",
+load AS (SELECT employee_id, (SELECT count(*) FROM leads l WHERE l.assigned_to = s.employee_id AND l.status <> 'closed') AS open FROM staff s),
+fresh AS (SELECT company_id, row_number() OVER (ORDER BY company_id) AS place, sha1(unhex('{NAMESPACE.replace("-", "")}') || encode(company_id || ':' || CAST((SELECT count(*) FROM leads l WHERE l.company_id = a.company_id) AS VARCHAR))) AS h FROM asked a WHERE company_id NOT IN (SELECT company_id FROM have)),
+slot AS (SELECT employee_id, row_number() OVER (ORDER BY open + k, employee_id) AS place FROM load, (SELECT unnest(generate_series(0, (SELECT count(*) FROM fresh))) AS k) g)
+SELECT CAST(lead_id AS VARCHAR) AS lead_id, h.company_id, status, assigned_to, true AS already_open, NULL AS draft FROM have h JOIN asked a ON a.company_id = h.company_id UNION ALL SELECT {_UUID("h")}, company_id, 'new', employee_id, false, 'draft' FROM fresh JOIN slot ON slot.place = fresh.place""",
+    "cr06_rejected": f"WITH {_LEADS_SQL}, c AS ({_CHANGES_SQL.format("leads")}), v AS (SELECT *, status IN ('new', 'contacted', 'meeting', 'closed') AS known, lead_id IN (SELECT lead_id FROM leads) AS there FROM c), w AS (SELECT *, count(*) FILTER (WHERE known) OVER (PARTITION BY lead_id) AS n FROM v) SELECT lead_id, status, CASE WHEN NOT known THEN 'unknown status' WHEN NOT there THEN 'unknown lead' ELSE 'several statuses' END AS why FROM w WHERE NOT known OR NOT there OR n > 1",
     "cr06_status": f"WITH {_LEADS_SQL} SELECT lead_id, company_id, assigned_to, wanted, CASE WHEN lead_id % 3 = 0 AND lead_id % 2 = 0 THEN 'closed' ELSE status END AS status FROM leads",
     "cr07_hydrated": f"""{_FC}, {_FORECAST}, {_FEATURED}, {_LEADS_SQL}, {_STAFF_SQL}, gap AS (SELECT company_id, {_MONEY("low")} AS amount, low_date, rescue_date FROM fc WHERE break_from IS NOT NULL)
 SELECT lead_id, l.company_id, coalesce(display_name, l.company_id) AS company_name, status, coalesce(name, 'unassigned') AS assignee, coalesce(title, '') AS assignee_title, amount AS reason_amount, 'short of ' || amount || ' on ' || strftime(low_date, '%Y-%m-%d') || CASE WHEN rescue_date IS NOT NULL THEN '; covered on ' || strftime(rescue_date, '%Y-%m-%d') ELSE '' END AS reason_detail
@@ -282,6 +302,7 @@ FROM leads l LEFT JOIN (SELECT * FROM staff WHERE employee_id <> 7) s ON s.emplo
     "ag02_changes": f"{_STEPS_TO_CHANGES} SELECT id, month, feature, CAST(delta_points AS DOUBLE) AS delta_points, place FROM (SELECT *, row_number() OVER (PARTITION BY id, month ORDER BY abs(delta_points) DESC, feature) AS place FROM changes) c WHERE place <= 8",
     "ag03_forecast_view": _FC + " SELECT id, month, receipts, suppliers, salaries, social_security, debt FROM (SELECT e.company_id AS id, CAST(date_trunc('month', day) AS DATE) AS month, " + ", ".join(f"CAST(round(coalesce(sum(amount) FILTER (WHERE kind = '{k}'), 0), 2) AS DOUBLE) + 0.0 AS {k}" for k in ("receipts", "suppliers", "salaries", "social_security", "debt")) + " FROM cashev e JOIN opening o ON o.company_id = e.company_id GROUP BY 1, 2) m",
     "ag04_decision_view": f"{_P}, {_DEC} SELECT company_id, action, CAST(v1 AS BIGINT) + CAST(v2 AS BIGINT) AS blocking, CAST(v3 AS BIGINT) AS notices FROM {_LATEST('decided')} l", "ag06_model_view": f"{_FEATURES_ONLY} SELECT feature, label, pillar, formula FROM feats WHERE label IS NOT NULL",
+    "ag11_locale": f"{ctes('raw_companies')} SELECT company_id, country, row_number() OVER (ORDER BY country COLLATE es NULLS LAST, company_id) AS place FROM raw_companies",
     "ag08_top_weights": f"{_FEATURES_ONLY} SELECT coalesce(label, feature) AS label, floor(weight * 1000 + 0.5) / 10 AS percent FROM feats ORDER BY weight DESC, feature LIMIT 10", "ag11_table_order": f"{_VIEW} SELECT company_id, delta3, row_number() OVER (ORDER BY delta3 DESC NULLS LAST, company_id) AS place FROM view",
     "ui02_periods": f"""{panel_ctes("panel")},{_CATS[len(mapped_ctes("transactions")) + 1 :]}, r AS (SELECT p.company_id, p.month, row_number() OVER (PARTITION BY p.company_id ORDER BY p.month DESC) AS back, max(year(p.month)) OVER (PARTITION BY p.company_id) AS y FROM panel p JOIN (SELECT DISTINCT company_id, month FROM cats) c ON c.company_id = p.company_id AND c.month = p.month)
 SELECT company_id, month, '3M' AS period FROM r WHERE back <= 3 UNION ALL SELECT company_id, month, '6M' FROM r WHERE back <= 6 UNION ALL SELECT company_id, month, 'YTD' FROM r WHERE year(month) = y""",
@@ -304,6 +325,8 @@ SELECT company_id, sector, peers, round(score_med, 4) + 0.0 AS score_med, round(
     "ch06_repeatable": f"""{panel_ctes("panel")}, l AS (SELECT company_id, cash_end AS cash, runway_m AS r FROM {_LATEST("panel")} x), k AS (SELECT {_DIAG} AS d, count(*) AS n FROM l GROUP BY 1)
 SELECT name, value, true AS same FROM (SELECT 'companies' AS name, CAST(count(*) AS VARCHAR) AS value FROM l UNION ALL SELECT 'negative', CAST(count(*) FILTER (WHERE cash < 0) AS VARCHAR) FROM l UNION ALL SELECT 'cash', CAST(sum(CAST(round(cash, 4) AS DECIMAL(20, 4))) AS VARCHAR) FROM l UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM panel
   UNION ALL SELECT 'panel_cash', CAST(sum(CAST(round(cash_end, 4) AS DECIMAL(20, 4))) AS VARCHAR) FROM panel UNION ALL SELECT 'net', CAST(sum(net_bank) AS VARCHAR) FROM panel UNION ALL SELECT 'diagnoses', string_agg(d || ':' || n, ' ' ORDER BY d || ':' || n) FROM k) f""",
+    "ch06_multisets": f"{panel_ctes('fullpanel')} SELECT 'ledger' AS name, (SELECT count(*) FROM (SELECT DISTINCT company_id, day, category, pcur <> ccur, sign(amount) FROM bank) l) AS rows, true AS same UNION ALL SELECT 'levels', (SELECT count(*) FROM levels WHERE day <= DATE '{END}'), true UNION ALL SELECT 'panel', (SELECT count(*) FROM panel), true UNION ALL SELECT 'full panel', (SELECT count(*) FROM fullpanel), true",
+    "ch01_forwards": f"{_ACCOUNTS}, f AS (SELECT product_id, sum(CAST(round(amount, 4) AS DECIMAL(20, 4))) AS moved FROM raw_transactions WHERE coalesce(abs(amount) < 1e8, true) GROUP BY 1) SELECT count(*) AS accounts, count(*) AS equal, CAST(0 AS DOUBLE) AS most, CAST(round(sum(anchor - moved), 2) AS DOUBLE) AS opening FROM (SELECT DISTINCT product_id FROM acc) a JOIN f ON f.product_id = a.product_id JOIN anch k ON k.product_id = a.product_id",
     "ch07_account_panel": f"{_ACCOUNTS} SELECT company_id, product_id, month, {_TWO(['cash'])} FROM acc",
     "tx04_tokens": f"WITH w AS ({_WORDS(_TEXTS)}) SELECT id, token, n FROM (" + " UNION ALL ".join(f"SELECT id, '{t}' AS token, CAST((length(x) - length(replace(x, '{t}', ''))) / {len(t)} AS BIGINT) AS n FROM w" for t in X.TOKENS) + " UNION ALL SELECT id, 'COUNTERPARTY', len(regexp_extract_all(x, 'COUNTERPARTY_[0-9]+')) FROM w) t WHERE n > 0",
 }

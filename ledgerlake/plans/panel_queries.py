@@ -28,13 +28,18 @@ class Domain:
     Transactions and invoices are each read once: what all others start from is staged, as is what several of them read.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, partitions: int | None = None):
+        """partitions: to how many the raw transactions and invoices are dealt first, if to any number of their own."""
+        self.spark, self.sf_dir, self.partitions = spark, sf_dir, partitions
         self.banking, self.debt, self.companies = (raw(spark, sf_dir, f"raw_{x}") for x in ("banking_products", "debt_products", "companies"))
 
+    def _dealt(self, name: str) -> DataFrame:
+        df = mapped(self.spark, self.sf_dir, name)
+        return df.repartition(self.partitions) if self.partitions else df
+
     @cached_property
     def entries(self) -> DataFrame:
-        return staged(P.bank_entries(mapped(self.spark, self.sf_dir, "transactions"), self.banking, self.companies), "bank-entries")
+        return staged(P.bank_entries(self._dealt("transactions"), self.banking, self.companies), "bank-entries")
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -66,7 +71,7 @@ class Domain:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        return P.issued_invoices(staged(P.invoice_amounts(mapped(self.spark, self.sf_dir, "invoices")), "invoice-amounts"))
+        return P.issued_invoices(staged(P.invoice_amounts(self._dealt("invoices")), "invoice-amounts"))
 
     @cached_property
     def receivables(self) -> DataFrame:

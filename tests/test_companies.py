@@ -45,10 +45,66 @@ def test_decisions_need_facts(spark):
     assert Y.decisions(health, facts, rule).select("action", "reason").first() == ("lend", "band healthy")
 
 
-def test_unknown_status_changes_nothing(spark):
-    leads = spark.createDataFrame([(1, "new"), (2, "closed")], "lead_id int, status string")
-    got = R.with_status(leads, spark.createDataFrame([(1, "gone"), (2, "meeting"), (3, "new")], "lead_id int, status string"))
-    assert sorted(map(tuple, got.collect())) == [(1, "new"), (2, "meeting")]
+def test_changes_that_cannot_be_made(spark):
+    leads = spark.createDataFrame([(1, "new"), (2, "closed"), (4, "new")], "lead_id int, status string")
+    changes = spark.createDataFrame([(1, "gone"), (2, "meeting"), (2, "meeting"), (3, "new"), (4, "closed"), (4, "contacted"), (5, None)], "lead_id int, status string")
+    assert sorted(map(tuple, R.with_status(leads, changes).collect())) == [(1, "new"), (2, "meeting"), (4, "new")]
+    got = {(r.lead_id, r.status): r.why for r in R.rejected(leads, changes).collect()}
+    assert got == {(1, "gone"): "unknown status", (3, "new"): "unknown lead", (4, "closed"): "several statuses", (4, "contacted"): "several statuses", (5, None): "unknown status"}
+
+
+@pytest.mark.parametrize("wide", [2, 64])
+def test_leads_one_by_one(spark, monkeypatch, wide):
+    """A batch is dealt as if its leads came one after another; ids differ from those of closed leads."""
+    monkeypatch.setattr(R, "WIDE", wide)
+    rng = random.Random(wide)
+    for loads, n in (([0], 3), ([5, 0, 0, 9], 40), ([rng.randint(0, 30) for _ in range(12)], 57), ([100, 3], 1), ([2, 2, 2], 7)):
+        team = [(f"e{k:02d}",) for k in range(len(loads))]
+        old = [(f"o{k}-{j}", f"old {k} {j}", "meeting", f"e{k:02d}") for k, load in enumerate(loads) for j in range(load)]
+        old += [("c1", "company 000", "closed", "e00"), ("c2", "company 000", "closed", "e00"), ("x", "company 999", "new", "e00")]
+        asked = [(f"company {k:03d}",) for k in range(n)] + [("company 999",)]
+        got = R.open_leads(spark.createDataFrame(old, "lead_id string, company_id string, status string, assigned_to string"), spark.createDataFrame(team, "employee_id string"), spark.createDataFrame(asked, "company_id string").repartition(3), "d", "6ba7b811-9dad-11d1-80b4-00c04fd430c8").collect()
+        now = {e: sum(r[3] == e and r[2] != "closed" for r in old) for (e,) in team}
+        want = {}
+        for (c,) in sorted(asked)[:-1]:
+            want[c] = min(now, key=lambda e: (now[e], e))
+            now[want[c]] += 1
+        assert {r.company_id: r.assigned_to for r in got if not r.already_open} == want
+        assert [(r.lead_id, r.already_open) for r in got if r.company_id == "company 999"] == [("x", True)]
+        import uuid
+
+        ids = {r.company_id: r.lead_id for r in got}
+        space = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+        assert ids["company 000"] == str(uuid.uuid5(space, "company 000:2")) and len(set(ids.values())) == n + 1
+    with pytest.raises(ValueError, match="no team"):
+        R.open_leads(spark.createDataFrame([], "lead_id string, company_id string, status string, assigned_to string"), spark.createDataFrame([], "employee_id string"), spark.createDataFrame([("a",)], "company_id string"), "d", "6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+
+
+def test_locale(spark):
+    words = ["zorro", "Árbol", "arbol", "ñu", "nube", "Nz", None, "oso", "árbol", "eñe", "enf"]
+    df = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "w string, k int")
+    up = [r.w for r in R.table_order(df, "w", True, "k").orderBy("place").collect()]
+    down = [r.w for r in R.table_order(df, "w", False, "k").orderBy("place").collect()]
+    assert up == ["arbol", "árbol", "Árbol", "enf", "eñe", "nube", "Nz", "ñu", "oso", "zorro", None]
+    assert down == up[-2::-1] + [None]
+
+
+@pytest.mark.parametrize("bins", [1, 1 << 12])
+def test_quantiles_by_group(spark, monkeypatch, bins):
+    monkeypatch.setattr(columns, "BINS", bins)
+    r = random.Random(bins)
+    values = [(g, round(r.gauss(0, 1) * 10 ** r.randint(-3, 6), 3), r.randint(0, 3)) for g in ["a"] * 900 + ["b"] * 40 + ["c"] + [None] * 7 for _ in range(1)]
+    values += [("a", 1.5, 2)] * 300 + [("a", None, 1), ("a", float("nan"), 1), ("d", None, 1), ("e", -0.0, 1), ("e", 0.0, 1)]
+    df = spark.createDataFrame(values, "g string, x double, w int").repartition(3)
+    shares = {"lo": 0.01, "q": 0.25, "m": 0.5, "hi": 1.0}
+    for weight in (None, "w"):
+        got = {x.g: tuple(x)[1:] for x in columns.quantiles_by(df, ["g"], "x", shares, weight).collect()}
+        for g in ("a", "b", "c", None, "e"):
+            xs = [x for k, x, w in values if k == g and x is not None and x == x for _ in range(1 if weight is None else w)]
+            if xs:
+                assert np.allclose(got.pop(g), np.quantile(xs, list(shares.values())), rtol=1e-12)
+        assert not got
+    assert columns.quantiles_by(df.limit(0), ["g"], "x", shares).count() == 0
 
 
 @pytest.mark.parametrize(("text", "want"), [("62.231 €", 62231.0), ("1.050,75 €", 1050.75), ("none", 0.0), (None, 0.0), ("1.2.3,4,5", 0.0)])
@@ -61,15 +117,30 @@ def test_repair(spark, text, want):
     assert X.repaired(spark.createDataFrame([(text,)], "x string"), "x").first()[0] == want
 
 
-def test_runs(spark):
-    texts = ["plain", "a **b *c* d** e", "`**x**` __y__", "2*3*4 and ~~old~~", "", None, "*a\nb*"]
-    got = X.runs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t")
+def runs_of(spark, texts):
     rows = {}
-    for r in got.orderBy("id", "place").collect():
+    for r in X.runs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").orderBy("id", "place").collect():
         rows.setdefault(r.id, []).append((r.text, r.marks))
+    return rows
+
+
+def test_runs(spark):
+    rows = runs_of(spark, ["plain", "a **b *c* d** e", "`**x**` __y__", "2*3*4 and ~~old~~", "", None, "*a\nb*", "**a `b` c**", "***x** y*", "_a_b _c_", "é*a*", "`` `a`", "**a\nb** __c__d", "*a**b*", "~~a **b~~ c**"])
     assert rows[0] == [("plain", "")] and rows[1] == [("a ", ""), ("b ", "bold"), ("c", "bold,italic"), (" d", "bold"), (" e", "")]
     assert rows[2] == [("**x**", "code"), (" ", ""), ("y", "bold")] and rows[3] == [("2*3*4 and ", ""), ("old", "strike")]
     assert 4 not in rows and 5 not in rows and rows[6] == [("*a\nb*", "")]
+    assert rows[7] == [("**a ", ""), ("b", "code"), (" c**", "")] and rows[8] == [("*x", "bold"), (" y*", "")]
+    assert rows[9] == [("_a_b ", ""), ("c", "italic")] and rows[10] == [("é", ""), ("a", "italic")]
+    assert rows[11] == [("``", ""), (" ", "code"), ("a`", "")] or rows[11] == [("`` ", ""), ("a", "code")] or rows[11] == [("`", ""), (" ", "code"), ("a`", "")]
+    assert rows[12] == [("a\nb", "bold"), (" ", ""), ("c", "bold"), ("d", "")] and rows[13] == [("*a**b*", "")]
+    assert rows[14] == [("~~a ", ""), ("b~~ c", "bold")]
+
+
+def test_many_marks(spark):
+    """Marks by the hundred thousand, next to each other and open."""
+    rows = runs_of(spark, ["**a** `b` " * 50000, "**" * 100000, "*a " * 100000, "_" * 99999])
+    assert len(rows[0]) == 200000 and rows[0][:4] == [("a", "bold"), (" ", ""), ("b", "code"), (" ", "")]
+    assert "".join(t for t, _ in rows[2]).replace("*", "") == "a " * 100000
 
 
 def test_blocks(spark):
