@@ -115,25 +115,24 @@ def exact_quantiles(df: DataFrame, c: str, shares: tuple[float, ...]) -> list[fl
     found: dict[int, float] = {}
     open_ = {(0, n, lo, hi, lo_at, hi_at): ranks}  # interval: values before it, in it, their least and largest, and scaled
     while open_:
+        found |= {r: edges[2] for edges, wanted in open_.items() for r in wanted if edges[2] == edges[3]}
+        open_ = {edges: wanted for edges, wanted in open_.items() if edges[2] < edges[3]}
+        if not open_:
+            break
+        # One pass for all intervals, which don't meet: values of few are counted one by one, others by part.
+        which, key = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for k, (_, size, lo, hi, lo_at, hi_at) in enumerate(open_):
+            inside = (F.col("x") >= lo) & (F.col("x") <= hi)
+            part = F.least(F.floor((scale - lo_at) / F.lit((hi_at - lo_at) / RANGES or 1.0)).cast("double"), F.lit(RANGES - 1.0))
+            which, key = F.when(inside, k).otherwise(which), F.when(inside, F.col("x") if size <= FEW or lo_at == hi_at else part).otherwise(key)
+        met = rows.select("x", which.alias("which"), key.alias("key")).where("which IS NOT NULL").groupBy("which", "key").agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min(scale), F.max(scale)).collect()
         following: dict[tuple, list[int]] = {}
-        for (before, size, lo, hi, lo_at, hi_at), wanted in open_.items():
-            inside = rows.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            if lo == hi:
-                found |= {r: lo for r in wanted}
-            elif size <= FEW or lo_at == hi_at:
-                counts = inside.groupBy("x").count().collect()
-                at = before
-                for value, k in sorted(counts):
-                    found |= {r: value for r in wanted if at <= r < at + k}
-                    at += k
-            else:
-                part = F.least(F.floor((scale - lo_at) / F.lit((hi_at - lo_at) / RANGES)).cast("int"), F.lit(RANGES - 1))
-                parts = inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min(scale), F.max(scale)).collect()
-                at = before
-                for _, k, *edges in sorted(parts):
-                    if mine := [r for r in wanted if at <= r < at + k]:
-                        following[(at, k, *edges)] = mine
-                    at += k
+        for k, ((before, *_), wanted) in enumerate(open_.items()):
+            at = before
+            for _, _, count, *edges in sorted(m for m in met if m[0] == k):
+                if mine := [r for r in wanted if at <= r < at + count]:
+                    following[(at, count, *edges)] = mine
+                at += count
         open_ = following
     out = []
     for p in places:

@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import clip, exact_quantiles, month_of
-from ledgerlake.operators.panel import converted, exact
+from ledgerlake.functions.columns import month_of
+from ledgerlake.operators.panel import exact
 
 #: Months of cushion, least surplus, latest habitual pay day.
 CUSHION_MONTHS, MIN_SURPLUS, LAST_DAY = 1, 25_000.0, 28
@@ -106,14 +106,11 @@ def forecast(path: DataFrame, events: DataFrame, habits: DataFrame) -> DataFrame
     )
 
 
-def category_breakdown(tx: DataFrame, banking: DataFrame, since: date, until: date) -> DataFrame:
-    """(company_id, month, category, amount) of bank accounts; bounds of winsorising are those of all dates."""
-    rows = tx.join(banking.select("product_id"), "product_id", "left_semi").select("company_id", month_of("date").alias("month"), F.coalesce(F.nullif("category", F.lit("uncategorized")), F.lit("no_category")).alias("category"), converted("amount", "exchange_rate").alias("amount"))
-    lo, hi = exact_quantiles(rows, "amount", (0.001, 0.999))
-    clipped = F.col("amount") if lo is None else clip(F.col("amount"), lo, hi)
-    rows = rows.where((F.col("month") >= F.lit(since)) & (F.col("month") < F.lit(until)))
-    out = rows.groupBy("company_id", "month", "category").agg(F.sum(exact(clipped)).alias("amount"))
-    return out.where(F.abs("amount") >= 0.005)
+def category_breakdown(ledger: DataFrame, since: date, until: date) -> DataFrame:
+    """(company_id, month, category, amount) of the ledger of bank accounts, whose amounts are winsorised over all dates."""
+    rows = ledger.where((F.col("month") >= F.lit(since)) & (F.col("month") < F.lit(until)))
+    name = F.coalesce(F.nullif("category", F.lit("uncategorized")), F.lit("no_category"))
+    return rows.groupBy("company_id", "month", name.alias("category")).agg(F.sum("amount").alias("amount")).where(F.abs("amount") >= 0.005)
 
 
 def nested_categories(breakdown: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A nation is a company and a region a group; shipped lines are bank transactions, orders invoices. Every supplier is a
 banking product, or a debt product if its key ends in 6 or 7. Some transactions and balances name products that no
-catalogue has. Dirty values are made on purpose: every cleaning rule has rows that need it.
+catalogue has. Accounts in francs have no known rate, and some customers get refunds. Dirty values are made on purpose: every cleaning rule has rows that need it.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ SELECT {PRODUCT.format("s_suppkey")} AS product_id, {COMPANY.format("s_nationkey
   CASE s_suppkey % 8 WHEN 0 THEN 'checking' WHEN 1 THEN 'saving' WHEN 2 THEN 'wallet' WHEN 3 THEN 'expensesPlatform' WHEN 4 THEN 'card' WHEN 5 THEN 'tpv' WHEN 6 THEN 'barter' ELSE 'checking' END AS type,
   CASE s_suppkey % 5 WHEN 0 THEN 'Paypal' WHEN 1 THEN ' iberCaja ' WHEN 2 THEN 'Otros' WHEN 3 THEN NULL ELSE s_name END AS bank_name,
   CASE s_suppkey % 6 WHEN 0 THEN '_payhawk' WHEN 1 THEN '_others' WHEN 2 THEN 'insurance' WHEN 3 THEN 'ins_077' WHEN 4 THEN NULL ELSE '__x' END AS service,
-  CASE s_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'COP' ELSE 'EUR' END AS currency,
+  CASE WHEN s_suppkey % 25 = 3 THEN 'CHF' ELSE CASE s_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'COP' ELSE 'EUR' END END AS currency,
   CAST(CAST('1994-11-20' AS DATE) + CAST(s_suppkey % 4000 AS INT) AS TIMESTAMP) AS created_at
 FROM {{supplier}} WHERE s_suppkey % 10 NOT IN (6, 7)""",
     "raw_debt_products": f"""
@@ -69,8 +69,8 @@ SELECT 'TX_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING
   CASE l_partkey % 11 WHEN 0 THEN CAST(CAST('2099-12-31' AS DATE) AS TIMESTAMP) WHEN 1 THEN NULL WHEN 2 THEN CAST(CAST(l_shipdate AS DATE) + 45 AS TIMESTAMP)
     ELSE CAST(CAST(l_shipdate AS DATE) + CAST(l_partkey % 20 AS INT) AS TIMESTAMP) END AS value_date,
   CASE WHEN l_partkey % 8 IN (0, 7) THEN 3 * l_extendedprice ELSE -l_extendedprice END * CASE WHEN l_orderkey % 997 = 0 THEN 1000000.0 ELSE 1.0 END AS amount,
-  CASE l_linenumber WHEN 1 THEN 0.0 ELSE 1 + l_discount END AS exchange_rate, 'booked' AS status, CAST(NULL AS STRING) AS accounting_status,
-  CASE WHEN l_orderkey % 53 = 0 THEN NULL ELSE CASE l_partkey % 16 WHEN 15 THEN '-' WHEN 0 THEN ' cash_settlements ' ELSE
+  CASE WHEN l_suppkey % 25 = 3 THEN NULL WHEN l_linenumber = 1 THEN 0.0 ELSE 1 + l_discount END AS exchange_rate, 'booked' AS status, CAST(NULL AS STRING) AS accounting_status,
+  CASE WHEN l_orderkey % 53 = 0 THEN NULL ELSE CASE l_partkey % 16 WHEN 15 THEN '-' WHEN 0 THEN ' cash_settlements ' WHEN 14 THEN 'collection_refund' ELSE
     CASE l_partkey % 8 WHEN 0 THEN 'collection' WHEN 1 THEN 'payment' WHEN 2 THEN 'salary' WHEN 3 THEN 'social_security' WHEN 4 THEN 'tax' WHEN 5 THEN 'debt_repayment' WHEN 6 THEN 'fee' ELSE 'transfer' END END END AS category,
   'line ' || CAST(l_linenumber AS STRING) AS description,
   CASE l_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'CASH' WHEN 3 THEN 'CP 12345678' ELSE 'CP_' || CAST(o_custkey AS STRING) END AS counterparty_id

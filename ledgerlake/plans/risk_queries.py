@@ -24,8 +24,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Forecast:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        d = Domain(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, domain: Domain | None = None):
+        """domain: that of the query, if it has one, so that ledger and panel are made once."""
+        d = domain or Domain(spark, sf_dir)
         self.tx = mapped(spark, sf_dir, "transactions")
         self.days = W.pay_days(self.tx, DAYS)
         self.habits = W.medians(d.panel, DAYS)
@@ -39,8 +40,8 @@ class Forecast:
         return W.forecast(self.path, self.events, self.habits)
 
 
-def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.category_breakdown(mapped(spark, sf_dir, "transactions"), raw(spark, sf_dir, "raw_banking_products"), YEAR_START, HORIZON.snapshot)
+def _categories(d: Domain) -> DataFrame:
+    return W.category_breakdown(d.rows, YEAR_START, HORIZON.snapshot)
 
 
 class Clients:
@@ -55,14 +56,14 @@ class Clients:
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested maps, flattened again: company, month, category, amount."""
-    maps = W.nested_categories(_categories(spark, sf_dir))
+    maps = W.nested_categories(_categories(Domain(spark, sf_dir)))
     return maps.select("company_id", F.explode("categories").alias("month", "m")).select("company_id", "month", F.explode("m").alias("category", "amount"))
 
 
 QUERIES = {
     "ev08_events": _events, "ev09_forward": lambda s, d: E.forward(_events(s, d), 3), "ev10_diagnosis": lambda s, d: E.diagnose(_events(s, d)), "ev11_cooccurrence": lambda s, d: E.cooccurrence(_events(s, d)), "ev12_any_event": lambda s, d: E.any_rates(_events(s, d)),
     "fc01_pay_days": lambda s, d: W.pay_days(mapped(s, d, "transactions"), DAYS), "fc02_medians": lambda s, d: rounded(Forecast(s, d).habits), "fc03_open_invoices": lambda s, d: rounded(Forecast(s, d).invoices),
-    "fc04_categories": lambda s, d: rounded(_categories(s, d)), "fc04_nested_categories": _nested, "fc07_monthly": lambda s, d: rounded((f := Forecast(s, d)) and W.monthly(f.events, f.opening)),
+    "fc04_categories": lambda s, d: rounded(_categories(Domain(s, d))), "fc04_nested_categories": _nested, "fc07_monthly": lambda s, d: rounded((f := Forecast(s, d)) and W.monthly(f.events, f.opening)),
     "fc08_daily_path": lambda s, d: rounded(Forecast(s, d).path), "fc13_forecast": lambda s, d: rounded(Forecast(s, d).result()),
     "cl02_behaviour": lambda s, d: rounded(Clients(s, d).facts), "cl04_peak_exposure": lambda s, d: rounded(Clients(s, d).peaks), "cl06_client_book": lambda s, d: rounded(Clients(s, d).book), "cl12_offers": lambda s, d: Clients(s, d).offers,
     "cl13_company_book": lambda s, d: rounded((c := Clients(s, d)) and C.companies_book(c.offers, c.book, c.surety)), "cl14_states": lambda s, d: Clients(s, d).offers.groupBy("state").agg(F.count(F.lit(1)).alias("n")),

@@ -40,9 +40,9 @@ def _portfolio(d: Domain) -> DataFrame:
     return V.portfolio(d.full(), scores(d), company_static(d.companies, d.debt, d.invoices, d.rows, d.anchors, d.panel).withColumn("has_erp", F.col("erp").isNotNull()))
 
 
-def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return V.board(_portfolio(d), Forecast(spark, sf_dir).result(), d.panel)
+def _board(spark: SparkSession, sf_dir: str, d: Domain | None = None) -> DataFrame:
+    d = d or Domain(spark, sf_dir)
+    return V.board(_portfolio(d), Forecast(spark, sf_dir, d).result(), d.panel)
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ QUERIES = {
     "ap12_board": lambda s, d: rounded(_board(s, d)), "ap16_status_counts": lambda s, d: V.counts_of(_board(s, d), "status", ("alert", "opportunity", "watch", "paused")),
     "ag05_search": _D(lambda d: V.search(_portfolio(d), d.companies.where("currency = 'EUR'"), "fall", 8)), "ag07_table_stats": _D(lambda d: V.table_stats(_portfolio(d))),
     "ag09_last_charts": lambda s, d: V.last_per_slot(_charts(s, d)), "ag10_sections": lambda s, d: V.sections(s.read.parquet(f"{d}/conversations.parquet")), "tx01_blocks": lambda s, d: X.blocks(s.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"),
-    "ui01_statement": lambda s, d: rounded(V.statement(_categories(s, d), Domain(s, d).panel)), "snk03_upsert": _upsert, "cr02_uuid5": _uuid5, "cr04_assignment": _leads,
+    "ui01_statement": _D(lambda d: rounded(V.statement(_categories(d), d.panel))), "snk03_upsert": _upsert, "cr02_uuid5": _uuid5, "cr04_assignment": _leads,
     "ch04_coverage": _D(lambda d: d.cash.groupBy("month").agg(F.count(F.lit(1)).alias("companies"), F.round(F.median("cash_end")).alias("median_cash"), F.count_if(F.col("cash_end") < 0).alias("negative"))),
 }
 
