@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import checks as H
 from ledgerlake.operators import history as C
+from ledgerlake.sources import databases as D
 from ledgerlake.sources import rows as R
 from ledgerlake.sources.layout import bucketed
 from ledgerlake.sources.versions import Conflict, VersionedTable
@@ -130,6 +131,31 @@ def test_fingerprint_catches_float_sums(spark):
     assert one != H.multiset(spark.createDataFrame([(1,), (2,), (2,)], "x int")).first() and one == H.multiset(spark.createDataFrame([(2,), (1,), (1,)], "x int").repartition(3)).first()
 
 
+def test_database(spark):
+    """A real write, to an embedded database: replaced as a whole or not at all."""
+    url, how = "jdbc:derby:memory:ledger;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    read = lambda: sorted(map(tuple, spark.read.jdbc(url, "orders", properties=how).collect()), key=repr)
+    df = spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 2.5).alias("x"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("ñ"), "id")).alias("s")).repartition(3)
+    assert not D.exists(spark, url, "orders", **how)
+    assert D.replace_table(df, url, "orders", **how) == 900 and read() == sorted(map(tuple, df.collect()), key=repr)
+    few = df.where("k < 7")
+    assert D.replace_table(few, url, "orders", 3, **how) == 7
+    with pytest.raises(Exception, match="boom"):
+        D.replace_table(df.withColumn("x", F.when(F.col("k") < 800, F.col("x")).otherwise(F.raise_error(F.lit("boom")).cast("double"))), url, "orders", **how)
+    assert read() == sorted(map(tuple, few.collect()), key=repr)
+    assert D.replace_table(df.limit(0), url, "orders", **how) == 0 and read() == []
+    assert D._rename("jdbc:postgresql://h/d", "a.t_next", "a.t") == "ALTER TABLE a.t_next RENAME TO t"
+
+
+def test_forward_sums(spark):
+    """A panel that loses a month's transactions no longer meets the forward sum."""
+    tx = spark.createDataFrame([("c", "p", datetime(2024, m, d), a) for m, d, a in ((1, 5, 10.0), (2, 7, -4.0), (2, 9, 1.0), (4, 1, 3.0))] + [("c", "p", datetime(2024, 5, 1), 9e9)], "company_id string, product_id string, date timestamp, amount double")
+    anchors = H.account_anchors(spark.createDataFrame([("c", "p", 100.0)], "company_id string, product_id string, balance double"))
+    panel = H.account_panel(tx, anchors)
+    assert tuple(H.reconciled_forwards(panel, tx, anchors).first()) == (1, 1, 0.0, 90.0)
+    assert H.reconciled_forwards(panel.where("month < DATE '2024-04-01'"), tx, anchors).first().equal == 0
+
+
 def test_late_transactions(spark, tmp_path):
     """After late rows all tables are those of a full rebuild, and months that don't change aren't written."""
     balances = spark.createDataFrame([("c1", "p1", 100.0), ("c1", "p2", 50.0), ("c2", "p3", -5.0), ("c2", "p4", 2e9)], "company_id string, product_id string, balance double")
