@@ -26,10 +26,10 @@ class Window3:
     habits_from: date
 
 
-def pay_days(tx: DataFrame, w: Window3) -> DataFrame:
-    """(company_id, category, pay_day): the day of the month with the largest total, the earliest of equal ones."""
-    rows = tx.where(F.col("category").isin(*RECURRING) & (F.to_date("date") >= F.lit(w.habits_from)))
-    by_day = rows.groupBy("company_id", "category", F.dayofmonth("date").alias("day")).agg(F.abs(F.sum(exact("amount"))).alias("total"))
+def pay_days(moves: DataFrame, w: Window3) -> DataFrame:
+    """(company_id, category, pay_day) of movements(): the day of the month with the largest total, the earliest of equal ones."""
+    rows = moves.where(F.col("category").isin(*RECURRING) & (F.col("day") >= F.lit(w.habits_from)))
+    by_day = rows.groupBy("company_id", "category", F.dayofmonth("day").alias("day")).agg(F.abs(F.sum(exact("booked"))).alias("total"))
     best = F.max_by("day", F.struct("total", -F.col("day")))
     return by_day.groupBy("company_id", "category").agg(F.least(best, F.lit(LAST_DAY)).alias("pay_day"))
 
@@ -41,14 +41,13 @@ def medians(panel: DataFrame, w: Window3) -> DataFrame:
     )
 
 
-def open_invoices(invoices: DataFrame, companies: DataFrame, w: Window3) -> DataFrame:
-    """Unpaid invoices that fall due in the window, in the company's own currency: day, signed amount, kind, counterparty."""
-    due = F.to_date("due_date")
-    rows = invoices.where(F.col("document_type").isin("invoice", "invoiceGroup") & ~F.col("status").isin("cancelled", "paid") & (F.abs("pending_amount") > 0))
-    rows = rows.where((F.to_date("issuance_date") <= F.lit(w.snapshot)) & (due >= F.lit(w.start)) & (due <= F.lit(w.end)))
+def open_invoices(rows: DataFrame, companies: DataFrame, w: Window3) -> DataFrame:
+    """Unpaid ones of bills() that fall due in the window, in the company's own currency: day, signed amount, kind,
+    counterparty."""
+    rows = rows.where(~F.col("paid") & (F.abs("pending_amount") > 0) & (F.col("issued") <= F.lit(w.snapshot)) & F.col("due").between(F.lit(w.start), F.lit(w.end)))
     rows = rows.join(companies.select("company_id", F.col("currency").alias("own")), "company_id").where("currency = own")
-    ours = F.col("amount") > 0
-    return rows.select("company_id", due.alias("day"), exact(F.when(ours, F.abs("pending_amount")).otherwise(-F.abs("pending_amount"))).alias("amount"), F.when(ours, "receipts").otherwise("suppliers").alias("kind"), "counterparty_id")
+    ours = F.col("booked") > 0
+    return rows.select("company_id", F.col("due").alias("day"), exact(F.when(ours, F.abs("pending_amount")).otherwise(-F.abs("pending_amount"))).alias("amount"), F.when(ours, "receipts").otherwise("suppliers").alias("kind"), "counterparty_id")
 
 
 def cash_events(invoices: DataFrame, habits: DataFrame, days: DataFrame, w: Window3) -> DataFrame:

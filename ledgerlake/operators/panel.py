@@ -36,11 +36,13 @@ def currencies(df: DataFrame, banking: DataFrame, companies: DataFrame) -> DataF
     return df.join(product, "product_id").join(companies.select("company_id", F.col("currency").alias("ccur")), "company_id", "left")
 
 
-def bank_entries(tx: DataFrame, banking: DataFrame, companies: DataFrame) -> DataFrame:
-    """Transactions of banking products, one row each: amount in the company's currency, day, month, whether operating."""
-    rows = currencies(tx.select("company_id", "product_id", "date", "amount", "exchange_rate", "category"), banking, companies)
+def movements(tx: DataFrame, banking: DataFrame, companies: DataFrame) -> DataFrame:
+    """Transactions, one row each: amount as booked and in the company's currency, day, month, whether operating, and bank:
+    whether of a banking product. All that reads transactions starts from here."""
+    product = banking.select("product_id", F.col("currency").alias("pcur"), F.lit(True).alias("of_bank"))
+    rows = tx.select("company_id", "product_id", "date", F.col("amount").alias("booked"), "exchange_rate", "category").join(product, "product_id", "left").join(companies.select("company_id", F.col("currency").alias("ccur")), "company_id", "left")
     operating = F.coalesce(~F.col("category").isin(*K.NON_OPERATING), F.lit(True))
-    return rows.select("company_id", F.to_date("date").alias("day"), month_of("date").alias("month"), converted("amount", "exchange_rate").alias("amount"), "exchange_rate", "category", operating.alias("op"), "pcur", "ccur")
+    return rows.select("company_id", F.to_date("date").alias("day"), month_of("date").alias("month"), "booked", converted("booked", "exchange_rate").alias("amount"), "exchange_rate", "category", operating.alias("op"), "pcur", "ccur", F.coalesce("of_bank", F.lit(False)).alias("bank"))
 
 
 def bank_ledger(entries: DataFrame) -> DataFrame:
@@ -118,10 +120,15 @@ def monthly_panel(flows: DataFrame, cash: DataFrame) -> DataFrame:
     return out.withColumn("short_history", F.col("hist_months") < K.MIN_HISTORY)
 
 
-def invoice_amounts(invoices: DataFrame) -> DataFrame:
-    """Invoices that count: not cancelled, amounts in the company's currency, whether paid."""
+def bills(invoices: DataFrame) -> DataFrame:
+    """Invoices that count, not cancelled ones, one row each: amounts as booked and in the company's currency. All that
+    reads these invoices starts from here."""
     rows = invoices.where((F.col("status") != "cancelled") & F.col("document_type").isin(*K.INVOICE_TYPES))
-    return rows.select("company_id", F.to_date("issuance_date").alias("issued"), F.to_date("due_date").alias("due"), F.to_date("payment_date").alias("paid_on"), converted("amount", "exchange_rate").alias("amount"), (F.col("status") == "paid").alias("paid"))
+    return rows.select("company_id", F.to_date("issuance_date").alias("issued"), F.to_date("due_date").alias("due"), F.to_date("payment_date").alias("paid_on"), F.col("amount").alias("booked"), "pending_amount", "currency", "counterparty_id", converted("amount", "exchange_rate").alias("amount"), (F.col("status") == "paid").alias("paid"))
+
+
+def invoice_amounts(rows: DataFrame) -> DataFrame:
+    return rows.select("company_id", "issued", "due", "paid_on", "amount", "paid")
 
 
 def issued_invoices(rows: DataFrame) -> DataFrame:

@@ -37,9 +37,17 @@ class Domain:
         df = mapped(self.spark, self.sf_dir, name)
         return df.repartition(self.partitions) if self.partitions else df
 
+    @cached_property
+    def moves(self) -> DataFrame:
+        return staged(P.movements(self._dealt("transactions"), self.banking, self.companies), "movements")
+
     @cached_property
     def entries(self) -> DataFrame:
-        return staged(P.bank_entries(self._dealt("transactions"), self.banking, self.companies), "bank-entries")
+        return self.moves.where("bank")
+
+    @cached_property
+    def bills(self) -> DataFrame:
+        return staged(P.bills(self._dealt("invoices")), "bills")
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -71,7 +79,7 @@ class Domain:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        return P.issued_invoices(staged(P.invoice_amounts(self._dealt("invoices")), "invoice-amounts"))
+        return P.issued_invoices(P.invoice_amounts(self.bills))
 
     @cached_property
     def receivables(self) -> DataFrame:

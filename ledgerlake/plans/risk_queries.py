@@ -27,10 +27,9 @@ class Forecast:
     def __init__(self, spark: SparkSession, sf_dir: str, domain: Domain | None = None):
         """domain: that of the query, if it has one, so that ledger and panel are made once."""
         d = domain or Domain(spark, sf_dir)
-        self.tx = mapped(spark, sf_dir, "transactions")
-        self.days = W.pay_days(self.tx, DAYS)
+        self.days = W.pay_days(d.moves, DAYS)
         self.habits = W.medians(d.panel, DAYS)
-        self.invoices = W.open_invoices(mapped(spark, sf_dir, "invoices"), d.companies, DAYS)
+        self.invoices = W.open_invoices(d.bills, d.companies, DAYS)
         self.events = W.cash_events(self.invoices, self.habits, self.days, DAYS)
         self.opening = W.openings(d.panel, HORIZON.last)
         self.path = W.daily_path(self.events, self.opening, DAYS)
@@ -62,7 +61,7 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "ev08_events": _events, "ev09_forward": lambda s, d: E.forward(_events(s, d), 3), "ev10_diagnosis": lambda s, d: E.diagnose(_events(s, d)), "ev11_cooccurrence": lambda s, d: E.cooccurrence(_events(s, d)), "ev12_any_event": lambda s, d: E.any_rates(_events(s, d)),
-    "fc01_pay_days": lambda s, d: W.pay_days(mapped(s, d, "transactions"), DAYS), "fc02_medians": lambda s, d: rounded(Forecast(s, d).habits), "fc03_open_invoices": lambda s, d: rounded(Forecast(s, d).invoices),
+    "fc01_pay_days": lambda s, d: W.pay_days(Domain(s, d).moves, DAYS), "fc02_medians": lambda s, d: rounded(Forecast(s, d).habits), "fc03_open_invoices": lambda s, d: rounded(Forecast(s, d).invoices),
     "fc04_categories": lambda s, d: rounded(_categories(Domain(s, d))), "fc04_nested_categories": _nested, "fc07_monthly": lambda s, d: rounded((f := Forecast(s, d)) and W.monthly(f.events, f.opening)),
     "fc08_daily_path": lambda s, d: rounded(Forecast(s, d).path), "fc13_forecast": lambda s, d: rounded(Forecast(s, d).result()),
     "cl02_behaviour": lambda s, d: rounded(Clients(s, d).facts), "cl04_peak_exposure": lambda s, d: rounded(Clients(s, d).peaks), "cl06_client_book": lambda s, d: rounded(Clients(s, d).book), "cl12_offers": lambda s, d: Clients(s, d).offers,
