@@ -91,10 +91,13 @@ def asked(df: DataFrame, request: Mapping[str, str | int]) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, key: str, request: Mapping[str, str | int], ranges: int = RANGES) -> DataFrame:
-    """The rows that a request asks of the table at path, in ranges of key, read through RowSource.
+    """The rows that a request asks of the table at path, in ranges of key, read through RowSource; where the path isn't one
+    of a file system that all executors have mounted, by Spark's own reader.
 
     Spark pushes filters into such a source only where it is told to, so the reader has a session of its own.
     """
+    if urlparse(path).scheme not in ("", "file"):
+        return asked(spark.read.parquet(path), request)
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     own.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     own.dataSource.register(RowSource)
