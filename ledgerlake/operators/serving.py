@@ -28,20 +28,24 @@ LINES = {
 }
 
 
+def from_end(df: DataFrame) -> DataFrame:
+    """df with rn: a row's place from its company's last month, from the same sort as what looks back."""
+    return df.withColumn("rn", F.count(F.lit(1)).over(Window.partitionBy("company_id")) - F.row_number().over(by_month()) + 1)
+
+
 def portfolio(panel: DataFrame, scores: DataFrame, static: DataFrame) -> DataFrame:
-    """One row per company with a score: its last month, values three rows back, the last twelve months as arrays."""
-    ranked = panel.withColumns({"runway_prev": F.lag("runway_m", 3).over(by_month()), "dso_prev": F.lag("dso", 3).over(by_month()), "rn": F.row_number().over(from_latest())})
+    """One row per company with a score: its last month, values three rows back, the last twelve months as arrays. Panel and
+    scores are each sorted once and summed up once."""
+    ranked = from_end(panel.withColumns({"runway_prev": F.lag("runway_m", 3).over(by_month()), "dso_prev": F.lag("dso", 3).over(by_month())})).where("rn <= 12")
     flow = F.struct("month", F.coalesce("inflow_op", F.lit(0)).alias("in"), F.abs(F.coalesce("outflow_op", F.lit(0))).alias("out"), F.coalesce("cash_end", F.lit(0)).alias("cash"))
-    flows = ranked.where("rn <= 12").groupBy("company_id").agg(F.sort_array(F.collect_list(flow)).alias("flows"))
-    now = ranked.where("rn = 1").select("company_id", "cash_end", F.col("runway_m").alias("runway_now"), "runway_prev", F.col("dso").alias("dso_now"), "dso_prev", F.round(F.col("pct_overdue") * 100, 1).alias("overdue_share"), "margin_3m", "debt_service_ratio_3m", "n_tx")
-    health = scores.withColumns({"rn": F.row_number().over(from_latest()), "delta3": F.col("score") - F.lag("score", 3).over(by_month()), "n_months": F.count(F.lit(1)).over(Window.partitionBy("company_id"))})
-    history = health.where("rn <= 12").groupBy("company_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("month", "score"))), lambda x: F.round(x["score"], 1)).alias("history"))
-    head = health.where("rn = 1").select("company_id", F.col("month").alias("last_month"), F.round("score", 1).alias("score"), band(F.col("score")).alias("band"), F.round("delta3", 1).alias("delta3"), "n_months")
+    last = F.struct("cash_end", F.col("runway_m").alias("runway_now"), "runway_prev", F.col("dso").alias("dso_now"), "dso_prev", F.round(F.col("pct_overdue") * 100, 1).alias("overdue_share"), "margin_3m", "debt_service_ratio_3m", "n_tx")
+    now = ranked.groupBy("company_id").agg(F.sort_array(F.collect_list(flow)).alias("flows"), F.max(F.when(F.col("rn") == 1, last)).alias("l")).select("company_id", "l.*", "flows")
+    health = from_end(scores.withColumns({"delta3": F.col("score") - F.lag("score", 3).over(by_month()), "n_months": F.count(F.lit(1)).over(Window.partitionBy("company_id"))})).where("rn <= 12")
+    head = F.struct(F.col("month").alias("last_month"), F.round("score", 1).alias("score"), band(F.col("score")).alias("band"), F.round("delta3", 1).alias("delta3"), "n_months")
+    history = F.transform(F.sort_array(F.collect_list(F.struct("month", "score"))), lambda x: F.round(x["score"], 1))
+    seen = health.groupBy("company_id").agg(F.max(F.when(F.col("rn") == 1, head)).alias("h"), history.alias("history")).select("company_id", "h.*", "history")
     facts = static.select("company_id", "group_id", F.coalesce("currency", F.lit("EUR")).alias("currency"), F.coalesce("has_erp", F.lit(False)).alias("has_erp"), "debt_outstanding", "debt_util")
-    out = head
-    for df in (facts, now, flows, history):
-        out = out.join(df, "company_id", "left")
-    return out.withColumn("n_tx", F.coalesce("n_tx", F.lit(0)))
+    return seen.join(facts, "company_id", "left").join(now, "company_id", "left").withColumn("n_tx", F.coalesce("n_tx", F.lit(0)))
 
 
 def alert(score_band: Column, delta3: Column, confidence: Column) -> Column:
