@@ -124,19 +124,21 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
     seen, keys, codes, held = Places(), [], [], 0
 
     def chunk() -> Iterator[pa.RecordBatch]:
-        name = f"{part}:{n_chunks}"
-        flat = np.concatenate([np.frombuffer(c, np.int32) for c in codes])
-        by_use = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
-        place = np.empty(len(seen), np.int64)
-        place[by_use] = np.arange(len(seen))
-        groups: dict[int, list] = {}
-        for word in sorted(seen):
-            raw = word.encode()
-            groups.setdefault(zlib.crc32(raw) % buckets, []).append((place[seen[word]], raw))
-        for bucket, found in groups.items():
-            yield _messages([(WORDS, name, bucket, None, _packed(np.array([len(w) for _, w in found])), _packed(b"".join(w for _, w in found)), None)])
-        order = np.array([p for b in sorted(groups) for p, _ in groups[b]], np.int64)
-        yield _messages([(TEXTS, name, None, _packed(order), _packed(np.array([len(c) // 4 for c in codes])), _packed_places(place[flat]), keys)])
+        name, words = f"{part}:{n_chunks}", list(seen)
+        lens, flat = np.array([len(c) // 4 for c in codes]), np.concatenate([np.frombuffer(c, np.int32) for c in codes])
+        codes.clear()
+        place = np.empty(len(words), np.int32)
+        place[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.int32)
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int32)
+        bucket = np.fromiter((zlib.crc32(words[i].encode()) % buckets for i in by_word), np.int32, len(words))
+        by_bucket = np.argsort(bucket, kind="stable")
+        order, bucket = by_word[by_bucket], bucket[by_bucket]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            raws = [words[i].encode() for i in order[a:b]]
+            yield _messages([(WORDS, name, int(bucket[a]), None, _packed(np.array([len(w) for w in raws])), _packed(b"".join(raws)), None)])
+        flat = place[flat]
+        yield _messages([(TEXTS, name, None, _packed(place[order]), _packed(lens), _packed_places(flat), keys)])
 
     for batch in batches:
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
