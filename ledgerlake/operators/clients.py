@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.constants import INVOICE_TYPES
-from ledgerlake.functions.columns import month_index, unit_hash
+from ledgerlake.functions.columns import month_index, unit_hash, whole_text
 from ledgerlake.operators.panel import exact
 
 # What a decision and an offer depend on.
@@ -65,7 +65,7 @@ def stepped(v: Column) -> Column:
 
 
 def money_text(v: Column) -> Column:
-    return F.concat(F.translate(F.format_number(v, 0), ",", "."), F.lit(" €"))
+    return F.concat(F.translate(whole_text(v), ",", "."), F.lit(" €"))
 
 
 def offers(book_rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.columns import half_up
+from ledgerlake.functions.columns import half_up, whole_text
 from ledgerlake.operators.score import band
 
 def by_month() -> WindowSpec:
@@ -49,7 +49,7 @@ def portfolio(panel: DataFrame, scores: DataFrame, static: DataFrame) -> DataFra
 
 
 def alert(score_band: Column, delta3: Column, confidence: Column) -> Column:
-    return F.when(delta3 <= -ALERT_DROP, F.concat(F.lit("falls by "), F.format_number(-delta3, 0), F.lit(" points in 3 months"))).when(score_band == "risk", "in the risk band").when(confidence < LOW_CONFIDENCE, "too little data")
+    return F.when(delta3 <= -ALERT_DROP, F.concat(F.lit("falls by "), whole_text(-delta3), F.lit(" points in 3 months"))).when(score_band == "risk", "in the risk band").when(confidence < LOW_CONFIDENCE, "too little data")
 
 
 def plausible_cash(c: Column) -> Column:
