@@ -9,7 +9,7 @@ from ledgerlake.constants import UNITS_PER_EUR
 from ledgerlake.operators.history import CashHistory
 from ledgerlake.plans.bindings import HORIZON, ctes, raw
 from ledgerlake.plans.panel_queries import rounded
-from ledgerlake.sources.layout import bucketed
+from ledgerlake.sources.layout import bucket_count, bucketed
 from ledgerlake.sources.rows import read
 from ledgerlake.sources.staging import scratch
 from ledgerlake.sources.versions import VersionedTable
@@ -57,8 +57,10 @@ def snk03_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snk09_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and orders, bucketed by order, joined and summed by order."""
-    lines = bucketed(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.round("l_extendedprice", 2).cast("decimal(20,2)").alias("price")), "lines", ["l_orderkey"], 8)
-    orders = bucketed(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "orders", ["o_orderkey"], 8)
+    raw_lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    buckets = bucket_count(raw_lines.count())
+    lines = bucketed(raw_lines.select("l_orderkey", F.round("l_extendedprice", 2).cast("decimal(20,2)").alias("price")), "lines", ["l_orderkey"], buckets)
+    orders = bucketed(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "orders", ["o_orderkey"], buckets)
     return lines.join(orders.hint("merge"), lines["l_orderkey"] == orders["o_orderkey"]).groupBy("l_orderkey", "o_custkey").agg(F.sum("price").cast("double").alias("total"), F.count(F.lit(1)).alias("lines"))
 
 
