@@ -11,7 +11,7 @@ from ledgerlake.plans.bindings import HORIZON, ctes, raw
 from ledgerlake.plans.panel_queries import rounded
 from ledgerlake.sources.layout import bucket_count, bucketed
 from ledgerlake.sources.rows import read
-from ledgerlake.sources.staging import scratch
+from ledgerlake.sources.staging import scratch, staged
 from ledgerlake.sources.versions import VersionedTable
 from ledgerlake.streaming.upserts import run
 
@@ -65,12 +65,13 @@ def snk09_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> CashHistory:
-    """The cash history of all transactions, of which some of 1997 come late."""
-    tx = raw(spark, sf_dir, "raw_transactions").select("transaction_id", "company_id", "product_id", "date", "amount")
+    """The cash history of all transactions, of which some of 1997 come late. They are staged, so that the joins they come
+    from run once, not once for each table and once more for the late ones."""
     late = F.col("transaction_id").endswith("7_1") & (F.year("date") <= 1997)
+    tx = staged(raw(spark, sf_dir, "raw_transactions").select("company_id", "product_id", F.to_date("date").alias("date"), "amount", late.alias("late")), "history-movements")
     history = CashHistory(spark, scratch(spark, "cash-history"), HORIZON.last)
-    history.build(tx.where(~late), raw(spark, sf_dir, "raw_balances"), raw(spark, sf_dir, "raw_banking_products"))
-    history.add(tx.where(late))
+    history.build(tx.where("NOT late").drop("late"), raw(spark, sf_dir, "raw_balances"), raw(spark, sf_dir, "raw_banking_products"))
+    history.add(tx.where("late").drop("late"))
     return history
 
 
