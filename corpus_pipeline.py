@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text and the bytes they decode to, as digests."""
-    return bpe.digests(bpe.encode(docs))
+    return bpe.encoded_digests(docs)
 
 
 STAGES = [

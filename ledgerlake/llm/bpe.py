@@ -14,6 +14,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +30,9 @@ from ledgerlake.llm.common import bounded_batches, staged, table, tidy
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of a chunk, whose texts share a dictionary (a longer text is a chunk of its own); bytes of text for each
-#: bucket of words; bytes up to which a vocabulary may be sent to all workers; texts that are put together at once.
-CHUNK_CHARS, BUCKET_BYTES, TABLE_BYTES, TEXTS_AT_ONCE = 32 << 20, 16 << 20, 64 << 20, 256
+#: bucket of words; bytes up to which a vocabulary may be sent to all workers; words that are packed, unpacked or put
+#: together at once (a longer text by itself).
+CHUNK_CHARS, BUCKET_BYTES, TABLE_BYTES, WORDS_AT_ONCE = 32 << 20, 16 << 20, 64 << 20, 1 << 18
 #: Bytes of text for each partition of a shuffle, where that makes more of them than the session has.
 PARTITION_BYTES = 32 << 20
 
@@ -91,23 +93,33 @@ FEW, FAR = 224, 31
 
 def _packed_places(places: np.ndarray) -> bytes:
     """Places by frequency, small ones short, each kind of byte by itself."""
-    rest = places - FEW
-    far = np.minimum(rest >> 16, FAR)
-    head = np.where(rest < 0, places, FEW + far).astype(np.uint8)
-    near, raw = rest[(rest >= 0) & (far < FAR)], rest[far == FAR].astype("<u4")
-    parts = [np.int64([len(places), len(near)]).tobytes(), head.tobytes(), (near >> 8 & 255).astype(np.uint8).tobytes(), (near & 255).astype(np.uint8).tobytes(), raw.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    heads, highs, lows, raws, n_near = [], [], [], [], 0
+    for k in range(0, len(places), WORDS_AT_ONCE):
+        some = places[k : k + WORDS_AT_ONCE]
+        rest = some - FEW
+        far = np.minimum(rest >> 16, FAR)
+        heads.append(np.where(rest < 0, some, FEW + far).astype(np.uint8).tobytes())
+        near = rest[(rest >= 0) & (far < FAR)]
+        highs.append((near >> 8 & 255).astype(np.uint8).tobytes())
+        lows.append((near & 255).astype(np.uint8).tobytes())
+        raws.append(rest[far == FAR].astype("<u4").tobytes())
+        n_near += len(near)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64([len(places), n_near]).tobytes(), *heads, *highs, *lows, *raws]))
 
 
 def _unpacked_places(data: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, m = np.frombuffer(raw, np.int64, 2)
-    head = np.frombuffer(raw, np.uint8, n, 16).astype(np.int64)
-    high, low = (np.frombuffer(raw, np.uint8, m, 16 + n + k * m).astype(np.int64) for k in (0, 1))
-    near = (head >= FEW) & (head < FEW + FAR)
-    out = head.copy()
-    out[near] = FEW + (head[near] - FEW << 16) + (high << 8) + low
-    out[head == FEW + FAR] = FEW + np.frombuffer(raw, "<u4", offset=16 + n + 2 * m).astype(np.int64)
+    head = np.frombuffer(raw, np.uint8, n, 16)
+    high, low = (np.frombuffer(raw, np.uint8, m, 16 + n + k * m) for k in (0, 1))
+    most = np.frombuffer(raw, "<u4", offset=16 + n + 2 * m)
+    out, i, j = head.astype(np.int32), 0, 0
+    for k in range(0, n, WORDS_AT_ONCE):
+        some, own = head[k : k + WORDS_AT_ONCE], out[k : k + WORDS_AT_ONCE]
+        near, far = np.flatnonzero((some >= FEW) & (some < FEW + FAR)), np.flatnonzero(some == FEW + FAR)
+        own[near] = FEW + (own[near] - FEW << 16) + (high[i : i + len(near)].astype(np.int32) << 8) + low[i : i + len(near)]
+        own[far] = most[j : j + len(far)].astype(np.int64) + FEW
+        i, j = i + len(near), j + len(far)
     return out
 
 
@@ -133,8 +145,8 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
         bucket = np.fromiter((zlib.crc32(words[i].encode()) % buckets for i in by_word), np.int32, len(words))
         by_bucket = np.argsort(bucket, kind="stable")
         order, bucket = by_word[by_bucket], bucket[by_bucket]
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(order)]
+        for a, b in pairwise(edges):  # none, if no text has a word
             raws = [words[i].encode() for i in order[a:b]]
             yield _messages([(WORDS, name, int(bucket[a]), None, _packed(np.array([len(w) for w in raws])), _packed(b"".join(raws)), None)])
         flat = place[flat]
@@ -188,24 +200,25 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(_unpacked(row["places"]))
             starts, lens = (np.cumsum(lens) - lens)[order], lens[order]
             codes, ends = _unpacked_places(row["data"]), np.cumsum(_unpacked(row["lens"]))
-            begin = 0
-            for a in range(0, len(ends), TEXTS_AT_ONCE):  # some texts at a time
-                b = min(len(ends), a + TEXTS_AT_ONCE)
+            a = begin = 0
+            while a < len(ends):  # some texts at a time
+                b = max(a + 1, int(np.searchsorted(ends, begin + WORDS_AT_ONCE, "right")))
                 part = codes[begin : ends[b - 1]]
                 n = lens[part]
                 upto = np.concatenate([[0], np.cumsum(n)])
                 out = ids[np.repeat(starts[part] - upto[:-1], n) + np.arange(upto[-1])].astype(np.int32)
                 edges = upto[np.concatenate([[0], ends[a:b] - begin])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(row["keys"][a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(out))], names=["doc_id", "ids"])
-                begin = ends[b - 1]
+                a, begin = b, ends[b - 1]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, each match of pattern merged by itself, no special tokens.
+def _assembled_digests(batches: Iterator[pa.RecordBatch], rank_file: bytes) -> Iterator[pa.RecordBatch]:
+    """Messages by chunk to digests of the ids of each text, in one worker."""
+    return _digests(_assemble(batches), rank_file)
 
-    One row per row of docs; a null or empty text has no ids; ids of rows may be null or repeat; other columns don't
-    matter; no rows give no rows. The vocabulary has to hold all 256 single bytes.
-    """
+
+def _by_chunk(docs: DataFrame, id_col: str, text_col: str, rank_path: str, pattern: str) -> DataFrame:
+    """Messages by chunk, the ids of the distinct words before the texts."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rank_file = ranks(rank_path)
@@ -216,8 +229,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
     words = sent.where(F.col("kind") == WORDS).repartition(parts, "bucket").sortWithinPartitions("bucket")
     merged = words.mapInArrow(partial(_merge, rank_file=rank_file, pattern=pattern), MESSAGE)
-    both = merged.unionByName(sent.where(F.col("kind") == TEXTS)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return both.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    return merged.unionByName(sent.where(F.col("kind") == TEXTS)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, ids): the ids of each whole text, each match of pattern merged by itself, no special tokens.
+
+    One row per row of docs; a null or empty text has no ids; ids of rows may be null or repeat; other columns don't
+    matter; no rows give no rows. The vocabulary has to hold all 256 single bytes.
+    """
+    return _by_chunk(docs, id_col, text_col, rank_path, pattern).mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decoded_bytes(ids: list[int], tokens: list[bytes | None]) -> bytes:
@@ -238,6 +259,9 @@ def decode(encoded: DataFrame, rank_path: str = RANKS) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, rank_file=ranks(rank_path)), "doc_id long, ids array<int>, data binary")
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def _digests(batches: Iterator[pa.RecordBatch], rank_file: bytes) -> Iterator[pa.RecordBatch]:
     tokens = token_bytes(rank_file)
     decimal = [str(i).encode() for i in range(len(tokens))]
@@ -253,8 +277,13 @@ def _digests(batches: Iterator[pa.RecordBatch], rank_file: bytes) -> Iterator[pa
 def digests(encoded: DataFrame, rank_path: str = RANKS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded(doc_id, ids): what decode() returns, hashed in place."""
     bounded_batches(encoded.sparkSession)
-    return encoded.mapInArrow(partial(_digests, rank_file=ranks(rank_path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(partial(_digests, rank_file=ranks(rank_path)), DIGESTS)
+
+
+def encoded_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """digests(encode(docs)), where the ids of a text don't leave the worker that puts them together."""
+    return _by_chunk(docs, id_col, text_col, rank_path, pattern).mapInArrow(partial(_assembled_digests, rank_file=ranks(rank_path)), DIGESTS)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return encoded_digests(table(spark, sf_dir, "documents"))
