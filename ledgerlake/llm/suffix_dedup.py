@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -247,20 +247,29 @@ def repeated_strings(back: Suffixes, ahead: Suffixes, width: int, lo: np.ndarray
         return some, some, some
     first = max(0, width - int(ahead_most[some].max()), int(lo[some].min()))
     last = min(width - GRAM, int(before_most[some].max()), int(hi[some].max()))
-    n, parts = len(some), [back.only(some), ahead.only(some)]
+    # Offsets at which a string of each can have a like at all.
+    least = np.maximum(lo[some], width - ahead_most[some])
+    most = np.minimum(hi[some], before_most[some])
+    n = len(some)
     out = np.zeros((n, max(0, last - first + 1) + 2), np.int8)  # an empty column at both ends
     for k in range(first, last + 1, COLUMNS):
         before = np.arange(k, min(k + COLUMNS, last + 1))
-        b, f = classes(*parts[0], before), classes(*parts[1], width - before)
-        inside = (b >= 0) & (f >= 0) & (before >= lo[some, None]) & (before <= hi[some, None])
-        both = np.where(inside, b * n + f, -1 - np.arange(n)[:, None])
-        order = np.argsort(both, axis=0, kind="stable")
-        ranked = np.take_along_axis(both, order, axis=0)
-        same = ranked[1:] == ranked[:-1]
+        own = np.flatnonzero((least <= before[-1]) & (most >= k) & (least <= most))
+        if len(own) < 2:
+            continue
+        at = some[own]
+        b, f = classes(*back.only(at), before), classes(*ahead.only(at), width - before)
+        inside = (b >= 0) & (f >= 0) & (before >= least[own, None]) & (before <= most[own, None])
+        both = np.ascontiguousarray(np.where(inside, b * len(own) + f, -1 - np.arange(len(own))[:, None]).T)
+        order = np.argsort(both, axis=1)
+        ranked = np.take_along_axis(both, order, axis=1)
+        same = ranked[:, 1:] == ranked[:, :-1]
         twice = np.zeros(both.shape, bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        np.put_along_axis(out[:, 1 + k - first : 1 + k - first + len(before)], order, twice.view(np.int8), axis=0)
+        twice[:, 1:] |= same
+        twice[:, :-1] |= same
+        marks = np.empty(both.shape, np.int8)
+        np.put_along_axis(marks, order, twice.view(np.int8), axis=1)
+        out[own, 1 + k - first : 1 + k - first + len(before)] = marks.T
     edge = np.diff(out, axis=1)
     (i, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
     return some[i], begin + first, end + first - 1
@@ -268,7 +277,7 @@ def repeated_strings(back: Suffixes, ahead: Suffixes, width: int, lo: np.ndarray
 
 #: width: that of the strings which cover the bytes, the largest one wanted or a smaller one.
 COVER = {"k1": pa.int64(), "k2": pa.int64(), "width": pa.int32(), "lo": pa.int64(), "hi": pa.int64()}
-DIGESTS = {"h": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "width": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "core": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
+DIGESTS = {"id": pa.int64(), "width": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "g": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
 
 
 def _rows(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -314,11 +323,12 @@ def _buckets(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iter
 
 
 def _split(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[pa.RecordBatch]:
-    """Of surroundings and each part of their ranges of offsets before the anchor: a digest of what all strings that
-    start there share, and one of all their bytes. Where a text's edge cuts a range, nothing else has the second one."""
+    """Of surroundings and each part of their ranges of offsets before the anchor: g, a hash of the anchor, the range and
+    what all strings that start there share, and a digest of all their bytes. Where a text's edge cuts a range, nothing
+    else has the latter. Parts whose g is equal by chance are sorted together, each by its own range."""
     for batch in batches:
         out = []
-        for h, k1, k2, pos, a, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("h", "k1", "k2", "pos", "a", "around", "ranges")), strict=True):
+        for key, h, a, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "a", "around", "ranges")), strict=True):
             for width, begin, end in ((r["width"], r["lo"], r["hi"]) for r in ranges):
                 least, most = max(0, a + width - len(s)), min(a, width - GRAM)
                 step = -(-(end - begin + 1) // ways)
@@ -326,10 +336,10 @@ def _split(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[pa.RecordBa
                     hi = min(lo + step - 1, end)
                     if hi < least or lo > most:
                         continue
-                    core = xxhash.xxh3_64_intdigest(s[max(0, a - lo) : a - hi + width], seed=lo) - (1 << 63)
-                    whole = s[a - hi : a - lo + width] if least <= lo and hi <= most else f"{k1}:{k2}:{pos}".encode()
-                    full = digest(lo, whole)
-                    out.append((h, k1, k2, pos, width, lo, hi, core, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True)))
+                    core = b"%d:%d:%d:%d:%b" % (h, width, lo, hi, s[max(0, a - lo) : a - hi + width])
+                    whole = s[a - hi : a - lo + width] if least <= lo and hi <= most else b"%d" % key
+                    full = hashlib.sha256(b"%d:%d:%d:%d:%b" % (h, width, lo, hi, whole)).digest()
+                    out.append((key, width, lo, hi, xxhash.xxh3_64_intdigest(core) - (1 << 63), int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:16], "little", signed=True)))
             if len(out) >= 65536:
                 yield _rows(out, DIGESTS)
                 out = []
@@ -343,27 +353,31 @@ def _split_large(around: DataFrame, widths: tuple[int, ...], bucket: int) -> Dat
     Ranges of offsets whose bytes are equal in two surroundings are repeated as a whole. Of the different ones that share
     a range's core, up to ``bucket`` are sorted; more are split on. Counts combine before they meet, so no bucket does.
     """
-    key, part, full = ["k1", "k2", "pos"], ["h", "width", "lo", "hi", "core"], ["f1", "f2"]
+    full = ["g", "f1", "f2"]
     ranges = F.array(*(F.struct(F.lit(w).alias("width"), F.lit(0).alias("lo"), F.lit(w - GRAM).alias("hi")) for w in widths))
-    around = staged(around.dropDuplicates(["h", "c1"]).select("h", *key, "a", "around"), "suffix-crowded")
-    todo, found = around.withColumn("ranges", ranges), None
+    around = around.dropDuplicates(["h", "c1"]).select(F.monotonically_increasing_id().alias("id"), "h", "k1", "k2", "pos", "a", "around")
+    around = staged(around, "suffix-crowded")
+    todo, spans, few = around.withColumn("ranges", ranges), [], []
     while True:
-        each = staged(todo.mapInArrow(partial(_split, ways=FIRST_WAYS if found is None else WAYS), _ddl(DIGESTS)), "suffix-ranges")
-        fulls = staged(each.groupBy(*part, *full).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key)).alias("one")), "suffix-fulls")
-        whole = staged(fulls.where("n > 1").select(*part, *full, "n", F.lit(True).alias("whole")), "suffix-whole-ranges")
-        met = lookup(each, whole, [*part, *full], "n").where("whole")
-        sure = met.select("k1", "k2", "width", (F.col("pos") - F.col("hi")).cast("long").alias("lo"), (F.col("pos") - F.col("lo") + F.col("width")).cast("long").alias("hi"))
-        shared = staged(fulls.groupBy(*part).agg(F.count(F.lit(1)).alias("n_fulls")).where("n_fulls > 1").withColumn("size", F.col("n_fulls")), "suffix-shared")
-        open_ = staged(lookup(fulls.select(*part, "one.*"), shared, part, "n_fulls").where("size is not null"), "suffix-open")
-        few = open_.where(F.col("size") <= bucket).select(F.xxhash64(*part).alias("g"), *key, "width", "lo", "hi")
-        leaves = few.join(around.select(*key, "a", "around"), key).repartition("g").sortWithinPartitions("g", *key)
-        sure = sure.unionByName(leaves.mapInArrow(partial(_buckets, widths=widths), _ddl(COVER)))
-        found = sure if found is None else found.unionByName(sure)
+        each = staged(todo.mapInArrow(partial(_split, ways=WAYS if few else FIRST_WAYS), _ddl(DIGESTS)), "suffix-ranges")
+        fulls = staged(each.groupBy(*full).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "width", "lo", "hi")).alias("one")), "suffix-fulls")
+        whole = staged(fulls.where("n > 1").select(*full, "n", F.lit(True).alias("whole")), "suffix-whole-ranges")
+        spans.append(lookup(each, whole, full, "n").where("whole").select("id", "width", "lo", "hi"))
+        shared = staged(fulls.groupBy("g").agg(F.count(F.lit(1)).alias("n_fulls")).where("n_fulls > 1").withColumn("size", F.col("n_fulls")), "suffix-shared")
+        open_ = staged(lookup(fulls.select("g", "one.*"), shared, ["g"], "n_fulls").where("size is not null"), "suffix-open")
+        few.append(open_.where(F.col("size") <= bucket).select("id", "width", "lo", "hi", "g"))
         more = open_.where((F.col("size") > bucket) & (F.col("hi") > F.col("lo")))
         if more.isEmpty():
-            return found
-        more = more.groupBy("h", *key).agg(F.collect_set(F.struct("width", "lo", "hi")).alias("ranges"))
-        todo = around.join(more, ["h", *key])
+            break
+        more = more.groupBy("id").agg(F.collect_set(F.struct("width", "lo", "hi")).alias("ranges"))
+        todo = around.join(more, "id")
+
+    # All levels together meet their surroundings once, and their texts and places once.
+    key = ["k1", "k2", "pos"]
+    leaves = reduce(DataFrame.unionByName, few).join(around.select("id", *key, "a", "around"), "id").drop("id").repartition("g").sortWithinPartitions("g", *key)
+    sure = reduce(DataFrame.unionByName, spans).join(around.select("id", *key), "id")
+    sure = sure.select("k1", "k2", "width", (F.col("pos") - F.col("hi")).cast("long").alias("lo"), (F.col("pos") - F.col("lo") + F.col("width")).cast("long").alias("hi"))
+    return sure.unionByName(leaves.mapInArrow(partial(_buckets, widths=widths), _ddl(COVER)))
 
 
 SPANS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, passages array<struct<start:long,end:long>>, kept binary"

@@ -135,6 +135,28 @@ def test_crowded_bucket(spark):
         assert all(len(x) == 1 and x[0][0] <= 300 and 750 <= x[0][1] <= 755 for x in spans[:200]) and not any(spans[200:])
 
 
+def test_repeated_strings_looks_where_strings_can_repeat(monkeypatch):
+    """Pairs that share WIDTH bytes at a few offsets only, by brute force; other offsets of theirs aren't looked at."""
+    rng, width, gram = random.Random(5), 200, suffix_dedup.GRAM
+    texts = []
+    for k in range(60):
+        near = k * 37 % (width - gram)
+        shared = rng.randbytes(width + 3)
+        texts += [(near + 100, rng.randbytes(100) + shared + rng.randbytes(100 - k)) for _ in range(2)]
+    group = np.zeros(len(texts), np.int64)
+    back, ahead = (suffix_dedup.Suffixes(x, group) for x in ([t[:a][::-1] for a, t in texts], [t[a:] for a, t in texts]))
+    looked, true = [], suffix_dedup.classes
+    monkeypatch.setattr(suffix_dedup, "classes", lambda *x: looked.append(len(x[0]) * len(x[3])) or true(*x))
+    lo, hi = np.zeros(len(texts), np.int64), np.full(len(texts), width - gram)
+    got = {(i, o) for i, b, e in zip(*suffix_dedup.repeated_strings(back, ahead, width, lo, hi), strict=True) for o in range(b, e + 1)}
+    at = {}
+    for i, (a, t) in enumerate(texts):
+        for o in range(max(0, a + width - len(t)), min(a, width - gram) + 1):
+            at.setdefault((o, t[a - o : a - o + width]), []).append(i)
+    assert got == {(i, o) for (o, _), x in at.items() if len(x) > 1 for i in x} and got
+    assert sum(looked) < len(texts) * (width - gram + 1)  # half of a look at all, for both sides
+
+
 def test_suffix_sort():
     """Groups are sorted apart, in one go; agree is how far neighbours agree, also where hashes of prefixes collide."""
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(200)]
