@@ -3,7 +3,9 @@
 Documents are sets of hashed word shingles. Equal sets are one node from the start. A forest of signature trees holds
 the rest, dealt by what every pair over the threshold shares: the whole content of some part of the hash space (it
 differs in fewer shingles than there are parts); or, with all shingles in one order, rare ones first, one of the first
-few of either set, so that passages which many documents hold join nothing. Trees that share nodes become one.
+few of either set, so that passages which many documents hold join nothing, and shingles of one document aren't dealt
+at all. For that, shingles are counted by ranges of their hashes, each range in one task; what comes back is a bitmap of
+those that several rows hold, of bounded size. Trees that share nodes become one.
 In a tree, nodes lie in bands of size, then in blocks, then in a hierarchy; each level holds the OR of the token
 bitmaps and the range of sizes below it. Two trees, or a tree and itself, are traversed together, and a pair of nodes
 is dropped when its largest possible overlap can't reach the threshold. What is left at the leaves is compared exactly;
@@ -15,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,11 @@ MEMO, BLOCK, FAN, BITS, SENT = 50_000, 256, 8, 2048, 200_000
 #: Nodes, and shingles, of a block of a cluster that is larger than BLOCK; how often such clusters are dealt anew; pairs of
 #: tree nodes that are compared at once.
 LARGE_BLOCK, BLOCK_SHINGLES, ROUNDS, PAIRS = 1024, 1 << 20, 3, 1 << 16
-#: Counters of how common shingles are, those of a block, and shingles that are counted at once.
-COUNTERS, CELLS, HELD = 1 << 24, 1 << 15, 1 << 18
+#: Leading bits of a shingle's hash by which it is counted; by which it is known, at most, whether several rows hold it; and
+#: by which it is known how common those that several hold are.
+POSITION, CELLS, COUNTERS = 38, 28, 24
+#: Bytes of text for each range in which shingles are counted, bits of a range's number, and shingles that are sent at once.
+RANGE_BYTES, RANGES, HELD = 4 << 20, (8, 17), 1 << 20
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -68,64 +74,109 @@ def shingles(text: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-@tidy
-def _common(batches: Iterator[pa.RecordBatch], width: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """How many of a task's rows have a shingle, up to 255, by COUNTERS hashed counters: (block, counts), blocks of CELLS."""
-    memo, counts, held, size = WordHashes(), np.zeros(COUNTERS, np.uint8), [], 0
+class Rarity(NamedTuple):
+    """Bits of the cells in which several rows hold a shingle, and a byte for each counter of how common those are, packed."""
+
+    repeated: bytes
+    levels: bytes
+
+    def unpacked(self) -> Levels:
+        return Levels(*(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in self))
+
 
-    def add() -> None:
-        at, n = np.unique(np.concatenate(held), return_counts=True)
-        counts[at] = np.minimum(counts[at] + n, 255)
+class Levels(NamedTuple):
+    repeated: np.ndarray
+    levels: np.ndarray
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """0 of shingles that one row has at most, else about the logarithm of how many rows have them."""
+        cell, at = (s >> np.uint64(65 - len(x).bit_length() - k) for x, k in ((self.repeated, 3), (self.levels, 0)))
+        bit = self.repeated[cell >> np.uint64(3)] >> (~cell & np.uint64(7)).astype(np.uint8) & 1
+        return np.where(bit, self.levels[at], np.uint8(0))
+
+
+@tidy
+def _positions(batches: Iterator[pa.RecordBatch], width: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Positions that a task's rows hold and by how many rows, up to 255, by range: (range, low, high), gaps between
+    positions in two parts, of which the lower can't be packed."""
+    memo, held, size, pack = WordHashes(), [], 0, zstandard.ZstdCompressor(level=1).compress
+    first = np.arange((1 << ranges) + 1, dtype=np.uint64) << np.uint64(POSITION - ranges)
+
+    def sent() -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(held) >> np.uint64(64 - POSITION), return_counts=True)
+        ends, n = np.searchsorted(at, first), np.minimum(n, 255).astype(np.uint8)
+        full = np.flatnonzero(np.diff(ends))
+        low, high = [], []
+        for r in full.tolist():
+            a, b = ends[r], ends[r + 1]
+            gaps = np.diff(at[a:b], prepend=first[r]).astype("<u8")
+            low.append(gaps.astype("<u2").tobytes())
+            high.append(pack(gaps.view(np.uint8).reshape(-1, 8)[:, 2:5].T.tobytes() + n[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["range", "low", "high"])
 
     for batch in batches:
         for text in batch.column("text").cast(pa.binary()).to_pylist():
-            held.append(counter(shingles(text, width, memo), salt))
+            held.append(shingles(text, width, memo))
             size += len(held[-1])
             if size >= HELD:
-                add()
+                yield sent()
                 held, size = [], 0
-    if held:
-        add()
-    blocks, pack = counts.reshape(-1, CELLS), zstandard.ZstdCompressor(level=1).compress
-    for i in np.flatnonzero(blocks.any(axis=1)).tolist():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(blocks[i].tobytes())], pa.binary())], names=["block", "counts"])
+    if size:
+        yield sent()
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _common in order of block to (block, levels): the bit length of each counter's sum."""
-    now, total, unpack = None, np.zeros(CELLS, np.int64), zstandard.ZstdDecompressor().decompress
+def gaps_of(low: bytes, high: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions from the start of a range, and how many rows have each, from what _positions sends."""
+    gaps = np.zeros((len(low) // 2, 8), np.uint8)
+    gaps[:, :2] = np.frombuffer(low, np.uint8).reshape(-1, 2)
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(high), np.uint8).reshape(4, -1)
+    gaps[:, 2:5] = rest[:3].T
+    return np.cumsum(gaps.view("<u8").reshape(-1), dtype=np.uint64), rest[3]
+
+
+@tidy
+def _repeated(batches: Iterator[pa.RecordBatch], ranges: int, cells: int, counters: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _positions in order of range, to the range's part of a Rarity: (range, repeated, levels)."""
+    held, now, pack = [], None, zstandard.ZstdCompressor(level=1).compress
 
     def done() -> pa.RecordBatch:
-        levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["block", "levels"])
+        at, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        order = np.argsort(at)
+        at, n = at[order], n[order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        total = np.add.reduceat(n, start)
+        at, total = at[start][total > 1], total[total > 1]
+        bits = np.zeros(1 << (cells - ranges), bool)
+        bits[at >> np.uint64(POSITION - cells)] = True
+        sums = np.bincount((at >> np.uint64(POSITION - counters)).astype(np.int64), total, 1 << (counters - ranges))
+        levels = np.ceil(np.log2(sums + 1)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([pack(x.tobytes())], pa.binary()) for x in (np.packbits(bits), levels))], names=["range", "repeated", "levels"])
 
     for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            if block != now:
+        for r, low, high in zip(*(batch.column(c).to_pylist() for c in ("range", "low", "high")), strict=True):
+            if r != now:
                 if now is not None:
                     yield done()
-                now, total = block, np.zeros(CELLS, np.int64)
-            total += np.frombuffer(unpack(counts), np.uint8)
+                held, now = [], r
+            held.append(gaps_of(low, high))
     if now is not None:
         yield done()
 
 
-def counter(s: np.ndarray, salt: int = 0) -> np.ndarray:
-    return ((mixed(s ^ np.uint64(salt)) if salt else s) >> np.uint64(17) & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-
-def shingle_levels(rows: DataFrame, width: int, salt: int = 0) -> bytes:
-    """Of each counter, about how common its shingles are in all rows: COUNTERS bytes, whatever the input's size, packed."""
-    parts = rows.select("text").mapInArrow(partial(_common, width=width, salt=salt), "block int, counts binary")
-    levels = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, levels binary").collect()
-    out = np.zeros((COUNTERS // CELLS, CELLS), np.uint8)
-    for r in levels:
-        out[r["block"]] = np.frombuffer(r["levels"], np.uint8)
-    return zstandard.ZstdCompressor(level=3).compress(out.tobytes())
-
-
-def unpacked_levels(levels: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(levels), np.uint8)
+def rarity(rows: DataFrame, width: int) -> Rarity:
+    """Which shingles several rows have, and about how many. A position is only ever taken for a repeated one by mistake:
+    by a shingle in the same cell, which is rare up to CELLS bits and makes more keys beyond, never fewer."""
+    n = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounded = lambda x, lo, hi: max(lo, min(hi, x.bit_length()))
+    ranges, cells = bounded(n // RANGE_BYTES, *RANGES), bounded(n // 8, 20, CELLS)
+    counters = min(cells, COUNTERS)
+    sent = rows.select("text").mapInArrow(partial(_positions, width=width, ranges=ranges), "range int, low binary, high binary")
+    parts = sent.repartition("range").sortWithinPartitions("range").mapInArrow(partial(_repeated, ranges=ranges, cells=cells, counters=counters), "range int, repeated binary, levels binary")
+    out, unpack = [np.zeros((1 << ranges, 1 << (bits - ranges)), np.uint8) for bits in (cells - 3, counters)], zstandard.ZstdDecompressor().decompress
+    for r in parts.toLocalIterator():
+        for x, c in zip(out, ("repeated", "levels"), strict=True):
+            x[r["range"]] = np.frombuffer(unpack(r[c]), np.uint8)
+    return Rarity(*(zstandard.ZstdCompressor(level=3).compress(x.tobytes()) for x in out))
 
 
 @lru_cache(None)
@@ -172,20 +223,20 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def prefix_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int, salt: int = 0) -> np.ndarray:
+def prefix_keys(s: np.ndarray, levels: Levels, num: int, den: int) -> np.ndarray:
     """The set's first shingles in the order of all shingles, rare ones first: so many that two sets over the threshold
-    have one of them in common, as they share num / den of either."""
-    keep = len(s) - (num * len(s) + den - 1) // den + 1
-    order = np.lexsort((s, levels[counter(s, salt)]))
-    return s[order[:keep]].view(np.int64)
+    have one of them in common, as they share num / den of either. Those that no other row has are left out."""
+    keep, level = len(s) - (num * len(s) + den - 1) // den + 1, levels.of(s)
+    order = np.lexsort((s, level))[:keep]
+    return s[order[level[order] > 0]].view(np.int64)
 
 
 @tidy
-def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: bytes | None) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, rare: Rarity | None) -> Iterator[pa.RecordBatch]:
     """Rows to the size and number of their sets, with keys: a task sends the keys of equal sets once, or again after
     SENT others, so that a large group of copies sends about as many as there are tasks."""
     memo, sent, none = WordHashes(), set(), np.empty(0, np.int64)
-    levels = None if levels is None else unpacked_levels(levels)
+    levels = None if rare is None else rare.unpacked()
     for batch in batches:
         n, nodes, keys = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -204,10 +255,10 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int,
 
 
 @tidy
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, levels: bytes, salt: int) -> Iterator[pa.RecordBatch]:
-    memo, levels = WordHashes(), unpacked_levels(levels)
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, rare: Rarity) -> Iterator[pa.RecordBatch]:
+    memo, levels = WordHashes(), rare.unpacked()
     for batch in batches:
-        keys = [prefix_keys(shingles(t, width, memo), levels, num, den, salt) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        keys = [prefix_keys(shingles(t, width, memo), levels, num, den) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *keys]), pa.int64()))], names=["node", "keys"])
 
@@ -414,8 +465,8 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
-    levels = shingle_levels(rows, width) if rare_first else None
-    per = staged(rows.mapInArrow(partial(_profile, width=width, num=num, den=den, levels=levels), "doc_id long, rk long, n long, node long, keys array<long>"), "join-profiles")
+    rare = rarity(rows, width) if rare_first else None
+    per = staged(rows.mapInArrow(partial(_profile, width=width, num=num, den=den, rare=rare), "doc_id long, rk long, n long, node long, keys array<long>"), "join-profiles")
     nodes = staged(per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.any_value("n").alias("n")), "join-nodes")
 
     wanted = staged(nodes.select("node", "rk", "n").join(_trees(per.select("node", "keys")), "node"), "join-wanted")
@@ -426,15 +477,15 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
         near = bloom.probe(rows, "rk", staged(bloom.member_filter(some, "rk", blocks), "join-bloom"), blocks, "maybe").where("maybe")
         return near.select("rk", "text").join(some, "rk").drop("rk")
 
-    # Large clusters are dealt anew: among their own nodes, far fewer shingles share a counter, so rare ones tell more.
-    for salt in range(1, ROUNDS + 1):
+    # Large clusters are dealt anew: among their own nodes, fewer hold a shingle, and rare ones tell more.
+    for _ in range(ROUNDS):
         crowded = staged(wanted.where(F.col("size") > BLOCK).select("rk", "node", "n"), "join-crowded")
         before = crowded.count()
         if not before:
             break
         texts = staged(texts_of(crowded), "join-crowded-texts")
-        levels = shingle_levels(texts, width, salt)
-        trees = _trees(texts.mapInArrow(partial(_prefixes, width=width, num=num, den=den, levels=levels, salt=salt), "node long, keys array<long>"))
+        rare = rarity(texts, width)
+        trees = _trees(texts.mapInArrow(partial(_prefixes, width=width, num=num, den=den, rare=rare), "node long, keys array<long>"))
         wanted = staged(wanted.where(F.col("size") <= BLOCK).unionByName(crowded.join(trees, "node").select(*wanted.columns)), "join-wanted")
         if wanted.where(F.col("size") > BLOCK).count() > 0.9 * before:
             break

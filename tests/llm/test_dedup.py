@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -89,6 +91,46 @@ def test_near(monkeypatch, docs, nothing, width, num, rare_first, block):
         assert ngram_join.components(nothing).count() == 0
 
 
+def test_only_shingles_of_several_rows_are_dealt(spark, monkeypatch):
+    """A text that is like no other sends no key, so keys don't grow with the texts."""
+    seen, staged = {}, ngram_join.staged
+
+    def watched(df, name):
+        seen[name] = staged(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(ngram_join, "staged", watched)
+    near = words(200)
+    rows = [(k, words(200), "x", k) for k in range(60)] + [(60, near, "x", 60), (61, f"{near} more", "x", 61)]
+    ngram_join.components(spark.createDataFrame(rows, SCHEMA), 5, 80, 100, rare_first=True)
+    sent = {r.doc_id: r["size(keys)"] for r in seen["join-profiles"].selectExpr("doc_id", "size(keys)").collect()}
+    assert sent[60] == 40 and sent[61] >= 39 and sum(sent[k] for k in range(60)) < 10
+
+
+def test_shingles_are_counted_by_ranges(spark):
+    """However rows are dealt and sent, a shingle is rare if one row has it, else as common as rows have it."""
+    texts = [*(words(30) for _ in range(40)), *[PASSAGE] * 20, PASSAGE + " " + words(30), None, ""]
+    levels = ngram_join.rarity(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), 5).unpacked()
+    of = lambda t: levels.of(ngram_join.shingles(t.encode(), 5, ngram_join.WordHashes()))
+    assert np.median(of(PASSAGE)) == 5 and of(PASSAGE).min() >= 5
+    assert sum(np.count_nonzero(of(t)) for t in texts[:40]) < 10
+
+
+@pytest.mark.parametrize("ranges", [8, 12])
+def test_positions_come_back(monkeypatch, ranges):
+    """What tasks send holds each position with its rows, in parts of any size."""
+    monkeypatch.setattr(ngram_join, "HELD", 100)
+    texts, got, want = [*ROWS, *ROWS], Counter(), Counter()
+    for _, text in texts:
+        want.update((ngram_join.shingles((text or "").encode(), 5, ngram_join.WordHashes()) >> np.uint64(64 - ngram_join.POSITION)).tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array([x for _, x in texts], pa.string())], names=["text"])
+    for b in ngram_join._positions(iter([batch]), 5, ranges):
+        for r in b.to_pylist():
+            at, n = ngram_join.gaps_of(r["low"], r["high"])
+            got.update(dict(zip((at + np.uint64(r["range"] << (ngram_join.POSITION - ranges))).tolist(), n.tolist(), strict=True)))
+    assert got == want
+
+
 def brute_masks(width):
     raw = [(t or "").encode() for _, t in ROWS]
     seen = {}
